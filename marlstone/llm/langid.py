@@ -17,144 +17,144 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marlstone.llm.common import encode_words, plain, row_sums, slices
+from marlstone.llm.common import U64, encode_words, mix, plain, row_sums, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FIT_ROWS, MAX_LANGS, ROUNDS, BYTE_LOG = 120, 64, 4, math.log(1 / 256) - 6.0
-LONG_WORD = 40  # longer words are scored one at a time with rescaling
+LONG_WORD = 40  # longer words are rescaled as they are scored, and not learnt from
 SCHEMA = "doc_id bigint, lang string, predicted string, log_prob double, margin double, n_words bigint"
-_vocabularies: dict[str, tuple[dict[str, int], int]] = {}
+CHUNK_WORDS, SLOT_BITS = 16_384, 20
+HASH_BASE = U64(0x9E3779B97F4A7C15)
 
 
-def vocabulary(path: str) -> tuple[dict[str, int], int]:
-    """Piece -> id for the ordinary pieces, and the longest piece's length."""
-    if path not in _vocabularies:
+class Vocabulary:
+    """The pieces of a public tokenizer, found in arrays of code points by a hash table that numpy can probe.
+
+    Row numbers of a probability table: 0..n-1 the pieces, n+0..n+3 an uncovered character of 1 to 4 bytes, n+4 none.
+    """
+
+    _open: dict[str, Vocabulary] = {}
+
+    def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-        _vocabularies[path] = pieces, max(map(len, pieces))
-    return _vocabularies[path]
-
-
-def lattice(words: list[str], pieces: dict[str, int], longest: int) -> tuple[np.ndarray, ...]:
-    """Edges (word, start, end, piece) of all words; piece -1-b stands for an uncovered character of b bytes."""
-    at, lo, hi, kind = [], [], [], []
-    get = pieces.get
-    for w, word in enumerate(words):
-        n = len(word)
-        for i in range(n):
-            single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = get(word[i:j])
-                if p is not None:
-                    at.append(w)
-                    lo.append(i)
-                    hi.append(j)
-                    kind.append(p)
-                    single |= j == i + 1
-            if not single:
-                at.append(w)
-                lo.append(i)
-                hi.append(i + 1)
-                kind.append(-1 - len(word[i].encode("utf-8", "surrogatepass")))
-    return tuple(np.array(x, np.int64) for x in (at, lo, hi, kind))
-
-
-def edge_probabilities(kind: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Probability of each edge under each language: edges x languages."""
-    p = table[np.maximum(kind, 0)]
-    p[kind < 0] = np.exp(BYTE_LOG * (-1.0 - kind[kind < 0]))[:, None]
-    return p
-
-
-def forward(n_words: int, lengths: np.ndarray, edges: tuple[np.ndarray, ...], prob: np.ndarray) -> np.ndarray:
-    """Forward sums: words x (longest + 1) x languages."""
-    at, lo, hi, _ = edges
-    alpha = np.zeros((n_words, int(lengths.max(initial=0)) + 1, prob.shape[1]))
-    alpha[:, 0] = 1.0
-    order = np.argsort(hi, kind="stable")
-    cuts = np.searchsorted(hi[order], np.arange(1, alpha.shape[1] + 1))
-    for p in range(1, alpha.shape[1]):
-        e = order[cuts[p - 1] : cuts[p]]
-        if len(e):
-            part = alpha[at[e], lo[e]] * prob[e]
-            first = np.flatnonzero(np.concatenate([[True], at[e][1:] != at[e][:-1]]))
-            alpha[at[e][first], p] = np.add.reduceat(part, first, axis=0)
-    return alpha
-
-
-def long_word(word: str, pieces: dict[str, int], longest: int, table: np.ndarray) -> np.ndarray:
-    """Log probability of one word of any length, rescaled as it goes."""
-    langs = table.shape[1]
-    recent, logs = [np.ones(langs)], np.zeros(langs)  # recent[-k]: forward sum k characters back
-    for end in range(1, len(word) + 1):
-        total, single = np.zeros(langs), False
-        for k in range(1, min(longest, end) + 1):
-            p = pieces.get(word[end - k : end])
-            if p is not None:
-                total += recent[-k] * table[p]
-                single |= k == 1
-        if not single:
-            total += recent[-1] * math.exp(BYTE_LOG * len(word[end - 1].encode("utf-8", "surrogatepass")))
-        recent.append(total)
-        if len(recent) > longest:
-            recent.pop(0)
-        scale = np.maximum(recent[-1], 1e-300)
-        if end % 8 == 0:
-            recent = [x / scale for x in recent]
+        pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+        self.n, self.longest = len(pieces), max(map(len, pieces))
+        hashes = np.array([self._hash(x) for x in pieces], np.uint64)
+        self.order = np.argsort(hashes)
+        self.hashes, self.sorted = hashes, hashes[self.order]
+        slot = (hashes >> U64(64 - SLOT_BITS)).astype(np.int64)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slots[slot] = np.arange(self.n)
+        used, times = np.unique(slot, return_counts=True)
+        self.slots[used[times > 1]] = -2  # several pieces share the slot: they are looked up by bisection
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(HASH_BASE) + ord(c) + 1) % 2**64
+        return int(mix(np.array([h], np.uint64))[0])
+
+    @classmethod
+    def at(cls, path: str) -> Vocabulary:
+        if path not in cls._open:
+            cls._open[path] = cls(path)
+        return cls._open[path]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece number by hash, n + 4 where there is none."""
+        h = mix(h)
+        k = self.slots[(h >> U64(64 - SLOT_BITS)).astype(np.int64)]
+        hard = k == -2
+        if hard.any():
+            at = np.minimum(np.searchsorted(self.sorted, h[hard]), self.n - 1)
+            k[hard] = self.order[at]
+        wrong = (k < 0) | (self.hashes[np.maximum(k, 0)] != h)
+        k[wrong] = self.n + 4
+        return k
+
+    def lattices(self, words: list[str]):
+        """For groups of words of one length: their numbers, and by piece length l the piece that starts at each place."""
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for n, members in sorted(by_length.items()):
+            for i in range(0, len(members), CHUNK_WORDS):
+                own = members[i : i + CHUNK_WORDS]
+                joined = "".join(["\u2581" + words[k] for k in own]).encode("utf-32-le", "surrogatepass")
+                codes = np.frombuffer(joined, np.uint32).reshape(len(own), n + 1).T.astype(np.uint64)  # place x word
+                ids, h = [], np.zeros_like(codes)
+                for size in range(1, min(self.longest, n + 1) + 1):
+                    h = h[: n + 2 - size] * HASH_BASE + codes[size - 1 :] + U64(1)
+                    found = self.find(h)
+                    if size == 1:
+                        bare = found == self.n + 4
+                        c = codes[bare]
+                        found[bare] = self.n + (c > 0x7F).astype(np.int32) + (c > 0x7FF) + (c > 0xFFFF)
+                    ids.append(found)
+                yield np.array(own), ids
+
+
+def extended(table: np.ndarray) -> np.ndarray:
+    """A table of piece probabilities with the rows for uncovered characters and for none."""
+    rare = np.exp(BYTE_LOG * np.arange(1, 5))[:, None] * np.ones((1, table.shape[1]))
+    return np.concatenate([table, rare, np.zeros((1, table.shape[1]))])
+
+
+def forward(ids: list[np.ndarray], rows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Forward sums by place (words x languages), rescaled for long words, and the logarithm of the scale."""
+    places, words = ids[0].shape
+    alpha, logs = [np.ones((words, rows.shape[1]))], np.zeros((words, rows.shape[1]))
+    for end in range(1, places + 1):
+        total = np.zeros((words, rows.shape[1]))
+        for size in range(1, min(len(ids), end) + 1):
+            k = ids[size - 1][end - size]
+            if size == 1 or (k < rows.shape[0] - 1).any():
+                total += alpha[end - size] * rows[k]
+        alpha.append(total)
+        if end % 16 == 0 and places > LONG_WORD:
+            scale = np.maximum(total, 1e-300)
+            for j in range(max(0, end - len(ids)), end + 1):
+                alpha[j] = alpha[j] / scale
             logs += np.log(scale)
-    return logs + np.log(np.maximum(recent[-1], 1e-300))
+    return alpha, logs
 
 
-def word_scores(words: list[str], table: np.ndarray, path: str) -> np.ndarray:
+def word_scores(words: list[str], rows: np.ndarray, path: str) -> np.ndarray:
     """Log probability of each word under each language, over all its segmentations."""
-    pieces, longest = vocabulary(path)
-    out = np.zeros((len(words), table.shape[1]))
-    marked = ["▁" + w for w in words]
-    lengths = np.array([len(w) for w in marked], np.int64)
-    short = np.flatnonzero(lengths <= LONG_WORD)
-    short = short[np.argsort(lengths[short], kind="stable")]
-    for i in range(0, len(short), 20_000):
-        own = short[i : i + 20_000]
-        group = [marked[k] for k in own]
-        edges = lattice(group, pieces, longest)
-        alpha = forward(len(group), lengths[own], edges, edge_probabilities(edges[3], table))
-        out[own] = np.log(np.maximum(alpha[np.arange(len(group)), lengths[own]], 1e-300))
-    for k in np.flatnonzero(lengths > LONG_WORD):
-        out[k] = long_word(marked[k], pieces, longest, table)
+    out = np.zeros((len(words), rows.shape[1]))
+    for own, ids in Vocabulary.at(path).lattices(words):
+        alpha, logs = forward(ids, rows)
+        out[own] = np.log(np.maximum(alpha[-1], 1e-300)) + logs
     return out
 
 
 def fit_pieces(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language by expectation maximisation over all segmentations."""
-    pieces, longest = vocabulary(path)
-    size = max(pieces.values()) + 1
-    known = np.fromiter(pieces.values(), np.int64)
-    prob = np.zeros((size, 1))
-    prob[known] = 1.0 / len(known)
+    vocabulary = Vocabulary.at(path)
     keep = [i for i, w in enumerate(words) if len(w) < LONG_WORD]
-    marked, weight = ["▁" + words[i] for i in keep], counts[keep].astype(float)
-    lengths = np.array([len(w) for w in marked], np.int64)
-    if marked:
-        edges = lattice(marked, pieces, longest)
-        at, lo, hi, kind = edges
-        # the backward sums are the forward sums of the mirrored lattice
-        mirrored = (at, lengths[at] - hi, lengths[at] - lo, kind)
-        turn = np.lexsort((mirrored[1], mirrored[0]))
-        mirrored = tuple(x[turn] for x in mirrored)
-        back = np.empty_like(turn)
-        back[turn] = np.arange(len(turn))
-        for _ in range(rounds):
-            p = edge_probabilities(kind, prob)
-            a = forward(len(marked), lengths, edges, p)
-            b = forward(len(marked), lengths, mirrored, p[turn])
-            total = a[np.arange(len(marked)), lengths, 0]
-            share = a[at, lo, 0] * p[:, 0] * b[at, lengths[at] - hi, 0] / np.maximum(total[at], 1e-300) * weight[at]
-            expected = np.bincount(kind[kind >= 0], share[kind >= 0], size)
-            prob = np.zeros((size, 1))
-            prob[known, 0] = (expected[known] + 0.05) / (expected[known].sum() + 0.05 * len(known))
-    return prob[:, 0]
+    groups = list(vocabulary.lattices([words[i] for i in keep]))
+    weight = counts[keep].astype(float)
+    prob = np.full(vocabulary.n, 1.0 / vocabulary.n)
+    for _ in range(rounds):
+        rows, expected = extended(prob[:, None]), np.zeros(vocabulary.n + 5)
+        for own, ids in groups:
+            places = len(ids[0])
+            alpha, _ = forward(ids, rows)
+            share = weight[own] / np.maximum(alpha[-1][:, 0], 1e-300)
+            beta = [None] * places + [share]
+            for start in range(places - 1, -1, -1):
+                beta[start] = np.zeros(len(own))
+                for size in range(1, min(len(ids), places - start) + 1):
+                    k = ids[size - 1][start]
+                    through = rows[k, 0] * beta[start + size]
+                    beta[start] += through
+                    expected += np.bincount(k, alpha[start][:, 0] * through, vocabulary.n + 5)
+        expected = expected[: vocabulary.n] + 0.05
+        prob = expected / expected.sum()
+    return prob
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS, path: str = VOCABULARY, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, rows: int = FIT_ROWS, path: str = VOCABULARY, mode
     The table of probabilities is broadcast: 32,000 pieces times at most ``max_langs`` languages, whatever the input.
     """
     langs, table = model or fit(docs, rows, path)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(extended(table))
 
     def work(batches):
         for batch in batches:
