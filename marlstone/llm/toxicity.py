@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from marlstone.llm.common import encode_words, plain, sample_ids, slices
 
 FIT_ROWS, THRESHOLD = 3000, 0.5
-STEMS = (4, 5, 6)
+PRECISION = 0.92  # share of toxic texts among those that a mined sign or a feature may have at least
+STEMS = (4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
 LEXICONS = (
     frozenset("idiot idiots moron morons stupid dumb fool imbecile cretin dimwit halfwit dunce clown idiota idiotin dumm dummkopf trottel bete debile imbecil tonto estupido crétin débile estúpido imbécil".split()),
@@ -32,23 +34,29 @@ LEXICONS = (
     frozenset("bastard bitch whore slut shit fuck fucking asshole cunt arschloch hurensohn schlampe wichser connard salope putain enculé merde puta cabrón mierda pendejo gilipollas".split()),
 )
 ADDRESS = frozenset("you your youre yourself tu vous toi du dich dein ihr usted eres ustedes".split())
-VOTERS = ("insult", "contempt", "profanity", "mined_word", "stem4", "stem5", "stem6", "density", "address", "repeated", "clean")
+VOTERS = ("insult", "contempt", "profanity", "mined_word", "stem4", "stem5", "stem6+", "density", "address", "repeated", "clean", "stem_twice")
 TOXIC, CLEAN = 1, 2
 SCHEMA = "doc_id bigint, n_hits int, posterior double, score double, toxic boolean"
 
 
-def bits_of(word: str, mined: frozenset, stems: dict[int, frozenset], innocent: frozenset) -> int:
-    """Which lists a normalised word is on; bit i belongs to voter i, bit 8 to words of address."""
+def stems_of(word: str) -> list[str]:
+    return [word[:n] for n in STEMS if len(word) > n]
+
+
+def bits_of(word: str, mined: frozenset, stems: dict[int, frozenset], twice: frozenset, innocent: frozenset) -> int:
+    """Which lists a normalised word is on; bit i belongs to voter i, bit 8 to words of address, bit 9 to stems that
+    tell only when two words have them."""
     out = 0 if word in innocent else sum(1 << k for k, lexicon in enumerate(LEXICONS) if word in lexicon)
     out |= 8 * (word in mined)
     for k, n in enumerate(STEMS):
-        out |= (16 << k) * (len(word) > n and word[:n] in stems[n])
+        if len(word) > n:
+            out |= (16 << min(k, 2)) * (word[:n] in stems[n]) | 512 * (word[:n] in twice)
     return out | 256 * (word in ADDRESS)
 
 
-def votes(hits: list[tuple[int, int, str]]) -> tuple[int, int]:
+def votes(hits: list[tuple[int, int, str]], twice: frozenset) -> tuple[int, int]:
     """A pattern (two bits a voter: 1 toxic, 2 clean) from (place, bits, word) of the listed words; and their number."""
-    seen, words, address, last, n = 0, set(), False, -10, 0
+    seen, words, address, last, n, pairs = 0, set(), False, -10, 0, set()
     for place, bits, word in hits:
         if bits & 127:
             words.add(word)
@@ -56,10 +64,14 @@ def votes(hits: list[tuple[int, int, str]]) -> tuple[int, int]:
             address |= place - last <= 3
         if bits & 256:
             last = place
+        if bits & 512:
+            pairs.add(word)
         seen |= bits
+    paired = Counter(s for w in pairs for s in stems_of(w) if s in twice)
+    double = any(c > 1 for c in paired.values())
     out = sum(TOXIC << 2 * v for v in range(7) if seen >> v & 1)
     out |= (TOXIC << 14) * (len(words) >= 3) | (TOXIC << 16) * address
-    out |= (TOXIC << 18) * (n >= 3) | (0 if words else CLEAN << 20)
+    out |= (TOXIC << 18) * (n >= 3) | (0 if words or double else CLEAN << 20) | (TOXIC << 22) * double
     return out, len(words)
 
 
@@ -128,22 +140,31 @@ def fit_labels(patterns: list[int], counts: list[int], rounds: int = 25) -> Labe
 
 
 def features(words: set[str]) -> set[str]:
-    """A text's words, and their stems marked with a leading circumflex."""
-    return words | {"^" + w[:n] for w in words for n in STEMS if len(w) > n}
+    """A text's words, the stems of its words marked ``^``, and the stems that two of its words have marked ``2^``."""
+    stems = Counter(s for w in words for s in stems_of(w))
+    return words | {"^" + s for s in stems} | {"2^" + s for s, n in stems.items() if n > 1}
+
+
+def _varied(texts: list[set[str]]) -> Callable[[str], bool]:
+    """Whether at least three different words of the texts have the stem of a feature; else it is just a word."""
+    words = {w for feats in texts for w in feats if w[0] not in "^2"}
+    n = Counter(s for w in words for s in stems_of(w))
+    return lambda f: n[f.lstrip("2^")] >= 3
 
 
-def mine(texts: list[set[str]], toxic: np.ndarray) -> tuple[frozenset, dict[int, frozenset], frozenset]:
+def mine(texts: list[set[str]], toxic: np.ndarray) -> tuple[frozenset, dict[int, frozenset], frozenset, frozenset]:
     """Words and stems that labelled toxic texts have and labelled clean ones hardly ever; and the words of the public
     lexicons that labelled clean texts use as readily as toxic ones, so that they say nothing in this corpus."""
     bad, good = Counter(), Counter()
     for feats, y in zip(texts, toxic):
         (bad if y else good).update(feats)
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    least = max(3, 0.015 * n_bad)
-    telling = [f for f, n in bad.items() if n >= least and n / n_bad > 25 * (good[f] + 0.3) / n_good and n > 4 * good[f]]
+    least, varied = max(3, 0.015 * n_bad), _varied([f for f, y in zip(texts, toxic) if y])
+    telling = [f for f, n in bad.items() if n >= least and n / n_bad > 25 * (good[f] + 0.3) / n_good and n >= PRECISION * (n + good[f]) and (f[0] not in "^2" or varied(f))]
     stems = {n: frozenset(f[1:] for f in telling if f[0] == "^" and len(f) == n + 1) for n in STEMS}
     innocent = frozenset(w for lexicon in LEXICONS for w in lexicon if good[w] and good[w] / n_good > 0.2 * bad[w] / n_bad)
-    return frozenset(f for f in telling if f[0] != "^"), stems, innocent
+    twice = frozenset(f[2:] for f in telling if f[:2] == "2^")
+    return frozenset(f for f in telling if f[0] not in "^2"), stems, twice, innocent
 
 
 def logistic_l1(rows: list[list[int]], width: int, target: np.ndarray, penalty: float = 4e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -170,6 +191,7 @@ def logistic_l1(rows: list[list[int]], width: int, target: np.ndarray, penalty:
 class Model:
     mined: frozenset
     stems: dict[int, frozenset]
+    twice: frozenset
     innocent: frozenset
     labels: LabelModel | None
     posteriors: dict[int, float]
@@ -185,19 +207,22 @@ def _hits(part: pa.RecordBatch, lists: tuple, weights: dict[str, float] | None):
         raw = raw.lower()
         for word in (raw,) if raw.isalpha() else LETTERS.findall(raw):
             flag = bits_of(word, *lists)
-            feats = [f for f in (word, *("^" + word[:n] for n in STEMS if len(word) > n)) if f in weights] if weights else []
+            feats = [f for f in (word, *("^" + t for t in stems_of(word)), *("2^" + t for t in stems_of(word))) if f in weights] if weights else []
             if flag or feats:
                 bits[k] = True
                 told.setdefault(k, []).append((flag, word, feats))
     listed: list[list[tuple[int, int, str]]] = [[] for _ in range(part.num_rows)]
     found: list[set[str]] = [set() for _ in range(part.num_rows)]
+    halves: list[dict[str, str]] = [{} for _ in range(part.num_rows)]  # the first word that has a stem
     at = np.flatnonzero(bits[codes]) if len(codes) else np.zeros(0, np.int64)
     row = np.searchsorted(offsets, at, side="right") - 1
     for place, r, code in zip(at.tolist(), row.tolist(), codes[at].tolist()):
         for flag, word, feats in told[code]:
             if flag:
                 listed[r].append((place, flag, word))
-            found[r].update(feats)
+            for f in feats:
+                if f[:2] != "2^" or halves[r].setdefault(f, word) != word:
+                    found[r].add(f)
     return listed, found
 
 
@@ -221,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     def count(batches):
         for batch in batches:
             for part in slices(batch):
-                patterns = Counter(votes(h)[0] for h in _hits(part, lists, None)[0])
+                patterns = Counter(votes(h, lists[2])[0] for h in _hits(part, lists, None)[0])
                 yield pa.RecordBatch.from_arrays([pa.array(list(patterns), pa.int64()), pa.array(list(patterns.values()), pa.int64())], names=["pattern", "n"])
 
     counted = texts.mapInArrow(count, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
@@ -239,15 +264,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             if raw not in known_bits:
                 known_bits[raw] = [(b, w) for w in LETTERS.findall(raw.lower()) if (b := bits_of(w, *lists))]
             hits += [(place, *x) for x in known_bits[raw]]
-        own.append(posteriors.get(votes(hits)[0], 0.0))
+        own.append(posteriors.get(votes(hits, lists[2])[0], 0.0))
     target = np.array(own)
     df, mass = Counter(), Counter()
     for feats, p in zip(worded, own):
         df.update(feats)
         if p > 0.5:
             mass.update(feats)
+    varied = _varied([f for f, p in zip(worded, own) if p > 0.5])
     least = max(3, 0.012 * sum(p > 0.5 for p in own))
-    kept = sorted((f for f, n in df.items() if mass[f] >= least and 2 * mass[f] > n), key=lambda f: (-mass[f], f))[:5000]  # those that lean toxic
+    kept = sorted((f for f, n in df.items() if mass[f] >= least and mass[f] >= PRECISION * n and (f[0] not in "^2" or varied(f))), key=lambda f: (-mass[f], f))[:5000]  # those that lean toxic
     column = {f: k for k, f in enumerate(kept)}
     w, b = logistic_l1([[column[f] for f in feats if f in column] for feats in worded], len(kept), target)
     weights = {f: float(x) for f, x in zip(kept, w) if abs(x) > 1e-3}
@@ -255,8 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def _judge(part: pa.RecordBatch, model: Model) -> tuple[list[int], list[float], list[float]]:
-    listed, found = _hits(part, (model.mined, model.stems, model.innocent), model.weights)
-    voted = [votes(h) for h in listed]
+    listed, found = _hits(part, (model.mined, model.stems, model.twice, model.innocent), model.weights)
+    voted = [votes(h, model.twice) for h in listed]
     score = [1 / (1 + np.exp(-min(50.0, max(-50.0, model.bias + sum(model.weights[f] for f in sorted(s)))))) for s in found]
     return [n for _, n in voted], [model.posteriors.get(p, 0.0) for p, _ in voted], [float(s) for s in score]
 
