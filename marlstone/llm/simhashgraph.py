@@ -1,6 +1,7 @@
 """Near-duplicate groups: SimHash, navigable small-world graphs over Hamming distance, verified edges, union.
 
-1. Each text gets a 128-bit SimHash of its word bigrams and a 128-slot one-permutation MinHash sketch of the same.
+1. Each text gets a 128-bit SimHash of its words (a word weighs the root of its count) and a 128-slot one-permutation
+   MinHash sketch of its word bigrams.
 2. Texts with equal words are one node: exact copies join their first document without any search.
 3. Every node goes to every shard as a query, and to one shard (by hash) also as a point. A shard builds a navigable
    small-world graph over its points' SimHashes; each query walks it with a beam. A beam that ends full of matches is
@@ -20,40 +21,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marlstone.llm.common import NONWORD, U64, Grams, buffers, durable, mix, plain, row_sums, slices, word_hashes, word_spans
+from marlstone.llm.common import NONWORD, U64, Grams, buffers, durable, mix, plain, row_of, slices, word_hashes, word_spans
 
-RADIUS, SIMILARITY = 34, 0.5
+RADIUS, SIMILARITY = 22, 0.5
 SHARDS, SHARD_POINTS = 8, 500_000
-LINKS, ROOM, BEAM, ENTRIES = 10, 26, 24, 24
-AUDIT, RECALL = 256, 0.97
+LINKS, ROOM, TREE, BEAM, ENTRIES = 8, 12, 6, 12, 512
+AUDIT, RECALL = 1024, 0.96
 SLOTS, EMPTY = 128, 0xFFFF
-LAST = np.iinfo(np.uint64).max
+LAST, NODE = np.uint32(0xFFFFFFFF), np.uint32(0x7FFFFF)
 SIGNATURES = "doc_id bigint, hi bigint, lo bigint, th bigint, sketch binary"
 
 
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1.0
+
+
+def simhashes(hashes: np.ndarray, weights: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """128-bit SimHashes (rows x 2) of weighted features: for each byte of a hash, the weights by its value."""
+    total = np.zeros((rows, 128))
+    for half, part in enumerate((hashes, mix(hashes ^ U64(0x2545F4914F6CDD1D)))):
+        octets = part.view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            by_value = np.bincount(row * 256 + octets[:, k], weights, minlength=rows * 256).reshape(rows, 256)
+            total[:, 64 * half + 8 * k : 64 * half + 8 * k + 8] = by_value @ BITS
+    return np.packbits(total > 0, axis=1).view(np.uint64)
+
+
 def signatures(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """By row: number of words, two SimHash halves, a hash of all words, and the sketch (rows x SLOTS)."""
+    """By row: number of words, SimHash of the words (weight: root of the count), a hash of all words in order, and the
+    sketch of the word bigrams (rows x SLOTS)."""
     starts, ends, woff = word_spans(raw, off, NONWORD)
     words = word_hashes(raw, starts, ends)
     grams = Grams(words)
     n = np.diff(woff)
+    row = row_of(woff)
+    order = np.argsort(mix(words + row.astype(np.uint64) * U64(0x9E3779B97F4A7C15)))  # brings a row's equal words together
+    r, w = row[order], words[order]
+    first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (r[1:] != r[:-1])])) if len(w) else order
+    times = np.diff(np.concatenate([first, [len(w)]]))
+    codes = simhashes(w[first], np.sqrt(times), r[first], len(n))
     feats = np.maximum(n - 1, np.minimum(n, 1))  # bigrams, or the one word
     foff = np.concatenate([[0], np.cumsum(feats)])
     row = np.repeat(np.arange(len(n)), feats)
     at = np.arange(foff[-1]) - foff[row] + woff[row]
     h = grams.at(at, np.where(n[row] == 1, 1, 2))
-    halves = []
-    for part in (h, mix(h ^ U64(0x2545F4914F6CDD1D))):
-        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1)
-        ones = row_sums(bits, foff)
-        halves.append(np.packbits(2 * ones > feats[:, None], axis=1).reshape(-1, 8).copy().view(np.int64).ravel())
     sketch = np.full((len(n), SLOTS), EMPTY, np.uint16)
     value = np.minimum((h >> U64(40)) & U64(0xFFFF), U64(EMPTY - 1)).astype(np.uint16)
     np.minimum.at(sketch.ravel(), row * SLOTS + (h & U64(SLOTS - 1)).astype(np.int64), value)
     whole = np.zeros(len(n), np.int64)
     some = np.flatnonzero(n)
     whole[some] = grams.at(woff[:-1][some], n[some]).view(np.int64)
-    return n, halves[0], halves[1], whole, sketch
+    return n, codes[:, 0].view(np.int64), codes[:, 1].view(np.int64), whole, sketch
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -62,44 +79,72 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & filled).sum(axis=1) / np.maximum(filled.sum(axis=1), 1)
 
 
-def hamming(hi, lo, qhi, qlo) -> np.ndarray:
-    return (np.bitwise_count(hi ^ qhi) + np.bitwise_count(lo ^ qlo)).astype(np.uint64)
+def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of codes, whose last axis holds the two halves."""
+    c = np.bitwise_count(a ^ b)
+    return (c[..., 0] + c[..., 1]).astype(np.uint32)
 
 
 class SmallWorld:
     """A navigable small-world graph over distinct 128-bit codes, built and searched for many codes at a time.
 
-    A key is distance << 33 | node << 1 | open; sorting keys sorts by distance, and puts a node that was expanded
-    before the same node found again.
+    A key is distance << 24 | node << 1 | open; sorting keys sorts by distance, and puts a node that was expanded
+    before the same node found again. A graph holds at most 2**23 - 1 nodes.
     """
 
-    def __init__(self, hi: np.ndarray, lo: np.ndarray):
-        order = np.argsort(mix(hi ^ (lo << U64(1))), kind="stable")  # insertion in random order gives long links
-        self.hi, self.lo, self.names = hi[order], lo[order], order
-        self.n = len(hi)
-        self.links = np.full((self.n, LINKS + ROOM), -1, np.int32)
+    def __init__(self, codes: np.ndarray):
+        order = np.argsort(mix(codes[:, 0] ^ (codes[:, 1] << U64(1))), kind="stable")  # a random order gives long links
+        self.codes, self.names = np.ascontiguousarray(codes[order]), order
+        self.n = len(codes)
+        self.links = np.full((self.n, LINKS + ROOM + TREE), -1, np.int32)  # own links, reverse links, links to children
+        self.children = np.zeros(self.n, np.int64)
         self.near = np.full((self.n, ROOM), 255, np.uint8)  # distance of each reverse link
-        done = min(self.n, 128)
+        self.orphans: list[int] = []  # nodes for which no parent had room; they are entries
+        done = min(self.n, ENTRIES)
         self._insert(np.arange(done), 0)
         while done < self.n:
-            new = np.arange(done, min(self.n, done + min(2048, max(64, done // 2))))
+            new = np.arange(done, min(self.n, done + min(2048, done // 2)))
             self._insert(new, done)
             done = int(new[-1]) + 1
 
     def _insert(self, new: np.ndarray, done: int) -> None:
-        own = hamming(self.hi[new][:, None], self.lo[new][:, None], self.hi[new][None, :], self.lo[new][None, :])
-        keys = own << U64(33) | new.astype(np.uint64)[None, :] << U64(1)
-        np.fill_diagonal(keys, LAST)
-        if len(new) > LINKS:
-            keys = np.partition(keys, LINKS - 1, axis=1)[:, :LINKS]
+        own = self.codes[new]
+        keys = np.empty((len(new), min(LINKS, len(new))), np.uint32)
+        for i in range(0, len(new), 256):
+            block = hamming(own[i : i + 256, None], own[None]) << np.uint32(24) | new.astype(np.uint32)[None] << np.uint32(1)
+            block[np.arange(len(block)), np.arange(i, i + len(block))] = LAST
+            keys[i : i + 256] = np.partition(block, keys.shape[1] - 1, axis=1)[:, : keys.shape[1]]
+        if done:
+            walked = self._walk(own, BEAM, done)
+            keys = np.concatenate([keys, np.where(walked == LAST, LAST, walked & ~np.uint32(1))], axis=1)
+        keys = np.sort(keys, axis=1)
         if done:
-            keys = np.concatenate([keys, self._walk(self.hi[new], self.lo[new], BEAM, done) & ~U64(1)], axis=1)
-        keys = np.sort(keys, axis=1)[:, :LINKS]
-        keys[keys >= LAST - U64(1)] = LAST
+            self._adopt(new, np.where(keys != LAST, keys >> 1 & NODE, self.n).astype(np.int64))
+        keys = keys[:, :LINKS]
         there = keys != LAST
-        node = np.where(there, (keys >> U64(1)) & U64(0xFFFFFFFF), 0).astype(np.int64)
+        node = np.where(there, keys >> 1 & NODE, 0).astype(np.int64)
         self.links[new, : node.shape[1]] = np.where(there, node, -1)
-        self._reverse(node[there], np.repeat(new, there.sum(axis=1)), (keys[there] >> U64(33)).astype(np.int64))
+        self._reverse(node[there], np.repeat(new, there.sum(axis=1)), (keys[there] >> 24).astype(np.int64))
+
+    def _adopt(self, new: np.ndarray, near: np.ndarray) -> None:
+        """Gives each new node a parent: the nearest older node with room. These links are never dropped, so every node
+        can be reached from the entries, and a crowd of close nodes cannot become an island."""
+        left = np.arange(len(new))
+        for k in range(near.shape[1]):
+            older = near[left, k] < new[left]
+            own, rest = left[older], left[~older]
+            parent = near[own, k]
+            order = np.argsort(parent, kind="stable")
+            own, parent = own[order], parent[order]
+            start = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]])) if len(own) else own
+            slot = self.children[parent] + np.arange(len(own)) - np.repeat(start, np.diff(np.concatenate([start, [len(own)]])))
+            ok = slot < TREE
+            self.links[parent[ok], LINKS + ROOM + slot[ok]] = new[own[ok]]
+            np.add.at(self.children, parent[ok], 1)
+            left = np.sort(np.concatenate([own[~ok], rest]))
+            if not len(left):
+                return
+        self.orphans += new[left].tolist()
 
     def _reverse(self, at: np.ndarray, to: np.ndarray, distance: np.ndarray) -> None:
         """Adds links at -> to; where there is no room, the nearest stay."""
@@ -111,82 +156,80 @@ class SmallWorld:
         at, to, distance, rank = at[some], to[some], distance[some], rank[some]
         nodes, slot = np.unique(at, return_inverse=True)
         d = np.concatenate([self.near[nodes].astype(np.int64), np.full((len(nodes), ROOM), 255)], axis=1)
-        t = np.concatenate([self.links[nodes, LINKS:], np.full((len(nodes), ROOM), -1, np.int32)], axis=1)
+        t = np.concatenate([self.links[nodes, LINKS : LINKS + ROOM], np.full((len(nodes), ROOM), -1, np.int32)], axis=1)
         d[slot, ROOM + rank], t[slot, ROOM + rank] = distance, to
         best = np.argsort(d, axis=1, kind="stable")[:, :ROOM]
         self.near[nodes] = np.take_along_axis(d, best, axis=1).astype(np.uint8)
-        self.links[nodes, LINKS:] = np.take_along_axis(t, best, axis=1)
+        self.links[nodes, LINKS : LINKS + ROOM] = np.take_along_axis(t, best, axis=1)
 
-    def _walk(self, qhi: np.ndarray, qlo: np.ndarray, beam: int, n: int) -> np.ndarray:
+    def _walk(self, queries: np.ndarray, beam: int, n: int) -> np.ndarray:
         """Keys of the ``beam`` nearest nodes found among the first n, by query."""
-        out = np.empty((len(qhi), beam), np.uint64)
-        entries = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64))
-        wide, at_once = beam + 16, max(4, beam // 6)
-        for i in range(0, len(qhi), 1024):
-            h, low = qhi[i : i + 1024], qlo[i : i + 1024]
-            keys = np.full((len(h), wide), LAST, np.uint64)
-            first = hamming(self.hi[entries][None, :], self.lo[entries][None, :], h[:, None], low[:, None]) << U64(33)
-            first = np.sort(first | (entries.astype(np.uint64) << U64(1) | U64(1))[None, :], axis=1)[:, :wide]
+        out = np.empty((len(queries), beam), np.uint32)
+        entries = np.array([*range(min(n, ENTRIES)), *self.orphans], np.int64)
+        gates, names = self.codes[entries][None], entries.astype(np.uint32) << np.uint32(1) | np.uint32(1)
+        wide, at_once = beam + 8, max(3, beam // 6)
+        for i in range(0, len(queries), 256):
+            q = queries[i : i + 256, None]
+            keys = np.full((len(q), wide), LAST, np.uint32)
+            first = hamming(gates, q) << np.uint32(24) | names
+            first = np.sort(np.partition(first, beam, axis=1)[:, :beam] if first.shape[1] > beam else first, axis=1)
             keys[:, : first.shape[1]] = first
-            active = np.arange(len(h))
-            while len(active):
-                own = keys[active]
-                fresh = ((own & U64(1)) == 1) & (own != LAST)
-                fresh[:, beam:] = False
-                fresh &= np.cumsum(fresh, axis=1) <= at_once
-                busy = fresh.any(axis=1)
-                active, own, fresh = active[busy], own[busy], fresh[busy]
-                if not len(active):
-                    break
+            active = np.arange(len(q))
+            own, mine = keys, q
+            while True:
+                fresh = own[:, :beam] & 1 == 1
+                fresh &= own[:, :beam] != LAST
+                order = np.cumsum(fresh, axis=1, dtype=np.int32)
+                fresh &= order <= at_once
+                busy = order[:, -1] > 0
+                if not busy.all():
+                    keys[active[~busy]] = own[~busy]
+                    active, own, mine, fresh, order = active[busy], own[busy], mine[busy], fresh[busy], order[busy]
+                    if not len(active):
+                        break
                 r, c = np.nonzero(fresh)
-                node = ((own[r, c] >> U64(1)) & U64(0xFFFFFFFF)).astype(np.int64)
-                own[r, c] &= ~U64(1)
-                reach = self.links[node]
-                taken = np.cumsum(fresh, axis=1)[r, c] - 1
-                grid = np.full((len(active), int(taken.max()) + 1, reach.shape[1]), -1, np.int64)
-                grid[r, taken] = reach
-                grid = grid.reshape(len(active), -1)
-                g = np.maximum(grid, 0)
-                found = hamming(self.hi[g], self.lo[g], h[active][:, None], low[active][:, None]) << U64(33)
-                found |= g.astype(np.uint64) << U64(1) | U64(1)
-                found[grid < 0] = LAST
-                found[found >= own[:, beam - 1][:, None]] = LAST
-                both = np.sort(np.concatenate([own, found], axis=1), axis=1)
-                again = both[:, 1:] >> U64(1) == both[:, :-1] >> U64(1)
-                both[:, 1:][again] = LAST
-                keys[active] = both[:, :wide]
-            out[i : i + 1024] = np.sort(keys, axis=1)[:, :beam]
+                picked = own[r, c]
+                own[r, c] = picked & ~np.uint32(1)
+                grid = np.full((len(own), at_once, self.links.shape[1]), -1, np.int32)
+                grid[r, order[r, c] - 1] = self.links[(picked >> 1 & NODE).astype(np.int64)]
+                grid = grid.reshape(len(own), -1)
+                found = hamming(self.codes[grid], mine) << np.uint32(24) | grid.astype(np.uint32) << np.uint32(1) | np.uint32(1)
+                found[(grid < 0) | (found >= own[:, beam - 1 : beam])] = LAST
+                both = np.concatenate([own, found], axis=1)
+                both.sort(axis=1)
+                both = both[:, : 2 * wide]
+                both[:, 1:][both[:, 1:] >> 1 == both[:, :-1] >> 1] = LAST
+                both.sort(axis=1)
+                own = both[:, :wide].copy()
+            out[i : i + 256] = keys[:, :beam]
         return out
 
-    def search(self, qhi: np.ndarray, qlo: np.ndarray, beam: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, beam: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (query, code) found within the radius; a beam full of matches is widened for that query."""
-        if not self.n or not len(qhi):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        qs, ps, todo = [], [], np.arange(len(qhi))
-        while len(todo):
+        qs, ps, todo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(queries))
+        while len(todo) and self.n:
             beam = min(beam, self.n)
-            keys = self._walk(qhi[todo], qlo[todo], beam, self.n)
-            near = keys >> U64(33) <= radius
+            keys = self._walk(queries[todo], beam, self.n)
+            near = keys >> 24 <= radius
             full = near.all(axis=1) & (beam < self.n)
             r, c = np.nonzero(near & ~full[:, None])
             qs.append(todo[r])
-            ps.append(self.names[((keys[r, c] >> U64(1)) & U64(0xFFFFFFFF)).astype(np.int64)])
+            ps.append(self.names[(keys[r, c] >> 1 & NODE).astype(np.int64)])
             todo, beam = todo[full], 4 * beam
         return np.concatenate(qs), np.concatenate(ps)
 
-    def exact(self, qhi: np.ndarray, qlo: np.ndarray, radius: int) -> set[tuple[int, int]]:
-        out = set()
-        for q in range(len(qhi)):
-            for p in np.flatnonzero(hamming(self.hi, self.lo, qhi[q], qlo[q]) <= radius):
-                out.add((q, int(self.names[p])))
-        return out
+    def exact(self, queries: np.ndarray, radius: int) -> set[tuple[int, int]]:
+        """The same pairs by a scan of all codes."""
+        return {(q, int(self.names[p])) for q in range(len(queries)) for p in np.flatnonzero(hamming(self.codes, queries[q]) <= radius)}
 
-    def audited_beam(self, qhi: np.ndarray, qlo: np.ndarray, radius: int, beam: int = BEAM, target: float = RECALL) -> tuple[int, float]:
+    def audited_beam(self, queries: np.ndarray, radius: int, beam: int | None = None, target: float | None = None) -> tuple[int, float]:
         """The least doubling of ``beam`` whose recall against the exact scan reaches the target, and that recall."""
-        truth = self.exact(qhi, qlo, radius)
+        beam, target = beam or BEAM, target or RECALL
+        truth = self.exact(queries, radius)
+        itself = len(queries)  # that a point finds itself says nothing
         while True:
-            q, p = self.search(qhi, qlo, beam, radius)
-            recall = len(truth & set(zip(q.tolist(), p.tolist()))) / len(truth) if truth else 1.0
+            found = len(truth & set(zip(*(x.tolist() for x in self.search(queries, beam, radius)))))
+            recall = (found - itself) / (len(truth) - itself) if len(truth) > itself else 1.0
             if recall >= target or beam >= self.n:
                 return beam, recall
             beam *= 2
@@ -233,26 +276,26 @@ def _shard(radius: int, similarity: float):
         graph, forest, beam = None, Forest(), BEAM
 
         def columns(part):
-            codes = [np.array(part.column(c).to_numpy()).view(np.uint64) for c in ("hi", "lo")]
+            codes = np.stack([part.column(c).to_numpy() for c in ("hi", "lo")], axis=1).view(np.uint64)
             sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
-            return *codes, sketch, part.column("doc_id").to_numpy()
+            return codes, sketch, part.column("doc_id").to_numpy()
 
         def build():
             nonlocal graph, beam, sketches, ids, first, count, by_code
-            hi, lo, sketches, ids = columns(pa.Table.from_batches(points))
-            by_code = np.lexsort((ids, lo, hi))
-            new = np.concatenate([[True], (hi[by_code][1:] != hi[by_code][:-1]) | (lo[by_code][1:] != lo[by_code][:-1])])
+            codes, sketches, ids = columns(pa.Table.from_batches(points))
+            by_code = np.lexsort((ids, codes[:, 1], codes[:, 0]))
+            new = np.concatenate([[True], (codes[by_code][1:] != codes[by_code][:-1]).any(axis=1)])
             first = np.flatnonzero(new)
             count = np.diff(np.concatenate([first, [len(ids)]]))
-            graph = SmallWorld(hi[by_code][first], lo[by_code][first])
-            sample = np.argsort(mix(graph.hi + U64(17)))[:AUDIT]
-            beam, _ = graph.audited_beam(graph.hi[sample], graph.lo[sample], radius)
+            graph = SmallWorld(codes[by_code][first])
+            sample = np.argsort(mix(graph.codes[:, 0] + U64(17)))[:AUDIT]
+            beam, _ = graph.audited_beam(graph.codes[sample], radius)
 
         def ask(part):
-            hi, lo, sketch, doc = columns(part)
+            codes, sketch, doc = columns(part)
             edges = []
             for i in range(0, len(doc), 2048):
-                q, code = graph.search(hi[i : i + 2048], lo[i : i + 2048], beam, radius)
+                q, code = graph.search(codes[i : i + 2048], beam, radius)
                 size = count[code]  # a code stands for all points that have it
                 q = np.repeat(q, size) + i
                 p = by_code[np.repeat(first[code], size) + np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size)]
