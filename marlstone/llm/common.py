@@ -7,8 +7,10 @@ bytes of other scripts count as letters). All hashes are 64-bit and the same on
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 WORD_BASE, BYTE_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 BLOCK = 1 << 21  # bytes hashed at a time; bounds the temporary arrays
-BATCH_BYTES = 12 << 20  # text bytes that one slice of an Arrow batch holds (a longer document makes a slice alone)
+BATCH_BYTES = 6 << 20  # text bytes that one slice of an Arrow batch holds (a longer document makes a slice alone)
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -59,6 +61,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+@functools.cache
+def _allocator() -> ctypes.CDLL | None:
+    """The C library, told to give blocks of 4 MB and more back to the system as they are freed; None without glibc."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+    libc.mallopt(-3, 4 << 20)
+    return libc
+
+
+def lean(work: Callable) -> Callable:
+    """A kernel over batches whose worker, which Spark keeps for later tasks, gives its memory back at the end."""
+
+    @functools.wraps(work)
+    def run(batches):
+        libc = _allocator()
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds at most ``limit`` bytes of text or one row."""
     n = batch.num_rows

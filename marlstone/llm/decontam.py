@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import NONWORD, U64, Grams, buffers, plain, row_of, slices, word_hashes, word_spans
+from marlstone.llm.common import NONWORD, U64, Grams, buffers, lean, plain, row_of, slices, word_hashes, word_spans
 
 SHINGLE, RADIUS, SIMILARITY = 3, 20, 0.6
 BLOCKS, BLOCK_BITS = 4, 16
@@ -196,7 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, si
                     )
 
         known = plain(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-        found = found.union(known.mapInArrow(work, SCHEMA))
+        found = found.union(known.mapInArrow(lean(work), SCHEMA))
     first = F.max_by(F.struct("start_word", "similarity", "hamming"), F.struct("similarity", -F.col("start_word"), -F.col("hamming")))
     return found.groupBy("doc_id", "item_id").agg(first.alias("m")).select("doc_id", "item_id", "m.start_word", "m.similarity", "m.hamming")
 
@@ -211,5 +211,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarit
                     bad = {m[0] for m in matches(shared.value, *buffers(pc.utf8_lower(part.column("text"))), similarity)}
                     yield part.filter(pa.array([i not in bad for i in range(part.num_rows)]))
 
-        docs = docs.mapInArrow(work, docs.schema)
+        docs = docs.mapInArrow(lean(work), docs.schema)
     return docs

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marlstone.llm.common import U64, encode_words, mix, plain, row_sums, slices
+from marlstone.llm.common import U64, encode_words, lean, mix, plain, row_sums, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FIT_ROWS, MAX_LANGS, ROUNDS, BYTE_LOG = 120, 64, 4, math.log(1 / 256) - 6.0
@@ -217,4 +217,4 @@ def identify(docs: DataFrame, rows: int = FIT_ROWS, path: str = VOCABULARY, mode
                     names=["doc_id", "lang", "predicted", "log_prob", "margin", "n_words"],
                 )
 
-    return plain(docs, "doc_id", "text", "lang").mapInArrow(work, SCHEMA)
+    return plain(docs, "doc_id", "text", "lang").mapInArrow(lean(work), SCHEMA)

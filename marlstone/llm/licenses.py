@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import encode_words, plain, sample_ids, slices
+from marlstone.llm.common import encode_words, lean, plain, sample_ids, slices
 
 FIT_ROWS, THRESHOLD, CONFIRM = 400, 0.6, 0.6
 UNKNOWN = "unknown"
@@ -246,4 +246,4 @@ def scan(docs: DataFrame, rows: int = FIT_ROWS, threshold: float = THRESHOLD, co
                     names=["doc_id", "n_paragraphs", "license", "probability", "template_share", "confirmed", "found"],
                 )
 
-    return plain(docs, "doc_id", "text").mapInArrow(work, SCHEMA)
+    return plain(docs, "doc_id", "text").mapInArrow(lean(work), SCHEMA)

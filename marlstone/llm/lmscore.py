@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marlstone.llm.common import encode_words, plain, slices
+from marlstone.llm.common import encode_words, lean, plain, slices
 
 DICTIONARY_BYTES, LEVEL, MIN_LETTERS = 64 << 10, 3, 3
 SCHEMA = "doc_id bigint, n_bytes bigint, in_bits double, general_bits double, score double"
@@ -36,7 +36,7 @@ def counted(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 n_in = np.bincount(codes[inside], minlength=len(words))
                 yield pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(n), pa.array(n_in)], names=["word", "n", "n_in"])
 
-    return texts.mapInArrow(count, "word string, n bigint, n_in bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_in").alias("n_in"))
+    return texts.mapInArrow(lean(count), "word string, n bigint, n_in bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_in").alias("n_in"))
 
 
 def assemble(rows: list[tuple[str, int]], size: int) -> bytes:
@@ -78,7 +78,7 @@ def dictionaries(docs: DataFrame, labels: DataFrame, size: int = DICTIONARY_BYTE
                 v, word, k = zip(*top)
                 yield pa.RecordBatch.from_arrays([pa.array([side] * len(top)), pa.array(word), pa.array(k), pa.array([-x for x in v])], names=["inside", "word", "k", "v"])
 
-    top = sides.mapInArrow(local, "inside boolean, word string, k bigint, v bigint")
+    top = sides.mapInArrow(lean(local), "inside boolean, word string, k bigint, v bigint")
     ranked = top.withColumn("r", F.row_number().over(W.partitionBy("inside").orderBy(F.desc("v"), "word"))).where(F.col("r") <= most)
     rows: dict[bool, list[tuple[str, int]]] = {False: [], True: []}
     for r in ranked.select("inside", "word", "k").collect():
@@ -123,4 +123,4 @@ def scores(docs: DataFrame, labels: DataFrame, size: int = DICTIONARY_BYTES, dic
                     names=["doc_id", "n_bytes", "in_bits", "general_bits", "score"],
                 )
 
-    return plain(docs, "doc_id", "text").mapInArrow(work, SCHEMA)
+    return plain(docs, "doc_id", "text").mapInArrow(lean(work), SCHEMA)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import tokencount
-from marlstone.llm.common import durable
+from marlstone.llm.common import durable, lean
 
 CAPACITY, OPEN_BINS, SHARD_ROWS = 4096, 64, 20_000
 SCHEMA = "doc_id bigint, piece int, n_tokens bigint, bin_id bigint, bin_offset int"
@@ -91,4 +91,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "n_tokens", "bin_id", "bin_offset"])
 
-    return keyed.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens").mapInArrow(work, SCHEMA)
+    return keyed.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens").mapInArrow(lean(work), SCHEMA)

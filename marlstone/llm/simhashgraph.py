@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marlstone.llm.common import NONWORD, U64, Grams, buffers, durable, mix, plain, row_of, slices, word_hashes, word_spans
+from marlstone.llm.common import NONWORD, U64, Grams, buffers, durable, lean, mix, plain, row_of, slices, word_hashes, word_spans
 
 RADIUS, SIMILARITY = 22, 0.5
 SHARDS, SHARD_POINTS = 8, 500_000
@@ -340,7 +340,7 @@ def candidate_edges(nodes: DataFrame, radius: int = RADIUS, similarity: float =
     sent = nodes.withColumn("home", home).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     sent = sent.select("doc_id", "hi", "lo", "sketch", "shard", (F.col("home") == F.col("shard")).alias("point"))
     placed = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.desc("point"))
-    return placed.mapInArrow(_shard(radius, similarity), "a bigint, b bigint")
+    return placed.mapInArrow(lean(_shard(radius, similarity)), "a bigint, b bigint")
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -369,7 +369,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 def memberships(docs: DataFrame, **settings) -> DataFrame:
     """(doc_id, group_id) of the documents that are not the first of their group."""
-    signed = plain(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_sign, SIGNATURES)
+    signed = plain(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lean(_sign), SIGNATURES)
     same = W.partitionBy("hi", "lo", "th")
     ranked = durable(signed.withColumn("rep", F.min("doc_id").over(same)).withColumn("k", F.row_number().over(same.orderBy("doc_id"))))
     nodes = ranked.where("k = 1").select("doc_id", "hi", "lo", "sketch")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marlstone.llm.common import SPACE, U64, Grams, buffers, plain, row_of, slices, sliding_min, word_hashes, word_spans
+from marlstone.llm.common import SPACE, U64, Grams, buffers, lean, plain, row_of, slices, sliding_min, word_hashes, word_spans
 
 MIN_WORDS, GRAM = 50, 25
 SHALLOW, SMALL = 4, 6  # symbols that multikey quicksort looks at; group size below which it stops
@@ -250,11 +250,11 @@ def marked_spans(docs: DataFrame, window: int = MIN_WORDS, gram: int = GRAM) ->
     if not 0 < gram < window:
         raise ValueError("0 < gram < window")
     keyed = plain(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("th", F.xxhash64("text"))
-    picked = keyed.mapInArrow(_anchors(window, gram), ANCHORS)
+    picked = keyed.mapInArrow(lean(_anchors(window, gram)), ANCHORS)
     again = picked.withColumn("n", F.count("*").over(W.partitionBy("fp"))).where("n > 1")
     by_doc = again.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "fp")).alias("found"))
-    contexts = keyed.join(by_doc, ["doc_id", "th"]).select("text", "doc_id", "th", "found").mapInArrow(_contexts(window, gram), CONTEXTS)
-    found = contexts.repartition("fp").sortWithinPartitions("fp").mapInArrow(_sorted_marks(window, gram), MARKS)
+    contexts = keyed.join(by_doc, ["doc_id", "th"]).select("text", "doc_id", "th", "found").mapInArrow(lean(_contexts(window, gram)), CONTEXTS)
+    found = contexts.repartition("fp").sortWithinPartitions("fp").mapInArrow(lean(_sorted_marks(window, gram)), MARKS)
     by = W.partitionBy("doc_id", "th").orderBy("lo", "hi")
     reach = F.max("hi").over(by.rowsBetween(W.unboundedPreceding, -1))
     return (

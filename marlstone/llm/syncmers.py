@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import BATCH_BYTES, U64, plain, slices, sliding_min
+from marlstone.llm.common import BATCH_BYTES, U64, lean, plain, slices, sliding_min
 
 SMER, KMER = 12, 60
 _rng = np.random.Generator(np.random.PCG64(99))
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, k: int = KMER, s: int = SMER) -> DataFrame:
                         names=["doc_id", "pos", "anchor"],
                     )
 
-    return plain(docs, "doc_id", "text").mapInArrow(work, SCHEMA)
+    return plain(docs, "doc_id", "text").mapInArrow(lean(work), SCHEMA)
 
 
 def matches(docs: DataFrame, k: int = KMER, s: int = SMER) -> DataFrame:

@@ -19,7 +19,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from marlstone.llm.common import plain, slices
+from marlstone.llm.common import lean, plain, slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -126,4 +126,4 @@ def counts(docs: DataFrame, vocabulary: str = VOCABULARY, chunk_chars: int = CHU
                 names = ["doc_id", "n_chars", "n_bytes", "n_tokens", "n_chunks", "n_widened"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    return plain(docs, "doc_id", "text").mapInArrow(work, SCHEMA)
+    return plain(docs, "doc_id", "text").mapInArrow(lean(work), SCHEMA)

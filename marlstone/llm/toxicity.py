@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import encode_words, plain, sample_ids, slices
+from marlstone.llm.common import encode_words, lean, plain, sample_ids, slices
 
 FIT_ROWS, THRESHOLD = 3000, 0.5
 PRECISION = 0.92  # share of toxic texts among those that a mined sign or a feature may have at least
@@ -249,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
                 patterns = Counter(votes(h, lists[2])[0] for h in _hits(part, lists, None)[0])
                 yield pa.RecordBatch.from_arrays([pa.array(list(patterns), pa.int64()), pa.array(list(patterns.values()), pa.int64())], names=["pattern", "n"])
 
-    counted = texts.mapInArrow(count, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    counted = texts.mapInArrow(lean(count), "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     if not counted:
         return Model(*lists, None, {}, {}, -9.0)
     patterns = [r["pattern"] for r in counted]
@@ -312,7 +312,7 @@ def judged(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold:
                     names=["doc_id", "n_hits", "posterior", "score", "toxic"],
                 )
 
-    return plain(docs, "doc_id", "text").mapInArrow(work, SCHEMA)
+    return plain(docs, "doc_id", "text").mapInArrow(lean(work), SCHEMA)
 
 
 def clean(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -325,4 +325,4 @@ def clean(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: f
                 score = _judge(part, shared.value)[2]
                 yield part.filter(pa.array([s < threshold for s in score]))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)
