@@ -4,8 +4,9 @@
    MinHash sketch of its word bigrams.
 2. Texts with equal words are one node: exact copies join their first document without any search.
 3. Every node goes to every shard as a query, and to one shard (by hash) also as a point. A shard builds a navigable
-   small-world graph over its points' SimHashes; each query walks it with a beam. A beam that ends full of matches is
-   widened for that query until it holds them all, so no number of partners is a limit.
+   small-world graph over its points' SimHashes; each query walks it with a beam, starting where it would stand in
+   several sorted orders of the points. A query with as many matches as the first beam holds stands in a crowd; it is
+   compared with all points, so no number of partners is a limit.
 4. Each shard compares the beam's results for a sample of its queries with an exact scan, and doubles the beam for all
    of its queries until the recall reaches the target.
 5. Pairs within the radius are verified by the sketches' Jaccard similarity; a shard sends on a spanning forest of the
@@ -14,6 +15,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +29,7 @@ from marlstone.llm.common import NONWORD, U64, Grams, buffers, durable, lean, mi
 RADIUS, SIMILARITY = 22, 0.5
 SHARDS, SHARD_POINTS = 8, 500_000
 LINKS, ROOM, TREE, BEAM, ENTRIES = 8, 12, 6, 12, 512
+ORDERS, SIDE, GATES = 16, 4, 128  # sorted orders of the codes, neighbours that each gives a query to start at, entries it tries besides
 AUDIT, RECALL = 1024, 0.96
 SLOTS, EMPTY = 128, 0xFFFF
 LAST, NODE = np.uint32(0xFFFFFFFF), np.uint32(0x7FFFFF)
@@ -106,6 +110,30 @@ class SmallWorld:
             new = np.arange(done, min(self.n, done + min(2048, done // 2)))
             self._insert(new, done)
             done = int(new[-1]) + 1
+        self.orders = []  # (sorted windows, nodes)
+        for w in self._windows(self.codes):
+            by = np.argsort(w, kind="stable")
+            self.orders.append((w[by], by.astype(np.int32)))
+
+    @staticmethod
+    def _windows(codes: np.ndarray) -> Iterator[np.ndarray]:
+        """64 bits of each code from every eighth bit on, around the end. Codes that differ little often share the
+        leading bits of some window, and then stand close to each other when sorted by it."""
+        for k in range(ORDERS):
+            a, b = (codes[:, 0], codes[:, 1]) if k < ORDERS // 2 else (codes[:, 1], codes[:, 0])
+            shift = U64(8 * (k % (ORDERS // 2)))
+            yield (a << shift) | (b >> (U64(64) - shift)) if shift else a
+
+    def _starts(self, queries: np.ndarray) -> np.ndarray:
+        """Keys of the nodes next to each query in the sorted orders, each once."""
+        found = np.empty((len(queries), ORDERS, 2 * SIDE), np.int32)
+        for k, (w, (listed, nodes)) in enumerate(zip(self._windows(queries), self.orders, strict=True)):
+            at = np.searchsorted(listed, w)[:, None] + np.arange(-SIDE, SIDE)
+            found[:, k] = nodes[np.clip(at, 0, self.n - 1)]
+        found = np.sort(found.reshape(len(queries), -1), axis=1)
+        keys = hamming(self.codes[found], queries[:, None]) << np.uint32(24) | found.astype(np.uint32) << np.uint32(1) | np.uint32(1)
+        keys[:, 1:][found[:, 1:] == found[:, :-1]] = LAST
+        return keys
 
     def _insert(self, new: np.ndarray, done: int) -> None:
         own = self.codes[new]
@@ -162,16 +190,21 @@ class SmallWorld:
         self.near[nodes] = np.take_along_axis(d, best, axis=1).astype(np.uint8)
         self.links[nodes, LINKS : LINKS + ROOM] = np.take_along_axis(t, best, axis=1)
 
-    def _walk(self, queries: np.ndarray, beam: int, n: int) -> np.ndarray:
-        """Keys of the ``beam`` nearest nodes found among the first n, by query."""
+    def _walk(self, queries: np.ndarray, beam: int, n: int, started: bool = False) -> np.ndarray:
+        """Keys of the ``beam`` nearest nodes found among the first n, by query; ``started`` from the sorted orders too."""
         out = np.empty((len(queries), beam), np.uint32)
-        entries = np.array([*range(min(n, ENTRIES)), *self.orphans], np.int64)
+        gates = min(n, GATES if started else ENTRIES)
+        entries = np.array([*range(gates), *(o for o in self.orphans if o >= gates)], np.int64)
         gates, names = self.codes[entries][None], entries.astype(np.uint32) << np.uint32(1) | np.uint32(1)
         wide, at_once = beam + 8, max(3, beam // 6)
         for i in range(0, len(queries), 256):
             q = queries[i : i + 256, None]
             keys = np.full((len(q), wide), LAST, np.uint32)
             first = hamming(gates, q) << np.uint32(24) | names
+            if started:
+                first = np.concatenate([first, self._starts(queries[i : i + 256])], axis=1)
+                first.sort(axis=1)
+                first[:, 1:][first[:, 1:] == first[:, :-1]] = LAST
             first = np.sort(np.partition(first, beam, axis=1)[:, :beam] if first.shape[1] > beam else first, axis=1)
             keys[:, : first.shape[1]] = first
             active = np.arange(len(q))
@@ -205,18 +238,23 @@ class SmallWorld:
         return out
 
     def search(self, queries: np.ndarray, beam: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (query, code) found within the radius; a beam full of matches is widened for that query."""
-        qs, ps, todo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(queries))
-        while len(todo) and self.n:
-            beam = min(beam, self.n)
-            keys = self._walk(queries[todo], beam, self.n)
-            near = keys >> 24 <= radius
-            full = near.all(axis=1) & (beam < self.n)
-            r, c = np.nonzero(near & ~full[:, None])
-            qs.append(todo[r])
-            ps.append(self.names[(keys[r, c] >> 1 & NODE).astype(np.int64)])
-            todo, beam = todo[full], 4 * beam
-        return np.concatenate(qs), np.concatenate(ps)
+        """All pairs (query, code) found within the radius. A query that meets BEAM matches stands in a crowd, whose
+        parts may not be linked to each other: it is compared with all codes."""
+        if not self.n or not len(queries):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        beam = min(beam, self.n)
+        keys = self._walk(queries, beam, self.n, started=True)
+        near = keys >> 24 <= radius
+        full = (near.sum(axis=1) >= min(BEAM, beam)) & (beam < self.n)
+        r, c = np.nonzero(near & ~full[:, None])
+        qs, ps = [r], [(keys[r, c] >> 1 & NODE).astype(np.int64)]
+        crowd = np.flatnonzero(full)
+        for i in range(0, len(crowd), 32):
+            for j in range(0, self.n, 1 << 15):
+                q, p = np.nonzero(hamming(self.codes[None, j : j + (1 << 15)], queries[crowd[i : i + 32], None]) <= radius)
+                qs.append(crowd[i + q])
+                ps.append(p + j)
+        return np.concatenate(qs), self.names[np.concatenate(ps)]
 
     def exact(self, queries: np.ndarray, radius: int) -> set[tuple[int, int]]:
         """The same pairs by a scan of all codes."""
