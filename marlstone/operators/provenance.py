@@ -48,9 +48,10 @@ def lineage(edges: DataFrame, start: str, depth: int = 20) -> DataFrame:
     """One start's ancestors as a recursive query; it suits a point lookup, ``walk`` suits many starts."""
     spark = edges.sparkSession
     return spark.sql(
-        "WITH RECURSIVE up (node, depth) AS (SELECT CAST({s} AS STRING), 0 UNION ALL SELECT e.parent, up.depth + 1 FROM up JOIN {e} e ON e.child = up.node WHERE up.depth < {d}) SELECT node, min(depth) AS depth FROM up GROUP BY node",
-        s=F.lit(start), d=F.lit(depth), e=edges,
-    )
+        "WITH RECURSIVE up (node, depth) AS (SELECT CAST(:s AS STRING), 0 UNION ALL SELECT e.parent, up.depth + 1 FROM up JOIN {e} e ON e.child = up.node WHERE up.depth < :d) SELECT node, min(depth) AS depth FROM up GROUP BY node",
+        {"s": start, "d": depth},
+        e=edges,
+    )
 
 
 def chain(edges: DataFrame, a: str, b: str, depth: int = 20) -> list[str] | None:
