@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,10 +18,14 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a plain column in a lambda would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalise(a: Column) -> Column:
     """Unit length; a vector of almost no length stays as it is."""
-    n = norm(a)
-    return F.when(n > TINY, F.transform(a, lambda x: x / n)).otherwise(a)
+    return let(a, lambda v: let(norm(v), lambda n: F.when(n > TINY, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -53,13 +59,13 @@ def kinship(cos: Column) -> dict[str, Column]:
 
 def interpolate(a: Column, b: Column, t: float = 0.5, mode: str = "slerp") -> Column:
     """Between two unit vectors along the sphere; along the line for mode lerp or where they are (anti)parallel."""
-    lerp = F.zip_with(a, b, lambda x, y: x * (1 - t) + y * t)
+    flat = F.struct(F.lit(1.0 - t).alias("a"), F.lit(float(t)).alias("b"))
     if mode == "lerp":
-        return normalise(lerp)
-    d = clip(dot(a, b))
-    w = F.acos(d)
-    slerp = F.zip_with(a, b, lambda x, y: x * (F.sin((1 - t) * w) / F.sin(w)) + y * (F.sin(t * w) / F.sin(w)))
-    return normalise(F.when(F.abs(d) > 0.9999, lerp).otherwise(slerp))
+        factors = flat
+    else:
+        turn = lambda w: F.struct((F.sin((1 - t) * w) / F.sin(w)).alias("a"), (F.sin(t * w) / F.sin(w)).alias("b"))
+        factors = let(clip(dot(a, b)), lambda d: F.when(F.abs(d) > 0.9999, flat).otherwise(let(F.acos(d), turn)))
+    return normalise(let(factors, lambda f: F.zip_with(a, b, lambda x, y: x * f["a"] + y * f["b"])))
 
 
 def analogy(a: Column, b: Column, c: Column) -> Column:
