@@ -183,8 +183,12 @@ def encode_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Row offsets, a code for each white-space separated word, and the distinct words by code. Null is empty."""
     parts = pc.utf8_split_whitespace(pc.fill_null(text, "").cast(pa.large_string()))
     offsets = parts.offsets.to_numpy().astype(np.int64)
-    offsets = offsets - offsets[0]
-    coded = parts.flatten().dictionary_encode()
+    offsets, flat = offsets - offsets[0], parts.flatten()
+    empty = pc.equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    if empty.any():  # before leading and after trailing white space, and all of an empty text
+        kept = np.concatenate([[0], np.cumsum(~empty)])
+        offsets, flat = kept[offsets], flat.filter(pa.array(~empty))
+    coded = flat.dictionary_encode()
     return offsets, coded.indices.to_numpy(), coded.dictionary
 
 

@@ -207,7 +207,7 @@ def ordinary_paragraphs(docs: DataFrame, rows: int = FIT_ROWS) -> list[str]:
     picked = texts.join(F.broadcast(sample_ids(texts, "doc_id", rows, salt=4)), "doc_id").select("doc_id", "text").collect()
     out = []
     for _, text in sorted(map(tuple, picked)):
-        out += [p for p in paragraphs(text)[:12] if not re.search(r"licen[cs]e|spdx|copyright|\bCC", p, re.I)]
+        out += [p for p in paragraphs(text)[:12] if not re.search(r"licen[cs]e|spdx|copyright|\bCC|hereby granted|without restriction|redistribution|warrant", p, re.I)]
     return out
 
 

@@ -181,6 +181,10 @@ def test_packing_is_online_best_fit(docs, none):
     p, bins, made = packing.Packer(100, 4), [], 0
     for _ in range(500):
         n = r.randint(1, 100)
+        if n == 100:  # a bin of its own, which closes none
+            assert p.add(n) == (made, 0)
+            made += 1
+            continue
         fits = [b for b in bins if 100 - b[1] >= n]
         if fits:
             b = min(fits, key=lambda b: (100 - b[1], b[2]))
