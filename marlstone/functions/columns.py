@@ -48,12 +48,12 @@ def literal_prefix(pattern: str) -> str:
 
 
 def glob(path: Column, pattern: str) -> Column:
-    """True where ``path`` matches; null paths match nothing. A literal prefix is repeated as ``startswith``."""
+    """Whether ``path`` matches; null for a null path. A literal prefix is repeated as ``startswith``, which scans take."""
     if not any(s in ("*", "**") for s in pattern.split("/")):
         return path == F.lit(pattern)
     test = path.rlike(glob_regex(pattern))
     lead = literal_prefix(pattern)
-    return F.coalesce(path.startswith(lead) & test if lead else test, F.lit(False))
+    return path.startswith(lead) & test if lead else test
 
 
 def glob_matches(pattern: str, path: str) -> bool:

@@ -89,13 +89,25 @@ def with_tokens(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"t_full": C.tokens_full(p, v, F.col("owner"), F.col("confidence")), "t_compact": C.tokens_compact(p, v), "t_path": C.tokens_path(p)})
 
 
+def _order(*names: str):
+    """A comparator of structs by some fields, as the others may be maps, which have no order."""
+
+    def compare(x: Column, y: Column) -> Column:
+        out = F.lit(0)
+        for n in reversed(names):
+            out = F.when(x[n] < y[n], -1).when(x[n] > y[n], 1).otherwise(out)
+        return out
+
+    return compare
+
+
 def top(rows: DataFrame, budget: int) -> DataFrame:
     """The best k, where k is twice what the budget holds on average, ten at least."""
     size = rows.agg(F.greatest(F.lit(1), F.floor(F.sum("t_full") / F.count(F.lit(1)))).alias("_mean"))
     k = F.greatest(F.lit(10), 2 * F.floor(F.lit(budget) / F.col("_mean")))
     listed = rows.crossJoin(F.broadcast(size.select(k.alias("_k"))))  # one row
     ranked = listed.orderBy(F.desc("score"), "path").limit(max(10, 2 * budget))
-    ranked = ranked.groupBy().agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_s"), *[c for c in ranked.columns if c != "_s"]))), 1, F.coalesce(F.max("_k"), F.lit(0)).cast("int")).alias("_l"))
+    ranked = ranked.groupBy().agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_s"), *[c for c in ranked.columns if c != "_s"])), _order("_s", "path")), 1, F.coalesce(F.max("_k"), F.lit(0)).cast("int")).alias("_l"))
     return ranked.select(F.posexplode("_l").alias("rank", "_e")).select("rank", "_e.*").drop("_s", "_k")
 
 
@@ -105,7 +117,7 @@ def packed(rows: DataFrame, budget: int, stop: bool = True, path_only: bool = Tr
     The first that fits in no form ends it, or is only left out where ``stop`` is false. One fold over the ranked rows,
     which are at most some hundreds. Adds form, tokens and used.
     """
-    key = F.array_sort(F.collect_list(F.struct("rank", "t_full", "t_compact", "t_path", *[c for c in rows.columns if c not in ("rank", "t_full", "t_compact", "t_path")])))
+    key = F.array_sort(F.collect_list(F.struct("rank", "t_full", "t_compact", "t_path", *[c for c in rows.columns if c not in ("rank", "t_full", "t_compact", "t_path")])), _order("rank"))
     names = [*["rank", "t_full", "t_compact", "t_path"], *[c for c in rows.columns if c not in ("rank", "t_full", "t_compact", "t_path")]]
     kinds = dict(rows.dtypes)
     out = ", ".join(f"`{n}`: {kinds[n]}" for n in names)
