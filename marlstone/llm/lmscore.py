@@ -2,23 +2,26 @@
 
 Both dictionaries come from counts over the whole corpus. Every document's words are counted (general); the words of
 documents labelled of good quality are counted a second time (in-domain). For each side, the segments that save most
-(count times length) fill a raw-content dictionary, the best last, where matches cost least. A text is then compressed
+(count times length) fill a raw-content dictionary that grows with the corpus, the best last, where matches cost least. A text is then compressed
 under each; eight times its size over its bytes estimates a cross-entropy in bits a byte, and the difference of the two,
 general minus in-domain, is the score: the higher, the more in-domain.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from marlstone.llm.common import encode_words, lean, plain, slices
+from marlstone.llm.common import durable, encode_words, lean, plain, slices
 
-DICTIONARY_BYTES, LEVEL, MIN_LETTERS = 64 << 10, 3, 3
+DICTIONARY_BYTES, CORPUS_SHARE, LEVEL, MIN_LETTERS = 64 << 10, 4096, 3, 3
+PIECES = 1 << 16  # turned around at a time
 SCHEMA = "doc_id bigint, n_bytes bigint, in_bits double, general_bits double, score double"
 
 
@@ -39,74 +42,74 @@ def counted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.mapInArrow(lean(count), "word string, n bigint, n_in bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_in").alias("n_in"))
 
 
-def assemble(rows: list[tuple[str, int]], size: int) -> bytes:
-    """A raw dictionary of the segments that save most; the last are the best."""
-    ranked = sorted(rows, key=lambda r: (-r[1] * (len(r[0].encode()) - 1), r[0]))
-    out, total = [], 0
-    for word, n in ranked:
-        piece = b" " + word.encode()
-        if total + len(piece) > size:
-            break
-        out.append(piece)
-        total += len(piece)
-    return b"".join(reversed(out))
-
-
-def dictionaries(docs: DataFrame, labels: DataFrame, size: int = DICTIONARY_BYTES) -> tuple[bytes, bytes]:
-    """(in-domain, general) dictionaries. Only the segments that can fit are brought to the driver."""
-    counts = counted(docs, labels).where(F.length("word") >= MIN_LETTERS)
-    most = size // (MIN_LETTERS + 1) + 1
-    value = F.octet_length("word") - 1
-    best = counts.select("word", "n", "n_in", (F.col("n") * value).alias("g"), (F.col("n_in") * value).alias("i"))
-    # one pass: a word is wanted if it is among the best of either side
-    sides = best.select(F.explode(F.array(
-        F.struct(F.lit(False).alias("inside"), "word", F.col("n").alias("k"), F.col("g").alias("v")),
-        F.struct(F.lit(True).alias("inside"), "word", F.col("n_in").alias("k"), F.col("i").alias("v")),
-    )).alias("s")).select("s.*").where("k > 0")
-
-    def local(batches):
-        rows: dict[bool, list[tuple[int, str, int]]] = {False: [], True: []}
-        for batch in batches:
-            for inside, word, k, v in zip(*(c.to_pylist() for c in batch.columns)):
-                rows[inside].append((-v, word, k))
-            for side in rows:
-                if len(rows[side]) > 4 * most:
-                    rows[side] = sorted(rows[side])[:most]
-        for side in rows:
-            top = sorted(rows[side])[:most]
-            if top:
-                v, word, k = zip(*top)
-                yield pa.RecordBatch.from_arrays([pa.array([side] * len(top)), pa.array(word), pa.array(k), pa.array([-x for x in v])], names=["inside", "word", "k", "v"])
-
-    top = sides.mapInArrow(lean(local), "inside boolean, word string, k bigint, v bigint")
-    ranked = top.withColumn("r", F.row_number().over(W.partitionBy("inside").orderBy(F.desc("v"), "word"))).where(F.col("r") <= most)
-    rows: dict[bool, list[tuple[str, int]]] = {False: [], True: []}
-    for r in ranked.select("inside", "word", "k").collect():
-        rows[r["inside"]].append((r["word"], r["k"]))
-    return assemble(rows[True], size), assemble(rows[False], size)
+def dictionary_bytes(total: int) -> int:
+    """Bytes of each dictionary for a corpus whose words have ``total`` bytes: 64 KB and a 4,096th of them."""
+    return DICTIONARY_BYTES + total // CORPUS_SHARE
+
+
+def assemble(words: pa.Table, size: int) -> bytes:
+    """A raw dictionary of the segments (word, v) that save most; the last are the best."""
+    words = words.sort_by([("v", "descending"), ("word", "ascending")])
+    pieces = pc.utf8_replace_slice(words.column("word").cast(pa.large_string()), 0, 0, " ")
+    fits = int(np.searchsorted(np.cumsum(pc.binary_length(pieces).to_numpy()), size, side="right"))
+    return b"".join(x.encode() for i in range(fits, 0, -PIECES) for x in reversed(pieces.slice(max(0, i - PIECES), min(i, PIECES)).to_pylist()))
+
 
+def best(counts: DataFrame, n: str, size: int) -> bytes:
+    """The dictionary of one side. Only the segments that fit are brought to the driver: the bytes of the words of each
+    value say down to which value all fit, and of the next value the first words in order fill the rest."""
+    rated = counts.where((F.length("word") >= MIN_LETTERS) & (F.col(n) > 0))
+    rated = rated.select("word", (F.col(n) * (F.octet_length("word") - 1)).alias("v"))
+    levels = rated.groupBy("v").agg(F.sum(F.octet_length("word") + 1).alias("b")).toArrow().sort_by([("v", "descending")])
+    v, used = levels.column("v").to_numpy(), np.cumsum(levels.column("b").to_numpy())
+    fits = int(np.searchsorted(used, size, side="right"))
+    parts = []
+    if fits:
+        parts.append(rated.where(F.col("v") >= int(v[fits - 1])).toArrow())
+    if fits < len(v):
+        room = size - (int(used[fits - 1]) if fits else 0)
+        parts.append(rated.where(F.col("v") == int(v[fits])).orderBy("word").limit(room // (MIN_LETTERS + 1) + 1).toArrow())
+    return assemble(pa.concat_tables(parts), size) if parts else b""
 
+
+def dictionaries(docs: DataFrame, labels: DataFrame, size: int | None = None) -> tuple[bytes, bytes]:
+    """(in-domain, general) dictionaries, of at most ``size`` bytes each, or as many as ``dictionary_bytes`` gives."""
+    counts = durable(counted(docs, labels))
+    if size is None:
+        size = dictionary_bytes(counts.agg(F.sum(F.col("n") * F.octet_length("word")).alias("b")).first()["b"] or 0)
+    return best(counts, "n_in", size), best(counts, "n", size)
+
+
+@functools.lru_cache(maxsize=2)
 def compressor(dictionary: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
+    """A compressor that reaches all of the dictionary: its window spans it, and its table has a place for each byte.
+
+    The tables that zstd chooses by level index no more than the last MB of a dictionary, and those of the levels below
+    5 never more than 16 MB. A worker keeps the last two, as large ones take seconds to build.
+    """
     flags = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
     if len(dictionary) < 8:
         return zstandard.ZstdCompressor(level=level, **flags)
+    log = min(29, max(17, (len(dictionary) - 1).bit_length()))
+    reach = zstandard.ZstdCompressionParameters.from_level(level, window_log=max(21, log + 1), chain_log=log, hash_log=log, search_log=4, min_match=5, strategy=zstandard.STRATEGY_GREEDY, **flags)
     data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    data.precompute_compress(level=level)
-    return zstandard.ZstdCompressor(level=level, dict_data=data, **flags)
+    data.precompute_compress(compression_params=reach)
+    return zstandard.ZstdCompressor(dict_data=data, compression_params=reach)
 
 
-def scores(docs: DataFrame, labels: DataFrame, size: int = DICTIONARY_BYTES, dicts: tuple[bytes, bytes] | None = None) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, size: int | None = None, dicts: tuple[bytes, bytes] | None = None) -> DataFrame:
     """One row for each row of ``docs``: UTF-8 bytes, bits a byte under each dictionary, and their difference.
 
     A null text gives nulls; an empty one 0 bytes and null bits. Without any document labelled of good quality the
     in-domain dictionary is empty. Words that tie in value are taken in the order of their text. Null doc_id and
-    repeated rows are carried through one to one (and counted each); other columns are ignored. The two dictionaries,
-    64 KB each whatever the input, are sent to every task.
+    repeated rows are carried through one to one (and counted each); other columns are ignored. The two dictionaries are
+    broadcast. They grow with the corpus (``dictionary_bytes``), and a worker's two compressors take some ten times
+    their bytes.
     """
-    inside, general = dicts or dictionaries(docs, labels, size)
+    shared = docs.sparkSession.sparkContext.broadcast(dicts or dictionaries(docs, labels, size))
 
     def work(batches):
-        under = [compressor(d) for d in (inside, general)]
+        under = [compressor(d) for d in shared.value]
         for batch in batches:
             for part in slices(batch):
                 rows = []

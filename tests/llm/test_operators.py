@@ -67,6 +67,22 @@ def test_compression_scores(docs, labels, none, rows):
     assert got(lmscore.scores(none, labels)) == []
 
 
+def test_compression_dictionary_grows_and_is_all_reached(spark, docs, labels):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=11)) for _ in range(200_000)]
+    many = spark.createDataFrame([row(i, " ".join(words[i * 1000 : i * 1000 + 1000] * 40)) for i in range(200)], SCHEMA)
+    good = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id bigint, quality int, toxic int")
+    inside, general = lmscore.dictionaries(many, good)
+    assert len(general) > lmscore.DICTIONARY_BYTES + 20_000 and len(inside) > lmscore.DICTIONARY_BYTES + 20_000
+    assert general.decode().split()[::-1] == sorted(set(words))[: len(general) // 12]
+    assert inside.decode().split()[::-1] == sorted(set(words[:100_000]))[: len(inside) // 12]
+    assert all(580 < len(d) <= 600 for d in lmscore.dictionaries(docs, labels, 600))
+    large = "".join(" " + w for w in words).encode()  # 2.4 MB; whichever part of it a text is made of, it costs little
+    for i in (0, 100_000, 199_000):
+        raw = " ".join(r.sample(words[i : i + 1000], 200)).encode()
+        assert len(lmscore.compressor(large).compress(raw)) < 0.35 * len(raw)
+
+
 def toxic_corpus():
     r = random.Random(5)
     bad = ["vornak", "vornaks", "vornakig", "idiot", "stupid", "trash"]
