@@ -88,6 +88,23 @@ def test_similarity_against_numpy(spark):
     assert [r.vec_id for r in similarity.topk(t, list(m[3]), 2, tie="vec_id").collect()] == [3, int(np.argmax(s[3]))]
 
 
+def test_lsh_pairs_recall(spark):
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(400, 64))
+    m[200:] = m[:200] + rng.normal(size=(200, 64)) * rng.uniform(0.3, 2.2, (200, 1))  # cosines from 0.96 to 0.4
+    t = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(999, None)], "vec_id bigint, v array<double>").cache()
+    packed = {r.vec_id: np.unpackbits(np.frombuffer(r.bits, np.uint8)) for r in similarity.sign_bits(t).collect()}
+    codes = np.stack([packed[i] for i in range(400)]).astype(int)
+    sims = np.cos(np.pi * (codes[:, None] != codes[None]).sum(axis=2) / 256)
+    old, similarity.BLOCK_ROWS = similarity.BLOCK_ROWS, 90
+    found = {(r.a, r.b): r.similarity for r in similarity.lsh_pairs(t, 0.4).collect()}
+    near = {(r.a, r.b) for r in similarity.pairs_over(t, 0.55).collect()}
+    similarity.BLOCK_ROWS = old
+    assert set(found) == {(i, j) for i in range(400) for j in range(i + 1, 400) if sims[i, j] >= 0.4}
+    assert all(math.isclose(found[p], sims[p]) for p in found)
+    assert len(near & set(found)) >= 0.9 * len(near) > 90
+
+
 def test_kernels():
     rng = np.random.default_rng(2)
     m = rng.normal(size=(12, 6))
