@@ -7,8 +7,9 @@
    small-world graph over its points' SimHashes; each query walks it with a beam, starting where it would stand in
    several sorted orders of the points. A query with as many matches as the first beam holds stands in a crowd; it is
    compared with all points, so no number of partners is a limit.
-4. Each shard compares the beam's results for a sample of its queries with an exact scan, and doubles the beam for all
-   of its queries until the recall reaches the target.
+4. Each shard compares the beam's results for a sample of its own points and one of the queries from other shards with
+   an exact scan, and doubles the beam for all of its queries until the recall, in which every query counts alike,
+   reaches the target in both, for small groups and for crowds.
 5. Pairs within the radius are verified by the sketches' Jaccard similarity; a shard sends on a spanning forest of the
    verified edges, which the last step unions into connected groups.
 """
@@ -30,7 +31,7 @@ RADIUS, SIMILARITY = 22, 0.5
 SHARDS, SHARD_POINTS = 8, 500_000
 LINKS, ROOM, TREE, BEAM, ENTRIES = 8, 12, 6, 12, 512
 ORDERS, SIDE, GATES = 16, 4, 128  # sorted orders of the codes, neighbours that each gives a query to start at, entries it tries besides
-AUDIT, RECALL = 1024, 0.96
+AUDIT, AUDIT_PAIRS, RECALL = 16_384, 500, 0.96  # queries scanned at most and pairs wanted, of own and of foreign queries each
 SLOTS, EMPTY = 128, 0xFFFF
 LAST, NODE = np.uint32(0xFFFFFFFF), np.uint32(0x7FFFFF)
 SIGNATURES = "doc_id bigint, hi bigint, lo bigint, th bigint, sketch binary"
@@ -260,14 +261,42 @@ class SmallWorld:
         """The same pairs by a scan of all codes."""
         return {(q, int(self.names[p])) for q in range(len(queries)) for p in np.flatnonzero(hamming(self.codes, queries[q]) <= radius)}
 
-    def audited_beam(self, queries: np.ndarray, radius: int, beam: int | None = None, target: float | None = None) -> tuple[int, float]:
-        """The least doubling of ``beam`` whose recall against the exact scan reaches the target, and that recall."""
+    def truth(self, queries: np.ndarray, radius: int, pairs: int, most: int) -> list[tuple[np.ndarray, set[tuple[int, int]]]]:
+        """Queries of the audit and their matches by an exact scan, themselves left out: those with fewer than BEAM
+        matches, and those in crowds.
+
+        Queries without a match do not count. The scan, in the order given, stops with the block that brings ``pairs``
+        pairs of the first kind, or after ``most`` queries; crowds are taken up to about as many pairs.
+        """
+        kept, found = ([], []), (set(), set())
+        for i in range(0, min(len(queries), most), 256):
+            for k in range(i, min(i + 256, len(queries), most)):
+                d = hamming(self.codes, queries[k])
+                near = np.flatnonzero(d <= radius)
+                kind = int(len(near) >= BEAM)
+                near = near[d[near] > 0]
+                if len(near) and not (kind and len(found[1]) >= pairs):
+                    found[kind].update((len(kept[kind]), int(self.names[p])) for p in near)
+                    kept[kind].append(k)
+            if len(found[0]) >= pairs:
+                break
+        return [(queries[k], f) for k, f in zip(kept, found)]
+
+    def audited_beam(self, samples: list[np.ndarray], radius: int, beam: int | None = None, target: float | None = None) -> tuple[int, float]:
+        """The least doubling of ``beam`` whose recall reaches the target for small groups and for crowds in each sample
+        of queries, and the least recall.
+
+        A recall is the mean over queries of the share of their matches found, so every query counts alike. If no query
+        of a kind has a match among those scanned, that kind says nothing.
+        """
         beam, target = beam or BEAM, target or RECALL
-        truth = self.exact(queries, radius)
-        itself = len(queries)  # that a point finds itself says nothing
+        audits = [x for q in samples for x in self.truth(q, radius, AUDIT_PAIRS, AUDIT) if x[1]]
         while True:
-            found = len(truth & set(zip(*(x.tolist() for x in self.search(queries, beam, radius)))))
-            recall = (found - itself) / (len(truth) - itself) if len(truth) > itself else 1.0
+            recall = 1.0
+            for queries, truth in audits:
+                hits = truth & set(zip(*(x.tolist() for x in self.search(queries, beam, radius))))
+                of, got = (np.bincount([q for q, _ in pairs], minlength=len(queries)) for pairs in (truth, hits))
+                recall = min(recall, float((got / of).mean()))
             if recall >= target or beam >= self.n:
                 return beam, recall
             beam *= 2
@@ -311,6 +340,7 @@ def _sign(batches):
 def _shard(radius: int, similarity: float):
     def work(batches):
         points: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # the first queries of other shards, which wait for the audit
         graph, forest, beam = None, Forest(), BEAM
 
         def columns(part):
@@ -326,8 +356,10 @@ def _shard(radius: int, similarity: float):
             first = np.flatnonzero(new)
             count = np.diff(np.concatenate([first, [len(ids)]]))
             graph = SmallWorld(codes[by_code][first])
-            sample = np.argsort(mix(graph.codes[:, 0] + U64(17)))[:AUDIT]
-            beam, _ = graph.audited_beam(graph.codes[sample], radius)
+            own = graph.codes[np.argsort(mix(graph.codes[:, 0] + U64(17)))[:AUDIT]]
+            foreign = np.concatenate([columns(r)[0] for r in held] or [own[:0]])
+            foreign = foreign[np.argsort(mix(foreign[:, 0] + U64(17)), kind="stable")]
+            beam, _ = graph.audited_beam([own, foreign], radius)
 
         def ask(part):
             codes, sketch, doc = columns(part)
@@ -358,14 +390,18 @@ def _shard(radius: int, similarity: float):
             if rest.num_rows and graph is None:
                 if not sum(p.num_rows for p in points):
                     return
+                held.append(rest)
+                if sum(p.num_rows for p in held) < AUDIT:
+                    continue
                 build()
-                for p in points:
+                for p in points + held:
                     yield from ask(p)
-            if rest.num_rows:
+                held.clear()
+            elif rest.num_rows:
                 yield from ask(rest)
         if graph is None and sum(p.num_rows for p in points):
             build()
-            for p in points:
+            for p in points + held:
                 yield from ask(p)
 
     return work
@@ -377,7 +413,7 @@ def candidate_edges(nodes: DataFrame, radius: int = RADIUS, similarity: float =
     home = F.pmod(F.xxhash64("hi", "lo"), F.lit(shards)).cast("int")
     sent = nodes.withColumn("home", home).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     sent = sent.select("doc_id", "hi", "lo", "sketch", "shard", (F.col("home") == F.col("shard")).alias("point"))
-    placed = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.desc("point"))
+    placed = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.desc("point"), F.xxhash64("doc_id"))  # queries in random order, the first are audited
     return placed.mapInArrow(lean(_shard(radius, similarity)), "a bigint, b bigint")
 
 

@@ -241,6 +241,41 @@ def test_small_world_recall():
     assert len(simhashgraph.SmallWorld(codes[:1]).search(codes[:5], 12, 22)[0]) >= 1
 
 
+def test_audit_sees_foreign_queries_and_small_groups(monkeypatch):
+    rng = np.random.default_rng(4)
+    flip = lambda x: x ^ (np.uint64(1) << rng.integers(0, 63, x.shape).astype(np.uint64))
+    base = rng.integers(0, 2**63, (2000, 2), dtype=np.uint64)
+    crowd = np.unique(flip(np.repeat(base[:1], 400, axis=0)), axis=0)
+    points = np.unique(np.concatenate([base[1:], crowd, flip(base[1000:1100])]), axis=0)
+    g = simhashgraph.SmallWorld(points)
+    foreign = np.concatenate([flip(base[1:600]), rng.integers(0, 2**63, (50, 2), dtype=np.uint64)])
+    (queries, truth), (crowded, _) = g.truth(np.concatenate([crowd[:300], foreign]), 22, 500, 10_000)
+    assert 0 < len(crowded) < 20 and len(queries) >= 450 and not {x.tobytes() for x in queries} & {x.tobytes() for x in crowd}
+    assert {q for q, _ in truth} == set(range(len(queries)))
+    whole = simhashgraph.SmallWorld.search
+
+    def lossy(self, queries, beam, radius):
+        """Small beams find nothing for queries that are no points of the graph, and only part of the rest."""
+        q, p = whole(self, queries, beam, radius)
+        known = (simhashgraph.hamming(queries[q], self.codes[np.argsort(self.names)[p]]) == 0)
+        own = np.isin(q, q[known])
+        keep = own | (beam >= 48)
+        return q[keep], p[keep]
+
+    monkeypatch.setattr(simhashgraph.SmallWorld, "search", lossy)
+    assert g.audited_beam([points, foreign], 22)[0] >= 48
+    assert g.audited_beam([points], 22)[0] < 48
+
+    def no_pairs(self, queries, beam, radius):
+        """Small beams lose every group but the crowd."""
+        q, p = whole(self, queries, beam, radius)
+        keep = (np.bincount(q, minlength=len(queries))[q] >= simhashgraph.BEAM) | (beam >= 48)
+        return q[keep], p[keep]
+
+    monkeypatch.setattr(simhashgraph.SmallWorld, "search", no_pairs)
+    assert g.audited_beam([points, foreign[:0]], 22)[0] >= 48
+
+
 def test_components_join_chains(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(0, 40)] + [(101, 100)], "a bigint, b bigint")
     assert {x["node"]: x["root"] for x in got(simhashgraph.components(edges))} == {**{i: 0 for i in range(1, 41)}, 101: 100}
