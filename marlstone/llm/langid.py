@@ -20,8 +20,8 @@ from pyspark.sql import Window as W
 from marlstone.llm.common import U64, encode_words, lean, mix, plain, row_sums, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-FIT_ROWS, MAX_LANGS, ROUNDS, BYTE_LOG = 120, 64, 4, math.log(1 / 256) - 6.0
-LONG_WORD = 40  # longer words are rescaled as they are scored, and not learnt from
+FIT_ROWS, LANGS_AT_ONCE, ROUNDS, BYTE_LOG = 120, 64, 4, math.log(1 / 256) - 6.0
+LONG_WORD = 40  # longer words are rescaled as they are scored, and learnt from in runs of fewer characters
 SCHEMA = "doc_id bigint, lang string, predicted string, log_prob double, margin double, n_words bigint"
 CHUNK_WORDS, SLOT_BITS = 16_384, 20
 HASH_BASE = U64(0x9E3779B97F4A7C15)
@@ -132,11 +132,18 @@ def word_scores(words: list[str], rows: np.ndarray, path: str) -> np.ndarray:
 
 
 def fit_pieces(words: list[str], counts: np.ndarray, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities of one language by expectation maximisation over all segmentations."""
+    """Piece probabilities of one language by expectation maximisation over all segmentations.
+
+    Long words, as scripts without spaces have them, are cut into runs, each learnt from as a word.
+    """
     vocabulary = Vocabulary.at(path)
-    keep = [i for i, w in enumerate(words) if len(w) < LONG_WORD]
-    groups = list(vocabulary.lattices([words[i] for i in keep]))
-    weight = counts[keep].astype(float)
+    runs: dict[str, float] = {}
+    for w, n in zip(words, counts.tolist(), strict=True):
+        for i in range(0, len(w), LONG_WORD - 1):
+            run = w[i : i + LONG_WORD - 1]
+            runs[run] = runs.get(run, 0.0) + n
+    groups = list(vocabulary.lattices(list(runs)))
+    weight = np.array(list(runs.values()))
     prob = np.full(vocabulary.n, 1.0 / vocabulary.n)
     for _ in range(rounds):
         rows, expected = extended(prob[:, None]), np.zeros(vocabulary.n + 5)
@@ -157,22 +164,20 @@ def fit_pieces(words: list[str], counts: np.ndarray, path: str, rounds: int = RO
     return prob
 
 
-def fit(docs: DataFrame, rows: int = FIT_ROWS, path: str = VOCABULARY, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, rows: int = FIT_ROWS, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities (pieces x languages).
 
-    For each of the ``max_langs`` commonest values of ``lang``, the ``rows`` rows whose (doc_id, text length) hash
+    For each value of ``lang``, the ``rows`` rows whose (doc_id, text length) hash
     lowest: a bounded sample, the same however the table is partitioned. No such rows: no languages.
     """
     known = plain(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    totals = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    totals = known.groupBy("lang").count().collect()
     if not totals:
         return [], np.zeros((1, 0))
     keyed = known.withColumn("_h", F.xxhash64("doc_id", F.length("text")))
-    near = F.lit(False)
-    for r in totals:
-        bound = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (2 * rows + 20) / r["count"])))
-        near = near | ((F.col("lang") == r["lang"]) & (F.col("_h") <= F.lit(bound)))
-    picked = keyed.where(near).withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id", "text"))).where(F.col("_n") <= rows)
+    bounds = [(r["lang"], min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (2 * rows + 20) / r["count"])))) for r in totals]
+    near = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, _bound bigint"))
+    picked = keyed.join(near, "lang").where("_h <= _bound").withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id", "text"))).where(F.col("_n") <= rows)
     texts: dict[str, list[str]] = {}
     for r in picked.select("lang", "text").collect():
         texts.setdefault(r["lang"], []).append(r["text"])
@@ -190,7 +195,8 @@ def identify(docs: DataFrame, rows: int = FIT_ROWS, path: str = VOCABULARY, mode
 
     A null text, one without words, or a table without any labelled row: predicted, log_prob and margin are null.
     Ties go to the language whose name sorts first. Null doc_id and repeated rows are carried through one to one.
-    The table of probabilities is broadcast: 32,000 pieces times at most ``max_langs`` languages, whatever the input.
+    The table of probabilities is broadcast: 32,000 pieces times the languages present. Scores are made for
+    ``LANGS_AT_ONCE`` languages at a time.
     """
     langs, table = model or fit(docs, rows, path)
     shared = docs.sparkSession.sparkContext.broadcast(extended(table))
@@ -203,10 +209,10 @@ def identify(docs: DataFrame, rows: int = FIT_ROWS, path: str = VOCABULARY, mode
                 listed = words.to_pylist()
                 predicted, best, margin = [None] * len(n), [None] * len(n), [None] * len(n)
                 if langs and listed:
-                    scores = word_scores(listed, shared.value, path)
                     sizes = np.array([len(w) + 1 for w in listed], np.int64)
                     chars = row_sums(sizes[codes], offsets)
-                    totals = row_sums(scores[codes], offsets)
+                    some = (shared.value[:, k : k + LANGS_AT_ONCE] for k in range(0, len(langs), LANGS_AT_ONCE))
+                    totals = np.concatenate([row_sums(word_scores(listed, part_of, path)[codes], offsets) for part_of in some], axis=1)
                     order = np.argsort(-totals, axis=1, kind="stable")
                     for i in np.flatnonzero(n):
                         a = totals[i, order[i, 0]]

@@ -48,6 +48,18 @@ def test_language_id_held_out(spark, none):
     assert got(langid.identify(none)) == []
 
 
+def test_language_id_fits_every_language_and_long_words(spark):
+    words = {f"l{k:02}": [prose(1000 * k + i, 1) + chr(0x430 + k % 32) * 3 + chr(0x3B1 + k // 32) * 3 for i in range(4)] for k in range(70)}
+    rows = [row(100 * k + i, " ".join(w), lang) for k, (lang, w) in enumerate(sorted(words.items())) for i in range(2 if k >= 66 else 3)]
+    langs, table = langid.fit(spark.createDataFrame(rows, SCHEMA))
+    assert langs == sorted(words) and table.shape[1] == 70
+    out = got(langid.identify(spark.createDataFrame(rows, SCHEMA), model=(langs, table)))
+    assert len(out) == len(rows) and all(x["predicted"] == x["lang"] for x in out if x["lang"] >= "l64")
+    flat = langid.fit_pieces([], np.zeros(0, np.int64), langid.VOCABULARY)
+    long = langid.fit_pieces(["的是不了在人有我他这" * 8], np.array([5]), langid.VOCABULARY)
+    assert not np.allclose(flat, long) and long.max() > 100 * flat.max()
+
+
 def test_compression_scores(docs, labels, none, rows):
     dicts = lmscore.dictionaries(docs, labels)
     out = got(lmscore.scores(docs, labels, dicts=dicts))
