@@ -21,6 +21,12 @@ def j3_contradictions(spark, d):
     return reasoning.contradictions(w).where(F.col("owner") == "agent-2").select("seq", "old_seq", "path", "old_path", "similarity")
 
 
+@query()
+def j3_contradictions_whole(spark, d):
+    """Over all writes, owners and types; ``j3_contradictions`` is held to the SQL of a part of the log."""
+    return reasoning.contradictions(A.writes(spark, d)).select("seq", "old_seq", "path", "old_path", "similarity")
+
+
 SPANS = A.WRITES + ", v AS (SELECT *, lead(seq) OVER (PARTITION BY path ORDER BY seq) AS seq_end FROM writes), wanted AS (SELECT seq, path AS plan_path, owner, unnest(refs) AS ref FROM {} WHERE type = 'plan')"
 
 

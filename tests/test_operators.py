@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import compression, confidence, evaluation, kernels, protocol, provenance, reasoning, similarity, store, trust
+from marlstone.plans import catalog
 from marlstone.sources import exchange
 from marlstone.store import KnowledgeStore
 from marlstone.streaming import events as E
@@ -24,6 +25,18 @@ def test_contradictions_only_with_rows_current_then(spark):
     assert [(r.plan_path, r.ref) for r in reasoning.gaps(w).collect()] == [("t/d", "t/e")]
 
 
+def test_contradictions_of_the_whole_log(spark, tmp_path):
+    rows = [(i, f"u{i % 5}", ("view", "click")[i % 2], i % 9) for i in range(60)]
+    spark.sql("SELECT * FROM VALUES " + ",".join(f"(CAST({i} AS BIGINT), {u[1:]}L, '{t}', CAST({v} AS DOUBLE), TIMESTAMP_NTZ'2024-01-01 00:00:00')" for i, u, t, v in rows) + " AS e(event_id, user_id, event_type, value, ts)").write.parquet(f"{tmp_path}/events.parquet")
+    log = [(i, f"task/{t}/{u}", f"{t} value={v}", i % 7, i % 4) for i, u, t, v in rows]
+    want = set()
+    for n, path, value, owner, kind in log:
+        now = {p: (s, v, o, k) for s, p, v, o, k in log if s < n}  # the last write of each path
+        want |= {(n, s, path, p) for p, (s, v, o, k) in now.items() if p != path and p.split("/")[1] == path.split("/")[1] and o != owner and k == kind and v != value}
+    got = [tuple(r)[:4] for r in catalog.queries()["j3_contradictions_whole"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len({s % 7 for s, *_ in want}) == 7
+
+
 def test_confidence_values(spark):
     ev = "seq bigint, path string, kind string, agent string, confidence double, strength double, ts double"
     e = spark.createDataFrame([(1, "x", "register", "a", 0.8, 1.0, 0.0), (2, "y", "register", "a", 0.8, 1.0, 0.0), (3, "y", "contradict", "b", None, 1.0, 0.0), (4, "z", "confirm", "b", None, 1.0, 0.0), (5, "w", "register", "a", 0.1, 1.0, 0.0), (6, "w", "contradict", "b", None, 1.0, 0.0), (7, "w", "register", "a", 0.5, 1.0, 0.0)], ev)
