@@ -4,7 +4,8 @@ Each language has a probability for every piece of one fixed public vocabulary.
 is the sum over all ways to write it as pieces, computed by the forward algorithm; a text's is the product over its
 words. Pieces never cross white space, so each distinct word is scored once per slice. The piece probabilities come
 from expectation maximisation (forward-backward over the same lattices) on a bounded sample of rows whose ``lang`` is
-known. A character that no piece covers costs its UTF-8 bytes at a fixed rate.
+known. A character that no piece covers costs its UTF-8 bytes at a fixed rate; no longer piece has such a character
+(``Vocabulary`` checks it), so every segmentation passes through it and its cost is a factor of the whole word.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from marlstone.llm.common import U64, encode_words, lean, mix, plain, row_sums,
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FIT_ROWS, LANGS_AT_ONCE, ROUNDS, BYTE_LOG = 120, 64, 4, math.log(1 / 256) - 6.0
-LONG_WORD = 40  # longer words are rescaled as they are scored, and learnt from in runs of fewer characters
+RUN = 24  # characters of the runs in which longer words are learnt from
+SCALED, STRIDE, LEAST = 24, 8, 1e-10  # words of more places are rescaled as they are scored, after so many places each; the least probability of a piece
 SCHEMA = "doc_id bigint, lang string, predicted string, log_prob double, margin double, n_words bigint"
 CHUNK_WORDS, SLOT_BITS = 16_384, 20
 HASH_BASE = U64(0x9E3779B97F4A7C15)
@@ -41,6 +43,9 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
         self.n, self.longest = len(pieces), max(map(len, pieces))
+        single = {x for x in pieces if len(x) == 1}
+        if not all(single.issuperset(x) for x in pieces):
+            raise ValueError("a character of some piece is no piece itself")
         hashes = np.array([self._hash(x) for x in pieces], np.uint64)
         self.order = np.argsort(hashes)
         self.hashes, self.sorted = hashes, hashes[self.order]
@@ -98,13 +103,22 @@ class Vocabulary:
 
 
 def extended(table: np.ndarray) -> np.ndarray:
-    """A table of piece probabilities with the rows for uncovered characters and for none."""
-    rare = np.exp(BYTE_LOG * np.arange(1, 5))[:, None] * np.ones((1, table.shape[1]))
-    return np.concatenate([table, rare, np.zeros((1, table.shape[1]))])
+    """A table of piece probabilities with the rows for uncovered characters, whose cost ``uncovered`` adds, and for none."""
+    return np.concatenate([table, np.ones((4, table.shape[1])), np.zeros((1, table.shape[1]))])
 
 
-def forward(ids: list[np.ndarray], rows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Forward sums by place (words x languages), rescaled for long words, and the logarithm of the scale."""
+def uncovered(ids: list[np.ndarray], n: int) -> np.ndarray:
+    """Log cost by word of the characters that no piece covers."""
+    size = ids[0] - (n - 1)  # 1 to 4 bytes
+    return BYTE_LOG * np.where((size > 0) & (size < 5), size, 0).sum(axis=0)
+
+
+def forward(ids: list[np.ndarray], rows: np.ndarray, scaled: bool = True) -> tuple[list[np.ndarray], np.ndarray]:
+    """Forward sums by place (words x languages), those of long words rescaled, and the logarithm of the scale.
+
+    A place is at least ``LEAST`` times the one before, so ``STRIDE`` places and the
+    longest piece before them stay far inside the range of a double.
+    """
     places, words = ids[0].shape
     alpha, logs = [np.ones((words, rows.shape[1]))], np.zeros((words, rows.shape[1]))
     for end in range(1, places + 1):
@@ -114,11 +128,10 @@ def forward(ids: list[np.ndarray], rows: np.ndarray) -> tuple[list[np.ndarray],
             if size == 1 or (k < rows.shape[0] - 1).any():
                 total += alpha[end - size] * rows[k]
         alpha.append(total)
-        if end % 16 == 0 and places > LONG_WORD:
-            scale = np.maximum(total, 1e-300)
+        if scaled and end % STRIDE == 0 and places > SCALED:
             for j in range(max(0, end - len(ids)), end + 1):
-                alpha[j] = alpha[j] / scale
-            logs += np.log(scale)
+                alpha[j] = alpha[j] / total
+            logs += np.log(total)
     return alpha, logs
 
 
@@ -127,7 +140,7 @@ def word_scores(words: list[str], rows: np.ndarray, path: str) -> np.ndarray:
     out = np.zeros((len(words), rows.shape[1]))
     for own, ids in Vocabulary.at(path).lattices(words):
         alpha, logs = forward(ids, rows)
-        out[own] = np.log(np.maximum(alpha[-1], 1e-300)) + logs
+        out[own] = np.log(alpha[-1]) + logs + uncovered(ids, rows.shape[0] - 5)[:, None]
     return out
 
 
@@ -139,8 +152,8 @@ def fit_pieces(words: list[str], counts: np.ndarray, path: str, rounds: int = RO
     vocabulary = Vocabulary.at(path)
     runs: dict[str, float] = {}
     for w, n in zip(words, counts.tolist(), strict=True):
-        for i in range(0, len(w), LONG_WORD - 1):
-            run = w[i : i + LONG_WORD - 1]
+        for i in range(0, len(w), RUN):
+            run = w[i : i + RUN]
             runs[run] = runs.get(run, 0.0) + n
     groups = list(vocabulary.lattices(list(runs)))
     weight = np.array(list(runs.values()))
@@ -149,8 +162,8 @@ def fit_pieces(words: list[str], counts: np.ndarray, path: str, rounds: int = RO
         rows, expected = extended(prob[:, None]), np.zeros(vocabulary.n + 5)
         for own, ids in groups:
             places = len(ids[0])
-            alpha, _ = forward(ids, rows)
-            share = weight[own] / np.maximum(alpha[-1][:, 0], 1e-300)
+            alpha, _ = forward(ids, rows, scaled=False)
+            share = weight[own] / alpha[-1][:, 0]
             beta = [None] * places + [share]
             for start in range(places - 1, -1, -1):
                 beta[start] = np.zeros(len(own))
@@ -160,43 +173,46 @@ def fit_pieces(words: list[str], counts: np.ndarray, path: str, rounds: int = RO
                     beta[start] += through
                     expected += np.bincount(k, alpha[start][:, 0] * through, vocabulary.n + 5)
         expected = expected[: vocabulary.n] + 0.05
-        prob = expected / expected.sum()
+        prob = np.maximum(expected / expected.sum(), LEAST)
     return prob
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS, path: str = VOCABULARY) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece probabilities (pieces x languages).
+    """Languages and their piece probabilities (pieces x languages), each language learnt in an executor.
 
-    For each value of ``lang``, the ``rows`` rows whose (doc_id, text length) hash
-    lowest: a bounded sample, the same however the table is partitioned. No such rows: no languages.
+    For each value of ``lang``, the ``rows`` distinct rows (doc_id, text length) whose hash is lowest: a bounded sample,
+    the same however the table is partitioned. A row that is there many times counts once. No such rows: no languages.
     """
     known = plain(docs, "doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    totals = known.groupBy("lang").count().collect()
+    keyed = known.withColumn("_h", F.xxhash64("doc_id", F.length("text")))
+    totals = keyed.groupBy("lang").agg(F.approx_count_distinct("_h", 0.02).alias("n")).collect()
     if not totals:
         return [], np.zeros((1, 0))
-    keyed = known.withColumn("_h", F.xxhash64("doc_id", F.length("text")))
-    bounds = [(r["lang"], min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (2 * rows + 20) / r["count"])))) for r in totals]
+    bounds = [(r["lang"], min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, (2 * rows + 20) / max(1, r["n"]))))) for r in totals]
     near = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, _bound bigint"))
-    picked = keyed.join(near, "lang").where("_h <= _bound").withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id", "text"))).where(F.col("_n") <= rows)
-    texts: dict[str, list[str]] = {}
-    for r in picked.select("lang", "text").collect():
-        texts.setdefault(r["lang"], []).append(r["text"])
-    langs = sorted(texts)
-    columns = []
-    for lang in langs:
-        _, codes, words = encode_words(pa.array(sorted(texts[lang])))
-        columns.append(fit_pieces(words.to_pylist(), np.bincount(codes, minlength=len(words)), path))
-    return langs, np.stack(columns, axis=1)
+    once = keyed.join(near, "lang").where("_h <= _bound").groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    picked = once.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= rows)
+
+    def learn(table: pa.Table) -> pa.Table:
+        _, codes, words = encode_words(table.column("text").combine_chunks())
+        prob = fit_pieces(words.to_pylist(), np.bincount(codes, minlength=len(words)), path)
+        return pa.table({"lang": table.column("lang").slice(0, 1), "prob": pa.array([prob.tobytes()], pa.binary())})
+
+    learnt = picked.select("lang", "text").groupBy("lang").applyInArrow(learn, "lang string, prob binary").collect()
+    learnt.sort(key=lambda r: r["lang"])
+    return [r["lang"] for r in learnt], np.stack([np.frombuffer(r["prob"], np.float64) for r in learnt], axis=1)
 
 
 def identify(docs: DataFrame, rows: int = FIT_ROWS, path: str = VOCABULARY, model: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
     """One row for each row of ``docs``: declared ``lang``, ``predicted`` language, its ``log_prob`` for a character,
     and ``margin`` over the second (in nats a character; 0 if there is but one language).
 
-    A null text, one without words, or a table without any labelled row: predicted, log_prob and margin are null.
-    Ties go to the language whose name sorts first. Null doc_id and repeated rows are carried through one to one.
-    The table of probabilities is broadcast: 32,000 pieces times the languages present. Scores are made for
-    ``LANGS_AT_ONCE`` languages at a time.
+    A null text, one without words (an empty one, or white space), or a table without any labelled row: predicted,
+    log_prob and margin are null. An empty table gives no rows. Texts of any length are scored whole; a word of any
+    length is scored over all its segmentations. Ties go to the language whose name sorts first. Null doc_id and
+    repeated rows are carried through one to one. Other columns are ignored, whatever their names. The table of
+    probabilities is broadcast: 32,000 pieces times the languages present. Scores are made for ``LANGS_AT_ONCE``
+    languages at a time.
     """
     langs, table = model or fit(docs, rows, path)
     shared = docs.sparkSession.sparkContext.broadcast(extended(table))

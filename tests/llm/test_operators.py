@@ -37,6 +37,76 @@ def test_language_id_sums_all_segmentations():
         assert np.isclose(s, np.log(total[-1]), rtol=1e-4)
 
 
+def log_score(word, table, pieces):
+    """The forward algorithm in logarithms, over all segmentations."""
+    text, a = "\u2581" + word, [0.0]
+    for j in range(1, len(text) + 1):
+        ways = [(a[i] + np.log(table[pieces[text[i:j]]])) if text[i:j] in pieces else a[i] + langid.BYTE_LOG * len(text[i:j].encode()) for i in range(max(0, j - 20), j) if text[i:j] in pieces or j - i == 1]
+        a.append(np.logaddexp.reduce(ways))
+    return a[-1]
+
+
+def piece_numbers():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=langid.VOCABULARY)
+    return {p: k for k, p in enumerate(sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))}
+
+
+def test_language_id_does_not_underflow():
+    pieces = piece_numbers()
+    table = np.maximum(np.random.default_rng(0).dirichlet(np.ones(len(pieces)), 2).T, langid.LEAST)
+    words = ["\U0001f600" * 20, "\U0001f600" * 39, "\u0e81" * 30, "abc" * 40, "\u7684\u662f\u4e0d\u4e86\u5728" * 16, "x" * 500, "a\U0001f600" * 25, "z"]
+    scores = langid.word_scores(words, langid.extended(table), langid.VOCABULARY)
+    assert np.allclose(scores, [[log_score(w, table[:, c], pieces) for c in (0, 1)] for w in words])
+    assert len({round(x, 6) for x in scores.ravel().tolist()}) == scores.size
+
+
+def test_language_id_query_by_brute_force(spark):
+    """Fit by plain expectation maximisation over listed segmentations, and score, on a small table."""
+    pieces = piece_numbers()
+    rows = [row(i, prose(40 + i, 3), "a" if i % 2 else "b") for i in range(4)] + [row(9, "un\u7684\u662f x\U0001f600", None)]
+
+    def ways(text):
+        if not text:
+            yield []
+        for j in range(1, len(text) + 1):
+            if text[:j] in pieces:
+                for rest in ways(text[j:]):
+                    yield [pieces[text[:j]], *rest]
+
+    tables = []
+    for lang in "ab":
+        counts = Counter(w for _, t, x, *_ in rows if x == lang for w in t.split())
+        prob = np.full(len(pieces), 1.0 / len(pieces))
+        for _ in range(langid.ROUNDS):
+            expected = np.full(len(pieces), 0.05)
+            for w, n in counts.items():
+                listed = list(ways("\u2581" + w))
+                p = np.array([np.prod(prob[x]) for x in listed])
+                for x, share in zip(listed, n * p / p.sum()):
+                    np.add.at(expected, x, share)
+            prob = expected / expected.sum()
+        tables.append(np.maximum(prob, langid.LEAST))
+    for x in got(langid.identify(spark.createDataFrame(rows, SCHEMA))):
+        text = next(t for i, t, *_ in rows if i == x["doc_id"])
+        chars = sum(len(w) + 1 for w in text.split())
+        a, b = (sum(log_score(w, t, pieces) for w in text.split()) / chars for t in tables)
+        assert x["predicted"] == ("a" if a >= b else "b") and np.isclose(x["log_prob"], max(a, b)) and np.isclose(x["margin"], abs(a - b), atol=1e-9)
+
+
+def test_language_id_of_copies_and_unspaced_scripts(spark):
+    han = "\u7684\u662f\u4e0d\u4e86\u5728\u4eba\u6709\u6211\u4ed6\u8fd9\u4e2a\u4eec\u4e2d\u6765\u4e0a\u5927\u4e3a\u548c\u56fd\u5730"
+    r = random.Random(8)
+    one = "\u3053\u308c\u306f\u79c1\u306e\u672c\u3067\u3059" * 6
+    rows = [row(1, one, "ja")] * 3000 + [row(10_000 + i, "".join(r.choices(han, k=60)), "zh") for i in range(40)] + [row(20_000 + i, prose(i, 20), "xx") for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    langs, table = langid.fit(docs)
+    assert langs == ["ja", "xx", "zh"] and all(c.max() > 20 * c.min() for c in table.T)
+    fresh = spark.createDataFrame([row(i, "".join(r.choices(han, k=60)), None) for i in range(20)] + [row(50, one[:40], None)], SCHEMA)
+    assert [x["predicted"] for x in sorted(got(langid.identify(fresh, model=(langs, table))), key=lambda x: x["doc_id"])] == ["zh"] * 20 + ["ja"]
+
+
 def test_language_id_held_out(spark, none):
     fr, en = ["le", "chien", "dans", "maison", "avec", "rouge"], ["the", "dog", "house", "with", "under", "green"]
     r = random.Random(3)
