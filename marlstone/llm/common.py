@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -188,7 +188,7 @@ def encode_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     if empty.any():  # before leading and after trailing white space, and all of an empty text
         kept = np.concatenate([[0], np.cumsum(~empty)])
         offsets, flat = kept[offsets], flat.filter(pa.array(~empty))
-    coded = flat.dictionary_encode()
+    coded = (flat.cast(pa.string()) if flat.nbytes < 1 << 31 else flat).dictionary_encode()  # 32-bit offsets are faster
     return offsets, coded.indices.to_numpy(), coded.dictionary
 
 
@@ -221,6 +221,22 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names for temporary use: the given ones, lengthened until the table has no such column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by name, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def sample_ids(df: DataFrame, key: str, rows: int, salt: int = 7) -> DataFrame:
     """At most ``rows`` distinct keys, the lowest by hash, found without sorting the table."""
     keys = df.select(F.col(key)).where(F.col(key).isNotNull())
@@ -232,5 +248,14 @@ def sample_ids(df: DataFrame, key: str, rows: int, salt: int = 7) -> DataFrame:
     return hashed.distinct().orderBy("_h", key).limit(rows).select(key)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Arrow batches hold 2,000 rows where the session has Spark's default of 10,000: whole texts come in them, and
+    a worker and its executor hold a batch or two each at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

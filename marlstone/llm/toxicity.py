@@ -3,8 +3,8 @@
 1. Voters. Lexicons (public insults, and words mined from a bounded sample of labelled rows), stem patterns (mined
    prefixes), density, repetition and direct-address patterns and a voter for clean text each vote toxic, clean or nothing.
 2. Label model. All documents' vote patterns are counted. Expectation maximisation fits a generative model of the votes
-   given the hidden label: each voter's accuracy, and the correlations between voters given the label, by which voters
-   that go together are discounted. It yields a posterior for each pattern.
+   given the hidden label: each voter's accuracy and the correlations between voters given the label, by which voters
+   that go together are discounted, are estimated together in every round. It yields a posterior for each pattern.
 3. Classifier. An L1 logistic regression over words and stems is trained on the posteriors of a bounded sample; it alone
    decides, so it also finds toxic text on which the voters say little.
 """
@@ -19,12 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import encode_words, lean, plain, sample_ids, slices
 
-FIT_ROWS, THRESHOLD = 3000, 0.5
+FIT_ROWS, FIT_FEATURES, THRESHOLD = 3000, 5000, 0.5
+AROUND = ".,;:!?\"'()[]{}<>*_-\u2026\u201c\u201d\u201e\u2018\u2019\u00ab\u00bb\u00a1\u00bf"  # taken off a word before it is looked up
 PRECISION = 0.92  # share of toxic texts among those that a mined sign or a feature may have at least
 STEMS = (4, 5, 6, 7)
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -110,33 +112,36 @@ def unpack(patterns: list[int]) -> np.ndarray:
     return np.array([[p >> 2 * v & 3 for v in range(len(VOTERS))] for p in patterns], np.int64).reshape(-1, len(VOTERS))
 
 
-def fit_labels(patterns: list[int], counts: list[int], rounds: int = 25) -> LabelModel:
+def fit_labels(patterns: list[int], counts: list[int], prior: float = 0.1, rounds: int = 40) -> LabelModel:
     """Expectation maximisation over the counted patterns, from the belief that voters are right nine times in ten.
 
-    Accuracies are fitted as if voters were independent, which overstates the evidence of voters that go together; their
-    correlations given the label, estimated with those posteriors, then discount them. Voters are held to be better than
-    chance.
+    Every round estimates the share of toxic documents, the correlations between voters given the label, and the
+    accuracies, in which a vote counts as much as the correlations leave it. The first quarter of the rounds holds voters
+    to be independent: while labels are vague, what they share by the label would pass for correlation. Voters are held
+    to be better than chance; without that the two labels could be exchanged. ``prior`` is where the share of toxic
+    documents starts.
     """
     v, w = unpack(patterns), np.array(counts, float)
     m = len(VOTERS)
-    model = LabelModel(0.1, np.full(m, 0.9), np.zeros((m, m)))
     voting = (v > 0) * 1.0
-    for _ in range(rounds):
+    model = LabelModel(float(np.clip(prior, 0.01, 0.99)), np.full(m, 0.9), np.zeros((m, m)))
+    for k in range(rounds):
         post = model.posterior(v)
-        right = np.where(v == TOXIC, post[:, None], np.where(v == CLEAN, 1 - post[:, None], 0.0))
-        accuracy = (w @ right + 5.4) / (w @ voting + 6.0)
-        prior = (np.dot(w, post) + 1) / (w.sum() + 10)
-        model = LabelModel(float(min(0.3, max(0.02, prior))), np.clip(accuracy, 0.6, 0.999), model.correlation)
-    post = model.posterior(v)
-    phi = np.zeros((m, m))
-    for part in (w * (1 - post), w * post):
-        n = part.sum() + 1e-9
-        mean = part @ voting / n
-        cov = (voting * part[:, None]).T @ voting / n - np.outer(mean, mean)
-        spread = np.sqrt(np.maximum(np.outer(mean * (1 - mean), mean * (1 - mean)), 1e-8))
-        phi = np.maximum(phi, np.where(spread > 1e-3, cov / spread, 0.0))
-    np.fill_diagonal(phi, 0.0)
-    return LabelModel(model.prior, model.accuracy, np.where(phi > 0.1, np.minimum(phi, 1.0), 0.0))
+        phi = np.zeros((m, m))
+        for part in (w * (1 - post), w * post) if 4 * k >= rounds else ():
+            n = part.sum() + 1e-9
+            mean = part @ voting / n
+            cov = (voting * part[:, None]).T @ voting / n - np.outer(mean, mean)
+            spread = np.sqrt(np.maximum(np.outer(mean * (1 - mean), mean * (1 - mean)), 1e-8))
+            phi = np.maximum(phi, np.where(spread > 1e-3, cov / spread, 0.0))
+        np.fill_diagonal(phi, 0.0)
+        phi = np.where(phi > 0.1, np.minimum(phi, 1.0), 0.0)
+        vote = voting / (1 + voting @ phi)
+        right = vote * np.where(v == TOXIC, post[:, None], np.where(v == CLEAN, 1 - post[:, None], 0.0))
+        accuracy = (w @ right + 5.4) / (w @ vote + 6.0)
+        share = (np.dot(w, post) + 1) / (w.sum() + 10)
+        model = LabelModel(float(np.clip(share, 1e-4, 1 - 1e-4)), np.clip(accuracy, 0.55, 0.999), phi)
+    return model
 
 
 def features(words: set[str]) -> set[str]:
@@ -199,72 +204,115 @@ class Model:
     bias: float
 
 
-def _hits(part: pa.RecordBatch, lists: tuple, weights: dict[str, float] | None):
-    """For each row: [(place, bits, word)] of its listed words, and the set of its features that weigh something."""
-    offsets, codes, words = encode_words(part.column("text"))
-    bits, told = np.zeros(len(words), bool), {}
-    for k, raw in enumerate(words.to_pylist()):
-        raw = raw.lower()
-        for word in (raw,) if raw.isalpha() else LETTERS.findall(raw):
-            flag = bits_of(word, *lists)
-            feats = [f for f in (word, *("^" + t for t in stems_of(word)), *("2^" + t for t in stems_of(word))) if f in weights] if weights else []
+class Reader:
+    """What the words of a text are to a model. Only words that may be on a list are looked at one by one: Arrow finds
+    those that are listed themselves or have a listed stem, and those with other signs than letters inside."""
+
+    def __init__(self, lists: tuple, weights: dict[str, float] | None = None):
+        mined, stems, twice, _ = lists
+        self.lists, self.weights = lists, weights or {}
+        weighed = {f.lstrip("2^") for f in self.weights}
+        self.listed = pa.array(sorted({*mined, *ADDRESS, *weighed}.union(*LEXICONS)), pa.string())
+        starts = {*twice, *weighed}.union(*stems.values())
+        self.starts = [(n, pa.array(sorted(t for t in starts if len(t) == n), pa.string())) for n in STEMS]
+
+    def candidates(self, words: pa.Array) -> np.ndarray:
+        bare = pc.utf8_trim(pc.utf8_lower(words), AROUND)
+        out = pc.or_(pc.invert(pc.utf8_is_alpha(bare)), pc.is_in(bare, self.listed))
+        for n, known in self.starts:
+            if len(known):
+                out = pc.or_(out, pc.is_in(pc.utf8_slice_codeunits(bare, 0, n), known))
+        return np.flatnonzero(out.to_numpy(zero_copy_only=False))
+
+    def of(self, raw: str) -> list[tuple[int, str, list[str]]]:
+        """(bits, word, weighed features) of the words of letters in a run between white space."""
+        lower, out = raw.lower(), []
+        for word in (lower,) if lower.isalpha() else LETTERS.findall(lower):
+            flag = bits_of(word, *self.lists)
+            feats = [f for f in (word, *("^" + t for t in stems_of(word)), *("2^" + t for t in stems_of(word))) if f in self.weights] if self.weights else []
             if flag or feats:
-                bits[k] = True
-                told.setdefault(k, []).append((flag, word, feats))
-    listed: list[list[tuple[int, int, str]]] = [[] for _ in range(part.num_rows)]
-    found: list[set[str]] = [set() for _ in range(part.num_rows)]
-    halves: list[dict[str, str]] = [{} for _ in range(part.num_rows)]  # the first word that has a stem
-    at = np.flatnonzero(bits[codes]) if len(codes) else np.zeros(0, np.int64)
-    row = np.searchsorted(offsets, at, side="right") - 1
-    for place, r, code in zip(at.tolist(), row.tolist(), codes[at].tolist()):
-        for flag, word, feats in told[code]:
-            if flag:
-                listed[r].append((place, flag, word))
-            for f in feats:
-                if f[:2] != "2^" or halves[r].setdefault(f, word) != word:
-                    found[r].add(f)
-    return listed, found
-
-
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+                out.append((flag, word, feats))
+        return out
+
+    def hits(self, part: pa.RecordBatch) -> tuple[list[list[tuple[int, int, str]]], list[set[str]]]:
+        """For each row: [(place, bits, word)] of its listed words, and the set of its features that weigh something."""
+        offsets, codes, words = encode_words(part.column("text"))
+        listed: list[list[tuple[int, int, str]]] = [[] for _ in range(part.num_rows)]
+        found: list[set[str]] = [set() for _ in range(part.num_rows)]
+        words, told = words.cast(pa.string()), {}
+        some = self.candidates(words)
+        for k, raw in zip(some.tolist(), words.take(pa.array(some)).to_pylist()):
+            if x := self.of(raw):
+                told[k] = x
+        if not told:
+            return listed, found
+        marked = np.zeros(len(words), bool)
+        marked[list(told)] = True
+        at = np.flatnonzero(marked[codes])
+        row = np.searchsorted(offsets, at, side="right") - 1
+        halves: dict[tuple[int, str], str] = {}  # the first word of a row that has a stem
+        for place, r, code in zip(at.tolist(), row.tolist(), codes[at].tolist()):
+            for flag, word, feats in told[code]:
+                if flag:
+                    listed[r].append((place, flag, word))
+                for f in feats:
+                    if f[:2] != "2^" or halves.setdefault((r, f), word) != word:
+                        found[r].add(f)
+        return listed, found
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_features: int = FIT_FEATURES) -> Model:
     """The whole model. ``rows`` bounds the labelled sample that the lexicons and the classifier are learnt from (the
-    rows lowest by hash of doc_id); vote patterns are counted over all documents."""
+    rows lowest by hash of doc_id), ``most_features`` the features of the classifier (those of most toxic texts first);
+    vote patterns are counted over all documents. Texts stay in the executors: what comes to the driver of the sample is
+    the set of its distinct words."""
     spark = docs.sparkSession
     known = plain(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = plain(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     ids = [r["doc_id"] for r in sample_ids(known, "doc_id", rows).collect()]
     picked = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
     truth = {r["doc_id"]: bool(r["toxic"]) for r in known.join(F.broadcast(picked), "doc_id").collect()}
-    sample = sorted((r["doc_id"], r["text"]) for r in texts.join(F.broadcast(picked), "doc_id").collect())
-    worded = [features(set(LETTERS.findall(text.lower()))) for _, text in sample]
+
+    def spell(batches):
+        for batch in batches:
+            for part in slices(batch):
+                own = [sorted(set(LETTERS.findall(t.lower()))) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "th", "words"])
+
+    spelt = texts.join(F.broadcast(picked), "doc_id").withColumn("th", F.xxhash64("text")).mapInArrow(lean(spell), "doc_id bigint, th bigint, words array<string>")
+    sample = sorted((r["doc_id"], r["th"], r["words"]) for r in spelt.collect())
+    worded = [features(set(words)) for *_, words in sample]
     # copies of one text would pass off its words as signs: of texts that share their lowest word hashes one is kept
     once = {tuple(sorted(zlib.crc32(w.encode()) for w in feats)[:4]): k for k, feats in reversed(list(enumerate(worded)))}
-    sample, worded = [sample[k] for k in sorted(once.values())], [worded[k] for k in sorted(once.values())]
+    sample, worded = [sample[k][:2] for k in sorted(once.values())], [worded[k] for k in sorted(once.values())]
     toxic = np.array([truth[i] for i, _ in sample], bool)
     lists = mine(worded, toxic)
+    wanted = spark.sparkContext.broadcast({i for i, _ in sample})
 
     def count(batches):
+        reader = Reader(lists)
         for batch in batches:
             for part in slices(batch):
-                patterns = Counter(votes(h, lists[2])[0] for h in _hits(part, lists, None)[0])
-                yield pa.RecordBatch.from_arrays([pa.array(list(patterns), pa.int64()), pa.array(list(patterns.values()), pa.int64())], names=["pattern", "n"])
-
-    counted = texts.mapInArrow(lean(count), "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+                told = [votes(h, lists[2])[0] for h in reader.hits(part)[0]]
+                patterns = Counter(told)
+                own = {p: [] for p in patterns}
+                for p, i, th in zip(told, part.column("doc_id").to_pylist(), part.column("th").to_pylist()):
+                    if i in wanted.value:
+                        own[p].append({"doc_id": i, "th": th})
+                item = pa.list_(pa.struct([("doc_id", pa.int64()), ("th", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array(list(patterns), pa.int64()), pa.array(list(patterns.values()), pa.int64()), pa.array(list(own.values()), item)], names=["pattern", "n", "own"])
+
+    parts = texts.withColumn("th", F.xxhash64("text")).mapInArrow(lean(count), "pattern bigint, n bigint, own array<struct<doc_id:bigint,th:bigint>>")
+    counted = parts.groupBy("pattern").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("own")).alias("own")).orderBy("pattern").collect()
     if not counted:
         return Model(*lists, None, {}, {}, -9.0)
     patterns = [r["pattern"] for r in counted]
-    model = fit_labels(patterns, [r["n"] for r in counted])
+    model = fit_labels(patterns, [r["n"] for r in counted], float(toxic.mean()) if len(toxic) else 0.1)
     posteriors = dict(zip(patterns, model.posterior(unpack(patterns)).tolist()))
     if not sample:  # nothing is labelled: the lexicons' words get fixed weights
         return Model(*lists, model, posteriors, {w: 4.0 for lex in LEXICONS for w in lex}, -2.0)
-    own, known_bits = [], {}
-    for _, text in sample:
-        hits = []
-        for place, raw in enumerate(text.split()):
-            if raw not in known_bits:
-                known_bits[raw] = [(b, w) for w in LETTERS.findall(raw.lower()) if (b := bits_of(w, *lists))]
-            hits += [(place, *x) for x in known_bits[raw]]
-        own.append(posteriors.get(votes(hits, lists[2])[0], 0.0))
+    voted = {(x["doc_id"], x["th"]): posteriors[r["pattern"]] for r in counted for x in r["own"]}
+    own = [voted[k] for k in sample]
     target = np.array(own)
     df, mass = Counter(), Counter()
     for feats, p in zip(worded, own):
@@ -273,15 +321,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             mass.update(feats)
     varied = _varied([f for f, p in zip(worded, own) if p > 0.5])
     least = max(3, 0.012 * sum(p > 0.5 for p in own))
-    kept = sorted((f for f, n in df.items() if mass[f] >= least and mass[f] >= PRECISION * n and (f[0] not in "^2" or varied(f))), key=lambda f: (-mass[f], f))[:5000]  # those that lean toxic
+    leaning = (f for f, n in df.items() if mass[f] >= least and mass[f] >= PRECISION * n and (f[0] not in "^2" or varied(f)))
+    kept = sorted(leaning, key=lambda f: (-mass[f], f))[:most_features]
     column = {f: k for k, f in enumerate(kept)}
     w, b = logistic_l1([[column[f] for f in feats if f in column] for feats in worded], len(kept), target)
     weights = {f: float(x) for f, x in zip(kept, w) if abs(x) > 1e-3}
     return Model(*lists, model, posteriors, weights, b)
 
 
-def _judge(part: pa.RecordBatch, model: Model) -> tuple[list[int], list[float], list[float]]:
-    listed, found = _hits(part, (model.mined, model.stems, model.twice, model.innocent), model.weights)
+def _reader(model: Model) -> Reader:
+    return Reader((model.mined, model.stems, model.twice, model.innocent), model.weights)
+
+
+def _judge(part: pa.RecordBatch, model: Model, reader: Reader) -> tuple[list[int], list[float], list[float]]:
+    listed, found = reader.hits(part)
     voted = [votes(h, model.twice) for h in listed]
     score = [1 / (1 + np.exp(-min(50.0, max(-50.0, model.bias + sum(model.weights[f] for f in sorted(s)))))) for s in found]
     return [n for _, n in voted], [model.posteriors.get(p, 0.0) for p, _ in voted], [float(s) for s in score]
@@ -291,17 +344,20 @@ def judged(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold:
     """One row for each row of ``docs``: number of listed words, the label model's ``posterior``, the classifier's
     ``score``, and ``toxic`` (score of at least the threshold).
 
-    A null text has null n_hits, posterior and score and is not toxic; an empty one has no hits. Without labels the
-    public lexicons alone vote and weigh. Labels with null doc_id or null toxic are ignored; of several labels for a
-    document the highest counts. Null doc_id and repeated rows are carried through one to one; other columns are
-    ignored. The model is broadcast; it is at most some thousand features, whatever the input.
+    A null text has null n_hits, posterior and score and is not toxic; an empty one has no hits, and its score is that
+    of no feature. Texts of any length are judged whole. An empty table gives no rows. Without labels the public lexicons
+    alone vote and weigh. Labels with null doc_id or null toxic are ignored; of several labels for a document the highest
+    counts. A score equal to the threshold is toxic. Null doc_id and repeated rows are carried through one to one; other
+    columns are ignored, whatever their names. The model is broadcast; it has at most ``FIT_FEATURES`` weights, whatever
+    the input.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, labels, rows))
 
     def work(batches):
+        reader = _reader(shared.value)
         for batch in batches:
             for part in slices(batch):
-                hits, posterior, score = _judge(part, shared.value)
+                hits, posterior, score = _judge(part, shared.value, reader)
                 null = part.column("text").is_null().to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -316,13 +372,18 @@ def judged(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold:
 
 
 def clean(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects, all columns as they were; null texts stay."""
+    """``docs`` without the rows that ``judged`` finds toxic, all columns as they were, whatever their names.
+
+    A null text is not toxic and stays; an empty text, a null doc_id, repeated rows, very long texts and an empty table
+    are handled as in ``judged``.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
 
     def work(batches):
+        reader = _reader(shared.value)
         for batch in batches:
             for part in slices(batch):
-                score = _judge(part, shared.value)[2]
-                yield part.filter(pa.array([s < threshold for s in score]))
+                score = _judge(part, shared.value, reader)[2]
+                yield part.filter(pa.array([z or s < threshold for s, z in zip(score, part.column("text").is_null().to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(lean(work), docs.schema)
