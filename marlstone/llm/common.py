@@ -237,6 +237,21 @@ def quoted(names: list[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def filtered(df: DataFrame, keep: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows of ``df`` whose text is kept, all columns as they were, whatever their names. ``keep`` is called once in
+    a task and gives the function that judges slices, which have a column ``text``."""
+    safe = ["text" if n == "text" else f"c{i}" for i, n in enumerate(df.columns)]
+
+    def work(batches):
+        judge = keep()
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(judge(part), pa.bool_()))
+
+    renamed = df.toDF(*safe)
+    return renamed.mapInArrow(lean(work), renamed.schema).toDF(*df.columns)
+
+
 def sample_ids(df: DataFrame, key: str, rows: int, salt: int = 7) -> DataFrame:
     """At most ``rows`` distinct keys, the lowest by hash, found without sorting the table."""
     keys = df.select(F.col(key)).where(F.col(key).isNotNull())

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import NONWORD, U64, Grams, buffers, lean, plain, row_of, slices, word_hashes, word_spans
+from marlstone.llm.common import NONWORD, U64, Grams, buffers, filtered, lean, plain, row_of, slices, word_hashes, word_spans
 
 SHINGLE, RADIUS, SIMILARITY = 3, 20, 0.6
 BLOCKS, BLOCK_BITS = 4, 16
@@ -172,8 +172,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, si
     Words are lower-cased runs of letters and digits. A null text, an empty one, or one of fewer than three words has
     no shingle and is clean, as is any against an empty benchmark; an item of fewer than three words, or with a null
     item_id or text, is not searched for. Rows with null doc_id are left out here. Repeated rows, and texts that share
-    a doc_id or item_id, give one row for the pair, its most similar; ties go to the first window. Other columns are
-    ignored. One scan of the documents and no shuffle of texts, for each ``max_items`` items.
+    a doc_id or item_id, give one row for the pair, its most similar; ties go to the first window. Texts of any length
+    are searched whole. An empty table gives no rows. Other columns are ignored, whatever their names. One scan of the
+    documents and no shuffle of texts, for each ``max_items`` items.
     """
     found = docs.sparkSession.createDataFrame([], SCHEMA)
     for shared in indexes(benchmark, radius, max_items):
@@ -202,14 +203,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, si
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, max_items: int = MAX_ITEMS) -> DataFrame:
-    """``docs`` without the contaminated rows, all columns as they were; decided row by row, with no shuffle."""
+    """``docs`` without the contaminated rows, all columns as they were, whatever their names; decided row by row, with
+    no shuffle. Rows with null doc_id are judged like any, null and empty texts stay, repeated rows share one fate, and an
+    empty table stays empty."""
     for shared in indexes(benchmark, radius, max_items):
 
-        def work(batches, shared=shared):
-            for batch in batches:
-                for part in slices(batch):
-                    bad = {m[0] for m in matches(shared.value, *buffers(pc.utf8_lower(part.column("text"))), similarity)}
-                    yield part.filter(pa.array([i not in bad for i in range(part.num_rows)]))
+        def keep(shared=shared):
+            def judge(part):
+                bad = {m[0] for m in matches(shared.value, *buffers(pc.utf8_lower(part.column("text"))), similarity)}
+                return [i not in bad for i in range(part.num_rows)]
+
+            return judge
 
-        docs = docs.mapInArrow(lean(work), docs.schema)
+        docs = filtered(docs, keep)
     return docs

@@ -60,17 +60,18 @@ class Packer:
 def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, shard_rows: int = SHARD_ROWS, vocabulary: str = tokencount.VOCABULARY) -> DataFrame:
     """Rows (doc_id, piece, n_tokens, bin_id, bin_offset): each piece of each document and its place in a bin.
 
-    Lengths are exact token counts of whole texts. Shards are made by a hash of doc_id, about ``shard_rows`` rows
-    each, and packed side by side; bin_id is the shard times 2**32 plus a count, so bins never mix shards. Within a
+    Lengths are exact token counts of whole texts. Shards are made by a hash of doc_id and length, about ``shard_rows``
+    rows each, and packed side by side; bin_id is the shard times 2**32 plus a count, so bins never mix shards. Within a
     shard the order is doc_id (null first), then length; documents that tie are alike for packing. A null or empty
-    text has nothing to pack: one row with n_tokens 0 and no bin. Repeated rows are packed each. Other columns are
-    ignored. Only ids and lengths are shuffled.
+    text has nothing to pack: one row with n_tokens 0 and no bin. A very long text makes as many pieces as it fills bins.
+    Repeated rows are packed each. An empty table gives no rows. Other columns are ignored, whatever their names. Only
+    ids and lengths are shuffled; a shard is streamed, and what a task holds is its open bins.
     """
     if capacity < 1 or open_bins < 1 or shard_rows < 1:
         raise ValueError("capacity, open_bins and shard_rows must be positive")
     sized = durable(tokencount.counts(docs, vocabulary).select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")))
     shards = max(1, -(-sized.count() // shard_rows))
-    keyed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    keyed = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards)).cast("int"))
 
     def work(batches):
         shard, packer = None, None
@@ -91,4 +92,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "n_tokens", "bin_id", "bin_offset"])
 
-    return keyed.repartition("shard").sortWithinPartitions("shard", "doc_id", "n_tokens").mapInArrow(lean(work), SCHEMA)
+    return keyed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens").mapInArrow(lean(work), SCHEMA)

@@ -48,9 +48,13 @@ def anchors(codes: np.ndarray, k: int = KMER, s: int = SMER) -> tuple[np.ndarray
 def fingerprints(docs: DataFrame, k: int = KMER, s: int = SMER) -> DataFrame:
     """One row for each closed syncmer: ``doc_id``, ``pos`` (characters from 0) and ``anchor``.
 
-    Texts are taken as they are, whole. A null text, an empty one or one shorter than k gives no rows; a null
-    doc_id is carried through; a repeated row gives its anchors again; where s-mers tie for the least, an edge that
-    equals the least counts. Other columns are ignored. No shuffle.
+    Texts are taken as they are, whole, however long. A null text, an empty one or one shorter than k gives no rows, and
+    an empty table none at all; a null doc_id is carried through; texts that share a doc_id and repeated rows each give
+    their anchors; where s-mers tie for the least, an edge that equals the least counts. Other columns are ignored,
+    whatever their names. No shuffle.
+
+    Of the k-mers 2 in k - s + 1 are anchors. A closed syncmer begins in every k - s + 1 characters or fewer, so a shared
+    passage of 2 * k - s - 1 characters (107) surely has a common anchor; a shorter one of at least k may have.
     """
     if not 0 < s <= min(k, 64):
         raise ValueError("0 < s <= k, and s <= 64")
@@ -83,23 +87,25 @@ def fingerprints(docs: DataFrame, k: int = KMER, s: int = SMER) -> DataFrame:
 
 
 def matches(docs: DataFrame, k: int = KMER, s: int = SMER) -> DataFrame:
-    """Pairs of documents by shared anchors: ``doc_a < doc_b``, ``shift`` (pos_b - pos_a) and how many agree on it.
+    """Links between documents by shared anchors: ``doc_b`` and ``doc_a``, the least document that has the anchor
+    (doc_a < doc_b), ``shift`` (pos_b - pos_a) and how many anchors agree on it.
 
-    Anchors join on their value alone; a passage moved as a block shows as many anchors with one shift.
+    A document is linked to the first holder of each of its anchors, not to every one: that connects all documents that
+    share an anchor, in as many rows as there are anchors, however many documents share one. A passage moved as a block
+    shows as many anchors with one shift. Rows with null doc_id are left out; rows repeated as they are count once.
     """
     found = fingerprints(docs, k, s).where(F.col("doc_id").isNotNull()).distinct()
-    a = found.select(F.col("doc_id").alias("doc_a"), F.col("pos").alias("pos_a"), "anchor")
-    b = found.select(F.col("doc_id").alias("doc_b"), F.col("pos").alias("pos_b"), "anchor")
+    first = found.groupBy("anchor").agg(F.min(F.struct("doc_id", "pos")).alias("a"), F.count("*").alias("n")).where("n > 1").select("anchor", "a")
     return (
-        a.join(b, "anchor")
-        .where("doc_a < doc_b")
-        .groupBy("doc_a", "doc_b", (F.col("pos_b") - F.col("pos_a")).alias("shift"))
+        found.join(first, "anchor")
+        .where("doc_id > a.doc_id")
+        .groupBy(F.col("a.doc_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), (F.col("pos") - F.col("a.pos")).alias("shift"))
         .agg(F.count("*").alias("n_anchors"))
     )
 
 
 def sql(k: int = KMER, s: int = SMER) -> str:
-    """The same anchors in DuckDB SQL over ``documents``."""
+    """The same anchors in DuckDB SQL over ``documents`` whose doc_ids are not null and different."""
     w = k - s + 1
     lead = " + ".join(f"lead(code, {j}) OVER w * {int(COEFFICIENTS[j])}::HUGEINT" for j in range(s))
     return f"""

@@ -107,8 +107,9 @@ def encode_long(text: str, path: str, chunk: int, overlap: int) -> tuple[list[in
 def counts(docs: DataFrame, vocabulary: str = VOCABULARY, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """One row for each row of ``docs``: exact ``n_tokens`` of the whole text, and how it was chunked.
 
-    A null text gives null counts, an empty one zeros (and no chunk). A null doc_id and repeated rows are carried
-    through one to one; other columns are ignored. No shuffle.
+    A null text gives null counts, an empty one zeros (and no chunk). An empty table gives no rows. Texts of any length
+    are counted whole. A null doc_id, repeated ids and repeated rows are carried through one to one; other columns are
+    ignored, whatever their names. No shuffle.
     """
 
     def work(batches):

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import encode_words, lean, plain, sample_ids, slices
+from marlstone.llm.common import encode_words, filtered, lean, plain, sample_ids, slices
 
 FIT_ROWS, FIT_FEATURES, THRESHOLD = 3000, 5000, 0.5
 AROUND = ".,;:!?\"'()[]{}<>*_-\u2026\u201c\u201d\u201e\u2018\u2019\u00ab\u00bb\u00a1\u00bf"  # taken off a word before it is looked up
@@ -112,19 +112,23 @@ def unpack(patterns: list[int]) -> np.ndarray:
     return np.array([[p >> 2 * v & 3 for v in range(len(VOTERS))] for p in patterns], np.int64).reshape(-1, len(VOTERS))
 
 
-def fit_labels(patterns: list[int], counts: list[int], prior: float = 0.1, rounds: int = 40) -> LabelModel:
+def fit_labels(patterns: list[int], counts: list[int], known: dict[int, tuple[int, int]] | None = None, rounds: int = 40) -> LabelModel:
     """Expectation maximisation over the counted patterns, from the belief that voters are right nine times in ten.
 
     Every round estimates the share of toxic documents, the correlations between voters given the label, and the
     accuracies, in which a vote counts as much as the correlations leave it. The first quarter of the rounds holds voters
     to be independent: while labels are vague, what they share by the label would pass for correlation. Voters are held
-    to be better than chance; without that the two labels could be exchanged. ``prior`` is where the share of toxic
-    documents starts.
+    to be better than chance; without that the two labels could be exchanged. ``known`` has (clean, toxic) counts of the
+    labelled sample by pattern. It counts as much as all documents together: a voter that never votes beside others
+    has nothing else to be measured by.
     """
     v, w = unpack(patterns), np.array(counts, float)
     m = len(VOTERS)
     voting = (v > 0) * 1.0
-    model = LabelModel(float(np.clip(prior, 0.01, 0.99)), np.full(m, 0.9), np.zeros((m, m)))
+    sure = np.array([(known or {}).get(p, (0, 0)) for p in patterns], float).reshape(-1, 2)
+    sure *= w.sum() / max(1.0, sure.sum())
+    start = sure.sum(axis=0)[1] / sure.sum() if sure.sum() else 0.1
+    model = LabelModel(float(np.clip(start, 0.01, 0.99)), np.full(m, 0.9), np.zeros((m, m)))
     for k in range(rounds):
         post = model.posterior(v)
         phi = np.zeros((m, m))
@@ -137,9 +141,11 @@ def fit_labels(patterns: list[int], counts: list[int], prior: float = 0.1, round
         np.fill_diagonal(phi, 0.0)
         phi = np.where(phi > 0.1, np.minimum(phi, 1.0), 0.0)
         vote = voting / (1 + voting @ phi)
-        right = vote * np.where(v == TOXIC, post[:, None], np.where(v == CLEAN, 1 - post[:, None], 0.0))
-        accuracy = (w @ right + 5.4) / (w @ vote + 6.0)
-        share = (np.dot(w, post) + 1) / (w.sum() + 10)
+        toxic = w * post + sure[:, 1]
+        clean = w * (1 - post) + sure[:, 0]
+        right = np.where(v == TOXIC, toxic[:, None], np.where(v == CLEAN, clean[:, None], 0.0))
+        accuracy = ((vote * right).sum(axis=0) + 5.4) / ((toxic + clean) @ vote + 6.0)
+        share = (toxic.sum() + 1) / ((toxic + clean).sum() + 10)
         model = LabelModel(float(np.clip(share, 1e-4, 1 - 1e-4)), np.clip(accuracy, 0.55, 0.999), phi)
     return model
 
@@ -307,7 +313,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_features:
     if not counted:
         return Model(*lists, None, {}, {}, -9.0)
     patterns = [r["pattern"] for r in counted]
-    model = fit_labels(patterns, [r["n"] for r in counted], float(toxic.mean()) if len(toxic) else 0.1)
+    truth_of = {k: bool(y) for k, y in zip(sample, toxic)}
+    own = {r["pattern"]: Counter(truth_of[x["doc_id"], x["th"]] for x in r["own"] if (x["doc_id"], x["th"]) in truth_of) for r in counted}
+    model = fit_labels(patterns, [r["n"] for r in counted], {p: (c[False], c[True]) for p, c in own.items()})
     posteriors = dict(zip(patterns, model.posterior(unpack(patterns)).tolist()))
     if not sample:  # nothing is labelled: the lexicons' words get fixed weights
         return Model(*lists, model, posteriors, {w: 4.0 for lex in LEXICONS for w in lex}, -2.0)
@@ -379,11 +387,13 @@ def clean(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, threshold: f
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
 
-    def work(batches):
+    def keep():
         reader = _reader(shared.value)
-        for batch in batches:
-            for part in slices(batch):
-                score = _judge(part, shared.value, reader)[2]
-                yield part.filter(pa.array([z or s < threshold for s, z in zip(score, part.column("text").is_null().to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(lean(work), docs.schema)
+        def judge(part):
+            score = _judge(part, shared.value, reader)[2]
+            return [z or s < threshold for s, z in zip(score, part.column("text").is_null().to_pylist())]
+
+        return judge
+
+    return filtered(docs, keep)

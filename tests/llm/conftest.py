@@ -1,7 +1,11 @@
 import random
+import re
+from pathlib import Path
 
 import pytest
 
+import marlstone.llm
+
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 WORDS = [a + b + c for a in ("ba", "do", "ki", "lu", "me", "no", "pra", "sti") for b in ("ren", "tal", "vo", "ska", "mi") for c in ("n", "ra", "sk", "de", "lo")]
 
@@ -37,12 +41,20 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def temporary_names():
+    """Every name in quotes that the operators' code has and that could be a column: what they may call their own."""
+    names = set()
+    for f in Path(marlstone.llm.__file__).parent.glob("*.py"):
+        names |= set(re.findall(r"[\"']([A-Za-z_]\w{0,20})[\"']", f.read_text()))
+    return sorted({n.lower() for n in names} - {"doc_id", "text", "lang", "source", "n_chars"})
+
+
 @pytest.fixture(scope="session")
 def clashing(docs):
-    """The table with columns named as the operators name their own."""
+    """The table with columns named as the operators name their own, one with a dot and one with blanks."""
     from pyspark.sql import functions as F
 
-    return docs.withColumns({c: F.lit(1) for c in ("th", "fp", "pos", "rep", "k", "score", "shard", "n_tokens", "pattern", "anchor", "group_id", "item_id", "predicted", "hi", "lo")})
+    return docs.withColumns({c: F.lit(1) for c in (*temporary_names(), "_k", "_key", "_doc", "_th", "_spans", "a.b", "a b")})
 
 
 @pytest.fixture(scope="session")
