@@ -10,8 +10,9 @@
 4. Each shard compares the beam's results for a sample of its own points and one of the queries from other shards with
    an exact scan, and doubles the beam for all of its queries until the recall, in which every query counts alike,
    reaches the target in both, for small groups and for crowds.
-5. Pairs within the radius are verified by the sketches' Jaccard similarity; a shard sends on a spanning forest of the
-   verified edges, which the last step unions into connected groups.
+5. Pairs within the radius are verified by the sketches' Jaccard similarity. A shard unions its own points through the
+   queries that match them and sends on one edge a query and one for each union: enough to connect all that is
+   connected, in memory that its points bound. The last step unions the edges of all shards into groups.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marlstone.llm.common import NONWORD, U64, Grams, buffers, durable, lean, mix, plain, row_of, slices, word_hashes, word_spans
+from marlstone.llm.common import NONWORD, U64, Grams, buffers, durable, fresh, lean, mix, plain, quoted, row_of, slices, word_hashes, word_spans
 
 RADIUS, SIMILARITY = 22, 0.5
 SHARDS, SHARD_POINTS = 8, 500_000
@@ -34,7 +35,8 @@ ORDERS, SIDE, GATES = 16, 4, 128  # sorted orders of the codes, neighbours that
 AUDIT, AUDIT_PAIRS, RECALL = 16_384, 500, 0.96  # queries scanned at most and pairs wanted, of own and of foreign queries each
 SLOTS, EMPTY = 128, 0xFFFF
 LAST, NODE = np.uint32(0xFFFFFFFF), np.uint32(0x7FFFFF)
-SIGNATURES = "doc_id bigint, hi bigint, lo bigint, th bigint, sketch binary"
+MOST_POINTS = (1 << 23) - 1  # of one graph; its keys have no more bits for a node
+SIGNATURES = "node bigint, doc_id bigint, hi bigint, lo bigint, th bigint, sketch binary"
 
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1.0
@@ -94,10 +96,12 @@ class SmallWorld:
     """A navigable small-world graph over distinct 128-bit codes, built and searched for many codes at a time.
 
     A key is distance << 24 | node << 1 | open; sorting keys sorts by distance, and puts a node that was expanded
-    before the same node found again. A graph holds at most 2**23 - 1 nodes.
+    before the same node found again. A graph holds at most ``MOST_POINTS`` nodes.
     """
 
     def __init__(self, codes: np.ndarray):
+        if len(codes) > MOST_POINTS:
+            raise ValueError(f"{len(codes)} points in one graph; the most is {MOST_POINTS}")
         order = np.argsort(mix(codes[:, 0] ^ (codes[:, 1] << U64(1))), kind="stable")  # a random order gives long links
         self.codes, self.names = np.ascontiguousarray(codes[order]), order
         self.n = len(codes)
@@ -302,27 +306,30 @@ class SmallWorld:
             beam *= 2
 
 
-class Forest:
-    """Union of node numbers; ``join`` says whether an edge connected two parts."""
+class Union:
+    """Union of the numbers 0..n-1; the least number stands for a part."""
 
-    def __init__(self):
-        self.up: dict[int, int] = {}
+    def __init__(self, n: int):
+        self.up = np.arange(n)
 
     def find(self, x: int) -> int:
         up = self.up
         root = x
-        while (p := up.get(root, root)) != root:
+        while (p := up[root]) != root:
             root = p
         while x != root:
-            up[x], x = root, up.get(x, x)
-        return root
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+            up[x], x = root, up[x]
+        return int(root)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """Unions a[i] and b[i] one after the other; the i at which two parts became one."""
+        out = []
+        for i in np.flatnonzero(self.up[a] != self.up[b]).tolist():
+            x, y = self.find(int(a[i])), self.find(int(b[i]))
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                out.append(i)
+        return out
 
 
 def _sign(batches):
@@ -331,8 +338,8 @@ def _sign(batches):
             n, hi, lo, th, sketch = signatures(*buffers(pc.utf8_lower(part.column("text"))))
             some = pa.array(n > 0)
             out = pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(hi), pa.array(lo), pa.array(th), pa.array([r.tobytes() for r in sketch], pa.binary())],
-                names=["doc_id", "hi", "lo", "th", "sketch"],
+                [part.column("node"), part.column("doc_id"), pa.array(hi), pa.array(lo), pa.array(th), pa.array([r.tobytes() for r in sketch], pa.binary())],
+                names=["node", "doc_id", "hi", "lo", "th", "sketch"],
             )
             yield out.filter(some)
 
@@ -341,45 +348,48 @@ def _shard(radius: int, similarity: float):
     def work(batches):
         points: list[pa.RecordBatch] = []
         held: list[pa.RecordBatch] = []  # the first queries of other shards, which wait for the audit
-        graph, forest, beam = None, Forest(), BEAM
+        graph, beam = None, BEAM
 
         def columns(part):
             codes = np.stack([part.column(c).to_numpy() for c in ("hi", "lo")], axis=1).view(np.uint64)
             sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
-            return codes, sketch, part.column("doc_id").to_numpy()
+            return codes, sketch, part.column("node").to_numpy()
 
         def build():
-            nonlocal graph, beam, sketches, ids, first, count, by_code
+            nonlocal graph, beam, sketches, ids, first, count, by_code, parts
             codes, sketches, ids = columns(pa.Table.from_batches(points))
             by_code = np.lexsort((ids, codes[:, 1], codes[:, 0]))
             new = np.concatenate([[True], (codes[by_code][1:] != codes[by_code][:-1]).any(axis=1)])
             first = np.flatnonzero(new)
             count = np.diff(np.concatenate([first, [len(ids)]]))
-            graph = SmallWorld(codes[by_code][first])
+            graph, parts = SmallWorld(codes[by_code][first]), Union(len(ids))
             own = graph.codes[np.argsort(mix(graph.codes[:, 0] + U64(17)))[:AUDIT]]
             foreign = np.concatenate([columns(r)[0] for r in held] or [own[:0]])
             foreign = foreign[np.argsort(mix(foreign[:, 0] + U64(17)), kind="stable")]
             beam, _ = graph.audited_beam([own, foreign], radius)
 
         def ask(part):
-            codes, sketch, doc = columns(part)
-            edges = []
-            for i in range(0, len(doc), 2048):
+            codes, sketch, node = columns(part)
+            for i in range(0, len(node), 2048):
                 q, code = graph.search(codes[i : i + 2048], beam, radius)
                 size = count[code]  # a code stands for all points that have it
                 q = np.repeat(q, size) + i
                 p = by_code[np.repeat(first[code], size) + np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size)]
-                other = doc[q] != ids[p]
+                other = node[q] != ids[p]
                 q, p = q[other], p[other]
-                for j in range(0, len(q), 1 << 16):
-                    a, b = q[j : j + (1 << 16)], p[j : j + (1 << 16)]
-                    good = jaccard(sketch[a], sketches[b]) >= similarity
-                    edges += [(x, y) for x, y in zip(doc[a[good]].tolist(), ids[b[good]].tolist()) if forest.join(x, y)]
-            if edges:
-                a, b = np.array(edges).T
+                good = np.concatenate([jaccard(sketch[q[j : j + (1 << 16)]], sketches[p[j : j + (1 << 16)]]) >= similarity for j in range(0, len(q), 1 << 16)] or [np.zeros(0, bool)])
+                q, p = q[good], p[good]
+                if not len(q):
+                    continue
+                order = np.argsort(q, kind="stable")
+                q, p = q[order], p[order]
+                head = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+                anchor = np.repeat(p[head], np.diff(np.concatenate([head, [len(q)]])))
+                joined = parts.join(anchor, p)
+                a, b = np.concatenate([node[q[head]], ids[anchor[joined]]]), np.concatenate([ids[p[head]], ids[p[joined]]])
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-        sketches = ids = first = count = by_code = None
+        sketches = ids = first = count = by_code = parts = None
         for batch in batches:  # points come first
             if not batch.num_rows:
                 continue
@@ -408,30 +418,36 @@ def _shard(radius: int, similarity: float):
 
 
 def candidate_edges(nodes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, shards: int = SHARDS, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """Verified edges (a > b) between nodes (doc_id, hi, lo, sketch): enough to connect all that are connected."""
+    """Verified edges (a > b) between nodes (node, hi, lo, sketch): enough to connect all that are connected."""
+    if not 0 < shard_points <= MOST_POINTS // 2:  # twice the mean is far beyond what a hash puts in one shard
+        raise ValueError(f"0 < shard_points <= {MOST_POINTS // 2}")
     shards = max(shards, -(-nodes.count() // shard_points))
     home = F.pmod(F.xxhash64("hi", "lo"), F.lit(shards)).cast("int")
     sent = nodes.withColumn("home", home).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    sent = sent.select("doc_id", "hi", "lo", "sketch", "shard", (F.col("home") == F.col("shard")).alias("point"))
-    placed = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.desc("point"), F.xxhash64("doc_id"))  # queries in random order, the first are audited
+    sent = sent.select("node", "hi", "lo", "sketch", "shard", (F.col("home") == F.col("shard")).alias("point"))
+    placed = sent.repartitionById(shards, F.col("shard")).sortWithinPartitions(F.desc("point"), F.xxhash64("node"))  # queries in random order, the first are audited
     return placed.mapInArrow(lean(_shard(radius, similarity)), "a bigint, b bigint")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of an edge list and the least node connected to it, by large-star and small-star steps.
 
     Both steps shuffle only pairs of ids and keep the components; they end when a round changes nothing, which takes
-    about the logarithm of the longest chain. Each round is checkpointed.
+    about the logarithm of the longest chain. The least neighbour of a node is an aggregate joined to its edges, so a
+    node with very many of them is combined before the shuffle and split by the join. Each round is checkpointed.
     """
     def state(df):
         return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first())
 
+    def with_least(df):
+        return df.join(df.groupBy("a").agg(F.min("b").alias("m")), "a")
+
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = state(now)
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.withColumn("m", F.least("a", F.min("b").over(W.partitionBy("a")))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.where("a <> b").distinct().withColumn("m", F.min("b").over(W.partitionBy("a")))
+        large = with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+        small = with_least(durable(large.where("a <> b").distinct()))
         moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         now = durable(moved.where("a <> b").distinct())
         after = state(now)
@@ -441,15 +457,25 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
+def _node() -> Column:
+    """A number for each different (doc_id, text)."""
+    return F.xxhash64("doc_id", "text")
+
+
 def memberships(docs: DataFrame, **settings) -> DataFrame:
-    """(doc_id, group_id) of the documents that are not the first of their group."""
-    signed = plain(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(lean(_sign), SIGNATURES)
-    same = W.partitionBy("hi", "lo", "th")
-    ranked = durable(signed.withColumn("rep", F.min("doc_id").over(same)).withColumn("k", F.row_number().over(same.orderBy("doc_id"))))
-    nodes = ranked.where("k = 1").select("doc_id", "hi", "lo", "sketch")
-    copies = ranked.where("doc_id > rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    edges = candidate_edges(nodes, **settings).union(copies)
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+    """(node, doc_id, group_id, first) of the different (doc_id, text) whose text has words; ``first`` says whether it is
+    the first of its group, the least in the order of (doc_id, node)."""
+    known = plain(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    signed = durable(known.select(_node().alias("node"), "doc_id", "text").mapInArrow(lean(_sign), SIGNATURES).withColumn("key", F.xxhash64("hi", "lo", "th")))
+    # texts of equal words are one point; how many there are is combined before the shuffle
+    nodes = signed.groupBy("key").agg(F.min(F.struct("doc_id", "node", "hi", "lo", "sketch")).alias("n")).select("key", "n.*")
+    nodes = durable(nodes)
+    root = components(candidate_edges(nodes, **settings))
+    parts = nodes.select("key", "doc_id", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = parts.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("f"))
+    classes = parts.join(firsts, "root").select("key", F.col("f.doc_id").alias("group_id"), F.col("f.node").alias("first_node"))
+    rows = signed.select("node", "doc_id", "key").distinct()
+    return rows.join(classes, "key").select("node", "doc_id", "group_id", (F.col("node") == F.col("first_node")).alias("first"))
 
 
 def groups(docs: DataFrame, **settings) -> DataFrame:
@@ -457,26 +483,30 @@ def groups(docs: DataFrame, **settings) -> DataFrame:
     doc_ids) and ``kept`` (whether it is the group's first).
 
     Words are lower-cased runs of letters and digits. A text without words, or a null one, is never a duplicate: it is
-    a group of its own. So is a row with null doc_id, whose group_id is null. Rows that share a doc_id are one
-    document. Texts that are equal but for case, punctuation and spacing are exact copies. Other columns are ignored.
+    a group of its own. So is a row with null doc_id, whose group_id is null. Different texts that share a doc_id are
+    looked at apart; of the texts of the least doc_id in a group the one of the least hash is first. Rows repeated as
+    they are share one answer. Texts that are equal but for case, punctuation and spacing are exact copies. Texts of any
+    length are read whole. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     member = memberships(docs, **settings)
-    ids = plain(docs, "doc_id")
-    labelled = ids.join(member, "doc_id", "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
-    sizes = member.groupBy("group_id").agg((F.count("*") + 1).alias("group_size"))
+    rows = docs.select("doc_id", F.when(F.col("doc_id").isNotNull() & F.col("text").isNotNull(), _node()).alias("node"))
+    sizes = member.groupBy("group_id").agg(F.count_distinct("doc_id").alias("group_size"))
+    labelled = rows.join(member.select("node", "group_id", "first"), "node", "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
     return labelled.join(sizes, "group_id", "left").select(
-        "doc_id", "group_id", F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
-        (F.col("group_id").isNull() | (F.col("group_id") == F.col("doc_id"))).alias("kept"),
+        "doc_id", "group_id", F.when(F.col("first").isNull(), 1).otherwise(F.col("group_size")).cast("bigint").alias("group_size"), F.coalesce("first", F.lit(True)).alias("kept")
     )
 
 
 def first_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row left of each group; of rows that share a doc_id, the one whose text sorts first.
+    """``docs`` with one row left of each group of ``groups``, all columns as they were, whatever their names.
 
-    Rows with null doc_id or text all stay.
+    Of rows repeated as they are (same doc_id and text) one stays. Rows with null doc_id or text all stay, as do texts
+    without words (but repeated ones). An empty table stays empty. Texts are shuffled once.
     """
-    member = memberships(docs, **settings).select("doc_id")
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    kept = known.join(member, "doc_id", "left_anti")
-    one = kept.withColumn("_k", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("_k = 1").drop("_k")
-    return one.unionByName(docs.where("doc_id IS NULL OR text IS NULL"))
+    names = quoted(docs.columns)
+    node, gone, k = fresh(docs, "node", "gone", "k")
+    out = memberships(docs, **settings).where("NOT first").select(F.col("node").alias(gone)).distinct()
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn(node, _node())
+    kept = known.join(out, F.col(node) == F.col(gone), "left_anti")
+    one = kept.withColumn(k, F.row_number().over(W.partitionBy(node).orderBy(node))).where(F.col(k) == 1).select(*names)
+    return one.union(docs.where("doc_id IS NULL OR text IS NULL"))
