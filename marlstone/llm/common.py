@@ -22,8 +22,8 @@ U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 WORD_BASE, BYTE_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-BLOCK = 1 << 21  # bytes hashed at a time; bounds the temporary arrays
-BATCH_BYTES = 6 << 20  # text bytes that one slice of an Arrow batch holds (a longer document makes a slice alone)
+BLOCK = 1 << 19  # bytes hashed at a time; bounds the temporary arrays
+BATCH_BYTES = 4 << 20  # text bytes that one slice of an Arrow batch holds (a longer document makes a slice alone)
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -44,11 +44,15 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
+            self.n = max(n, 5 * self.n // 4, 1 << 16)
             self.up, self.down = _powers(self.base, self.n), _powers(self.inverse, self.n)
         return self.up[:n], self.down[:n]
 
 
+    def free(self) -> None:
+        self.n, self.up, self.down = 0, _powers(self.base, 1), _powers(self.inverse, 1)
+
+
 _bytes_pow, _words_pow = _Powers(BYTE_BASE), _Powers(WORD_BASE)
 
 
@@ -81,6 +85,8 @@ def lean(work: Callable) -> Callable:
         try:
             yield from work(batches)
         finally:
+            _bytes_pow.free()
+            _words_pow.free()
             pa.default_memory_pool().release_unused()
             if libc is not None:
                 libc.malloc_trim(0)

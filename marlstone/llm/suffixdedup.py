@@ -32,7 +32,7 @@ SHALLOW, SMALL = 4, 6  # symbols that multikey quicksort looks at; group size be
 PLACE_BITS = 28
 CHUNK_ROWS = 25_000
 HOT = 50_000  # occurrences of one gram that are sorted in one task at most
-KEPT = 200_000  # grams with their surroundings that a task remembers, to send on only the first of each
+KEPT = 100_000  # grams with their surroundings that a task remembers, to send on only the first of each
 ANCHORS = "fp bigint, doc_id bigint, th bigint, pos int"
 FOUND = "fp bigint, doc_id bigint, th bigint, pos int, ctx binary, a int, b int"
 MARKS = "doc_id bigint, th bigint, lo int, hi int"

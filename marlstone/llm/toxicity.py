@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,22 +156,29 @@ def features(words: set[str]) -> set[str]:
     return words | {"^" + s for s in stems} | {"2^" + s for s, n in stems.items() if n > 1}
 
 
-def _varied(texts: list[set[str]]) -> Callable[[str], bool]:
-    """Whether at least three different words of the texts have the stem of a feature; else it is just a word."""
-    words = {w for feats in texts for w in feats if w[0] not in "^2"}
+def _varied(words: set[str]) -> Callable[[str], bool]:
+    """Whether at least three different ones of the words have the stem of a feature; else it is just a word."""
     n = Counter(s for w in words for s in stems_of(w))
-    return lambda f: n[f.lstrip("2^")] >= 3
+    return lambda f: f[0] not in "^2" or n[f.lstrip("2^")] >= 3
 
 
-def mine(texts: list[set[str]], toxic: np.ndarray) -> tuple[frozenset, dict[int, frozenset], frozenset, frozenset]:
+def frequent(texts: Iterable[list[str]], least: float) -> tuple[Counter, set[str]]:
+    """Features that at least so many of the texts (lists of different words) have, and all their words."""
+    n, words = Counter(), set()
+    for text in texts:
+        own = set(text)
+        n.update(features(own))
+        words |= own
+    return Counter({f: k for f, k in n.items() if k >= least}), words
+
+
+def mine(bad: Counter, words: set[str], good: Counter, n_bad: int, n_good: int) -> tuple[frozenset, dict[int, frozenset], frozenset, frozenset]:
     """Words and stems that labelled toxic texts have and labelled clean ones hardly ever; and the words of the public
-    lexicons that labelled clean texts use as readily as toxic ones, so that they say nothing in this corpus."""
-    bad, good = Counter(), Counter()
-    for feats, y in zip(texts, toxic):
-        (bad if y else good).update(feats)
-    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    least, varied = max(3, 0.015 * n_bad), _varied([f for f, y in zip(texts, toxic) if y])
-    telling = [f for f, n in bad.items() if n >= least and n / n_bad > 25 * (good[f] + 0.3) / n_good and n >= PRECISION * (n + good[f]) and (f[0] not in "^2" or varied(f))]
+    lexicons that labelled clean texts use as readily as toxic ones, so that they say nothing in this corpus. ``bad``
+    and ``good`` count texts by feature, ``words`` are those of the toxic texts."""
+    n_bad, n_good, varied = max(1, n_bad), max(1, n_good), _varied(words)
+    least = max(3, 0.015 * n_bad)
+    telling = [f for f, n in bad.items() if n >= least and n / n_bad > 25 * (good[f] + 0.3) / n_good and n >= PRECISION * (n + good[f]) and varied(f)]
     stems = {n: frozenset(f[1:] for f in telling if f[0] == "^" and len(f) == n + 1) for n in STEMS}
     innocent = frozenset(w for lexicon in LEXICONS for w in lexicon if good[w] and good[w] / n_good > 0.2 * bad[w] / n_bad)
     twice = frozenset(f[2:] for f in telling if f[:2] == "2^")
@@ -286,13 +293,21 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_features:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(own, pa.list_(pa.string()))], names=["doc_id", "th", "words"])
 
     spelt = texts.join(F.broadcast(picked), "doc_id").withColumn("th", F.xxhash64("text")).mapInArrow(lean(spell), "doc_id bigint, th bigint, words array<string>")
-    sample = sorted((r["doc_id"], r["th"], r["words"]) for r in spelt.collect())
-    worded = [features(set(words)) for *_, words in sample]
+    table = spelt.toArrow().sort_by([("doc_id", "ascending"), ("th", "ascending")])
+    sample, lists_of_words = list(zip(*(table.column(c).to_pylist() for c in ("doc_id", "th")))), table.column("words")
     # copies of one text would pass off its words as signs: of texts that share their lowest word hashes one is kept
-    once = {tuple(sorted(zlib.crc32(w.encode()) for w in feats)[:4]): k for k, feats in reversed(list(enumerate(worded)))}
-    sample, worded = [sample[k][:2] for k in sorted(once.values())], [worded[k] for k in sorted(once.values())]
+    once = {tuple(sorted(zlib.crc32(w.encode()) for w in lists_of_words[k].as_py())[:4]): k for k in reversed(range(len(sample)))}
+    at = sorted(once.values())
+    sample = [sample[k] for k in at]
+    worded = lambda which: (lists_of_words[at[k]].as_py() for k in which)  # noqa: E731  texts stay in Arrow; one at a time becomes Python's
     toxic = np.array([truth[i] for i, _ in sample], bool)
-    lists = mine(worded, toxic)
+    bad, bad_words = frequent(worded(np.flatnonzero(toxic)), 1)
+    wanted_words = {f for f, n in bad.items() if n >= 3}.union(*LEXICONS)
+    good: Counter = Counter()
+    for text in worded(np.flatnonzero(~toxic)):
+        good.update(features(set(text)) & wanted_words)
+    lists = mine(bad, bad_words, good, int(toxic.sum()), int((~toxic).sum()))
+    del bad, bad_words, good
     wanted = spark.sparkContext.broadcast({i for i, _ in sample})
 
     def count(batches):
@@ -322,17 +337,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most_features:
     voted = {(x["doc_id"], x["th"]): posteriors[r["pattern"]] for r in counted for x in r["own"]}
     own = [voted[k] for k in sample]
     target = np.array(own)
-    df, mass = Counter(), Counter()
-    for feats, p in zip(worded, own):
-        df.update(feats)
-        if p > 0.5:
-            mass.update(feats)
-    varied = _varied([f for f, p in zip(worded, own) if p > 0.5])
-    least = max(3, 0.012 * sum(p > 0.5 for p in own))
-    leaning = (f for f, n in df.items() if mass[f] >= least and mass[f] >= PRECISION * n and (f[0] not in "^2" or varied(f)))
+    mass, words = frequent(worded(np.flatnonzero(target > 0.5)), max(3, 0.012 * int((target > 0.5).sum())))
+    df: Counter = Counter()
+    rows_of = []
+    for text in worded(range(len(sample))):
+        rows_of.append(features(set(text)) & mass.keys())
+        df.update(rows_of[-1])
+    varied = _varied(words)
+    leaning = (f for f, n in mass.items() if n >= PRECISION * df[f] and varied(f))
     kept = sorted(leaning, key=lambda f: (-mass[f], f))[:most_features]
     column = {f: k for k, f in enumerate(kept)}
-    w, b = logistic_l1([[column[f] for f in feats if f in column] for feats in worded], len(kept), target)
+    w, b = logistic_l1([sorted(column[f] for f in feats if f in column) for feats in rows_of], len(kept), target)
     weights = {f: float(x) for f, x in zip(kept, w) if abs(x) > 1e-3}
     return Model(*lists, model, posteriors, weights, b)
 
