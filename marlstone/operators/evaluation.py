@@ -69,3 +69,27 @@ def retrieval_scores(found: DataFrame, relevant: DataFrame, by: str = "query", i
     g = f.join(r, [by, item], "full_outer").groupBy(by).agg(F.count_if(F.col("_f").isNotNull() & F.col("_r").isNotNull()).alias("hits"), F.count("_f").alias("found"), F.count("_r").alias("relevant"))
     p, q = F.when(F.col("found") > 0, F.col("hits") / F.col("found")).otherwise(0.0), F.when(F.col("relevant") > 0, F.col("hits") / F.col("relevant")).otherwise(0.0)
     return g.withColumns({"precision": p, "recall": q}).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
+
+
+def rates(rows: DataFrame) -> DataFrame:
+    """Derived rates of a run's counters: share of tokens read in vain and to use, contradictions found, F1."""
+    part = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
+    found = F.col("contradictions_detected") + F.col("contradictions_missed")
+    p, r = F.col("context_precision"), F.col("context_recall")
+    return rows.withColumns({
+        "token_waste_ratio": part(F.col("redundant_tokens"), F.col("total_tokens_read")), "token_efficiency": part(F.col("useful_tokens"), F.col("total_tokens_read")),
+        "contradiction_detection_rate": part(F.col("contradictions_detected"), found), "f1_score": part(2 * p * r, p + r),
+    })
+
+
+def ranked_within(ranked: DataFrame, budget: int, tokens: str = "tokens", rank: str = "rank", cut: bool = False, least: int = 20) -> DataFrame:
+    """Ranked rows as far as the budget goes, ended by the first that overflows it; with ``cut`` that one is shortened to
+    what is left, if that is more than ``least`` tokens. Adds taken. The rows are a top k, so one window holds them."""
+    used = F.sum(tokens).over(W.orderBy(rank).rowsBetween(W.unboundedPreceding, 0))
+    listed = ranked.withColumn("_u", used).withColumn("_over", (F.col("_u") > budget).cast("int"))
+    listed = listed.withColumn("_n", F.sum("_over").over(W.orderBy(rank).rowsBetween(W.unboundedPreceding, 0)))
+    left = F.lit(budget) - (F.col("_u") - F.col(tokens))
+    keep = F.col("_n") == 0
+    if cut:
+        keep = keep | ((F.col("_n") == 1) & (F.col("_over") == 1) & (left > least))
+    return listed.where(keep).withColumn("taken", F.when(F.col("_over") == 1, left).otherwise(F.col(tokens)).cast("bigint")).drop("_u", "_over", "_n")

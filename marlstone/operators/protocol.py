@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.checkpoint import durable
+from marlstone.functions.vectors import cosine
+from marlstone.operators.similarity import topk
+
 ELO_START, ELO_SCALE, ELO_K = 1500.0, 400.0, 32.0
 
 
@@ -37,18 +45,143 @@ def elo_trust(rating: Column) -> Column:
 
 
 def elo(matches: DataFrame) -> DataFrame:
-    """Ratings after all matches (seq, winner, loser) in order; one task walks them, holding a number an agent."""
+    """Ratings after all matches (seq, winner, loser, and ``draw`` where the table has it) in order of seq.
+
+    Each step depends on all before it, so one task streams the sorted matches, holding a number an agent; what comes
+    before the sort stays spread out.
+    """
+    draws = F.coalesce(F.col("draw"), F.lit(False)) if "draw" in matches.columns else F.lit(False)
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r: dict[str, float] = {}
         for p in parts:
-            for w, x in zip(p["winner"], p["loser"], strict=True):
+            for w, x, even in zip(p["winner"], p["loser"], p["draw"], strict=True):
                 a, b = r.get(w, ELO_START), r.get(x, ELO_START)
-                step = ELO_K * (1 - 1 / (1 + math.pow(10, (b - a) / ELO_SCALE)))
+                step = ELO_K * ((0.5 if even else 1.0) - 1 / (1 + math.pow(10, (b - a) / ELO_SCALE)))
                 r[w], r[x] = a + step, b - step
         yield pd.DataFrame({"agent": list(r), "rating": list(r.values())})
 
-    return matches.select("seq", "winner", "loser").coalesce(1).sortWithinPartitions("seq").mapInPandas(fold, "agent string, rating double")
+    return matches.select("seq", "winner", "loser", draws.alias("draw")).repartition(1).sortWithinPartitions("seq").mapInPandas(fold, "agent string, rating double")
+
+
+def regressed(rating: Column, idle_days: Column) -> Column:
+    """A tenth of the way back to the start for a source idle for more than ninety days."""
+    return F.when(idle_days > 90, rating + 0.1 * (ELO_START - rating)).otherwise(rating)
+
+
+def merged_trust(rows: DataFrame, by: str, trust: str = "trust") -> DataFrame:
+    """Trust of entries with several sources: that of the most trusted, within its bounds."""
+    return rows.groupBy(by).agg(F.greatest(F.lit(0.05), F.least(F.lit(0.99), F.max(trust))).alias("trust"))
+
+
+def normalised_weights(weights: dict[str, float]) -> dict[str, float]:
+    """Weights that add up to one."""
+    total = sum(weights.values())
+    return {k: w / total for k, w in weights.items()}
+
+
+def boosted(score: Column, boost: Column | float = 0.0, penalty: Column | float = 0.0, fresh: Column | float = 0.0) -> Column:
+    """A score after boosts (of tags and of freshness, up to double) and a penalty (of a source, down to half), clamped."""
+    c = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score * (1 + c(boost)) * (1 + c(fresh)) * (1 - c(penalty))))
+
+
+def explained(components: dict[str, Column], weights: dict[str, float]) -> Column:
+    """The parts of a composite score: each component, its weight and their product, and the sum within [0, 1]."""
+    w = normalised_weights(weights)
+    parts = [F.struct(v.alias("value"), F.lit(w[k]).alias("weight"), (v * w[k]).alias("weighted")).alias(k) for k, v in components.items()]
+    total = sum((v * w[k] for k, v in components.items()), F.lit(0.0))
+    return F.struct(*parts, F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)).alias("composite_score"))
+
+
+def hybrid(scored: DataFrame, semantic: str, keyword: str, alpha: float = 0.7) -> DataFrame:
+    """Semantic and keyword scores mixed; keyword scores are divided by the greatest, so they lie in [0, 1]."""
+    best = scored.agg(F.max(keyword).alias("_best"))
+    near = F.coalesce(F.when(F.col("_best") > 0, F.col(keyword) / F.col("_best")), F.lit(0.0))
+    return scored.crossJoin(F.broadcast(best)).withColumn("hybrid", alpha * F.col(semantic) + (1 - alpha) * near).drop("_best")  # one row
+
+
+def in_event_range(rows: DataFrame, start: float, end: float, time: str = "updated_at") -> DataFrame:
+    return rows.where(F.col(time).between(start, end))
+
+
+def by_proximity(rows: DataFrame, at: float, tau: float = 3600.0, time: str = "updated_at") -> DataFrame:
+    """Rows by how near in time they are, with that as a score."""
+    return rows.withColumn("proximity", near_in_time(F.col(time), F.lit(float(at)), tau)).orderBy(F.abs(F.col(time) - at), "path")
+
+
+def search(rows: DataFrame, query: list[float], limit: int = 10, offset: int = 0, where: Column | None = None, oversampling: int = 3, now: float = 0.0) -> DataFrame:
+    """Filter, the nearest rows in ``oversampling`` times the number wanted, the composite score, and a page of it.
+
+    Filters go before the search at every selectivity: a scan takes them for nothing.
+    """
+    near = topk(rows if where is None else rows.where(where), query, oversampling * (limit + offset))
+    score = composite(F.greatest(F.lit(0.0), "similarity"), F.col("confidence"), F.col("trust"), near_in_time(F.lit(float(now)), F.col("updated_at")))
+    return near.withColumn("score", score).orderBy(F.desc("score"), "path").offset(offset).limit(limit)
+
+
+def fingerprint64(text: Column) -> Column:
+    """64-bit SimHash of a text's words."""
+
+    @F.pandas_udf("bigint")
+    def sign(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            words = re.findall(r"\w+", t.lower()) if t else []
+            h = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") for w in words], np.uint64)
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) if len(h) else np.zeros(64)
+            out.append(int(np.packbits(2 * bits > max(1, len(h))).view(np.int64)[0]))
+        return pd.Series(out, dtype="int64")
+
+    return sign(text)
+
+
+def near_copies(rows: DataFrame, most: int = 3, least: float = 0.95, order: str = "seq") -> DataFrame:
+    """(seq, copy_of, distance, similarity): each row (seq, path, source, content, v) whose fingerprint is within ``most``
+    bits of an earlier one's and whose vector is as similar; the earliest such row.
+
+    Rows of one fingerprint are compared with their first; different fingerprints meet by four bands of 16 bits, one of
+    which is equal if at most three bits differ.
+    """
+    coded = rows.withColumn("_f", fingerprint64(F.col("content")))
+    firsts = coded.groupBy("_f").agg(F.min_by(F.struct(order, "v"), order).alias("x")).select("_f", F.col(f"x.{order}").alias("_s"), F.col("x.v").alias("_v"))
+    band = lambda c: F.posexplode(F.array(*[F.shiftrightunsigned(c, 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])).alias("_k", "_band")
+    left, right = firsts.select("_f", band(F.col("_f"))), firsts.select(F.col("_f").alias("_g"), F.col("_s"), F.col("_v"), band(F.col("_f")))
+    met = left.join(right, ["_k", "_band"]).where(F.bit_count(F.col("_f").bitwiseXOR(F.col("_g"))) <= most).select("_f", "_g", "_s", "_v").distinct()
+    found = coded.join(met, "_f").where(F.col("_s") < F.col(order)).withColumn("similarity", cosine(F.col("v"), F.col("_v"))).where(F.col("similarity") >= least)
+    best = F.min_by(F.struct(F.col("_s"), F.bit_count(F.col("_f").bitwiseXOR(F.col("_g"))).alias("d"), F.col("similarity")), F.col("_s"))
+    return found.groupBy(order).agg(best.alias("x")).select(order, F.col("x._s").alias("copy_of"), F.col("x.d").alias("distance"), F.col("x.similarity").alias("similarity"))
+
+
+def ingest(rows: DataFrame, sources: list[str], embed, now: float = 0.0) -> DataFrame:
+    """Rows (seq, path, content, tags, source, source_trust) through all stages of ingestion, each a column or two:
+
+    ``problem`` (validation: content, size, source), content and tags normalised (trimmed, NFC, tags lower-cased, sorted,
+    each once), ``copy_of`` an earlier row (of the same source: a problem; of another: derived from it, and that row's
+    confidence is raised), quality and language hints, the vector that ``embed`` makes, confidence and score.
+    """
+
+    @F.pandas_udf("string")
+    def nfc(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: unicodedata.normalize("NFC", t).strip(), na_action="ignore")
+
+    text = F.col("content")
+    bad = F.when(text.isNull() | (F.trim(text) == ""), "content").when(F.octet_length(text) > 262_144, "size").when(~F.coalesce(F.col("source").isin(*sources), F.lit(False)), "source")
+    rows = rows.withColumns({"problem": bad, "content": nfc(text), "tags": tags(F.coalesce("tags", F.array().cast("array<string>")))})
+    words = F.size(F.split(F.trim("content"), r"\s+"))
+    rows = rows.withColumn("quality", F.when(text.isNotNull(), F.least(F.lit(1.0), words / 50)))
+    rows = durable(embed(rows, "content"))
+    fit = rows.where(F.col("problem").isNull())
+    copies = near_copies(fit).join(fit.select(F.col("seq").alias("copy_of"), F.col("source").alias("_src"), F.col("path").alias("_from")), "copy_of").select("seq", "copy_of", "_src", "_from")
+    rows = rows.join(copies, "seq", "left")
+    same = F.col("_src").isNotNull() & (F.col("_src") == F.col("source"))
+    rows = rows.withColumns({"problem": F.coalesce("problem", F.when(same, "duplicate")), "derived_from": F.when(~same, F.col("_from")), "copy_of": F.when(~same, F.col("copy_of"))})
+    raised = rows.where("problem IS NULL AND copy_of IS NOT NULL").groupBy(F.col("copy_of").alias("seq")).agg(F.count(F.lit(1)).alias("confirmed"))
+    rows = rows.drop("_src", "_from", "copy_of").join(raised, "seq", "left")
+    start = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.7 * F.col("source_trust") + 0.3 * F.col("quality")))
+    alpha = 1 + start + F.coalesce("confirmed", F.lit(0))
+    rows = rows.withColumn("confidence", F.when(F.col("problem").isNull(), alpha / (alpha + 2 - start)))
+    return rows.withColumn("score", F.when(F.col("problem").isNull(), composite(F.lit(0.5), F.col("confidence"), F.col("source_trust"), F.lit(1.0)))).drop("confirmed")
 
 
 def resolve(pairs: DataFrame, margin: float = 0.1) -> DataFrame:

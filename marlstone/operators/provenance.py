@@ -21,6 +21,40 @@ def nodes(writes: DataFrame) -> DataFrame:
     return out.select("seq", "path", "owner", "value_hash", "version", F.when(F.col("version") > 1, "update").when(F.col("_ps").isNotNull(), "derived").otherwise("created").alias("derivation"), F.when(F.col("before").isNotNull(), F.array("before")).otherwise(F.coalesce("_ps", F.array().cast("array<bigint>"))).alias("parents"))
 
 
+def recorded(nodes: DataFrame, events: DataFrame) -> DataFrame:
+    """Nodes with those of confirmations, contradictions and merges (seq, kind, path, owner, value_hash, sources).
+
+    Each is derived from the latest node of its path (of each source, for a merge) before it: a confirmation keeps that
+    node's hash and version, a contradiction has its own hash and the next version, a merge begins at version 1. Events of
+    a path without a node are left out, but merges.
+    """
+    e = events.withColumn("_of", F.explode(F.when(F.col("kind") == "merge", F.col("sources")).otherwise(F.array("path"))))
+    old = nodes.select(F.col("path").alias("_of"), F.col("seq").alias("_n"), F.col("value_hash").alias("_h"), F.col("version").alias("_v"))
+    met = e.join(old, (e["_of"] == old["_of"]) & (F.col("_n") < F.col("seq")), "left").groupBy("seq", e["_of"]).agg(F.max_by(F.struct("_n", "_h", "_v"), "_n").alias("x"))
+    parents = met.groupBy("seq").agg(F.array_sort(F.filter(F.collect_list("x._n"), lambda n: n.isNotNull())).alias("parents"), F.max("x._h").alias("_h"), F.max("x._v").alias("_v"))
+    out = events.join(parents, "seq", "left").where((F.col("kind") == "merge") | (F.size("parents") > 0))
+    kinds = {"confirm": "confirmed", "contradict": "contradicted", "merge": "merged"}
+    named = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("kind")]
+    version = F.when(F.col("kind") == "confirm", F.col("_v")).when(F.col("kind") == "contradict", F.col("_v") + 1).otherwise(1)
+    more = out.select("seq", "path", "owner", F.when(F.col("kind") == "confirm", F.col("_h")).otherwise(F.col("value_hash")).alias("value_hash"), version.cast("int").alias("version"), named.alias("derivation"), F.coalesce("parents", F.array().cast("array<bigint>")).alias("parents"))
+    return nodes.select("seq", "path", "owner", "value_hash", F.col("version").cast("int").alias("version"), "derivation", "parents").union(more)
+
+
+def shortest(edges: DataFrame, start: str, rounds: int = 100) -> DataFrame:
+    """(node, cost): the cheapest way from a start over weighted edges (actor, target, cost), in rounds of relaxation that
+    end when nothing gets cheaper; the frontier of each is written to the shared checkpoint folder."""
+    spark = edges.sparkSession
+    best = durable(spark.createDataFrame([(start, 0.0)], "node string, cost double"))
+    frontier = best
+    for _ in range(rounds):
+        ahead = frontier.join(edges, frontier.node == edges.actor).select(F.col("target").alias("node"), (frontier["cost"] + edges["cost"]).alias("cost")).groupBy("node").agg(F.min("cost").alias("cost"))
+        frontier = durable(ahead.join(best.select("node", F.col("cost").alias("_old")), "node", "left").where(F.col("_old").isNull() | (F.col("cost") < F.col("_old"))).select("node", "cost"))
+        if frontier.isEmpty():
+            return best
+        best = durable(best.union(frontier).groupBy("node").agg(F.min("cost").alias("cost")))
+    return best
+
+
 def walk(edges: DataFrame, starts: DataFrame, depth: int = 20, up: bool = True) -> DataFrame:
     """(start, node, depth): all that is reached from each start, at its least depth; towards parents, or to children.
 

@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 
 from marlstone.functions import vectors as V
 from marlstone.functions.checkpoint import durable
+from marlstone.operators import kernels
+from marlstone.operators.provenance import shortest
 
 BLOCK_ROWS = 4096
 
@@ -161,6 +163,111 @@ def moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return n, mean, (second - n * np.outer(mean, mean)) / max(1, n - 1)
 
 
+def group_moments(rows: DataFrame, by: str = "label") -> DataFrame:
+    """(by, n, s, q) of each group: count, sum and second moments (row by row) of its vectors.
+
+    Partitions send on one d x d sum a group, so a group of any size costs d * d numbers a partition.
+    """
+
+    def part(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for p in parts:
+            for key, own in p.groupby("k", sort=False)["v"]:
+                m = np.stack([np.asarray(v, float) for v in own])
+                n, s, q = held.get(key, (0, 0.0, 0.0))
+                held[key] = n + len(m), s + m.sum(0), q + m.T @ m
+        if held:
+            yield pd.DataFrame([(k, n, np.concatenate([s, q.ravel()]).tolist()) for k, (n, s, q) in held.items()], columns=["k", "n", "x"])
+
+    kind = dict(rows.dtypes)[by]
+    one = rows.where(F.col("v").isNotNull()).select(F.col(by).alias("k"), "v").mapInPandas(part, f"k {kind}, n bigint, x array<double>")
+    sums = one.select("k", "n", F.posexplode("x").alias("i", "x")).groupBy("k", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    flat = sums.groupBy("k").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("x"))  # d + d * d numbers
+    d = ((F.sqrt(1 + 4 * F.size("x")) - 1) / 2).cast("int")
+    return flat.select(F.col("k").alias(by), "n", F.slice("x", F.lit(1), d).alias("s"), F.slice("x", d + 1, F.size("x") - d).alias("q"))
+
+
+def alignments(rows: DataFrame, by: str = "label", n: int = 5) -> DataFrame:
+    """(a, b, alignment): mean cosine of the principal angles between the leading subspaces of each two groups, 4 places;
+    0 for a group of fewer than two rows. Groups meet by their moments; their rows never do."""
+
+    def axes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            out = []
+            for k, size, s, q in zip(p["k"], p["n"], p["s"], p["q"], strict=True):
+                s = np.asarray(s, float)
+                cov = np.asarray(q, float).reshape(len(s), len(s)) - np.outer(s, s) / size
+                _, vectors = np.linalg.eigh(cov)
+                out.append((k, size, vectors[:, ::-1][:, : min(n, size)].T.ravel().tolist(), len(s)))
+            yield pd.DataFrame(out, columns=["k", "n", "u", "d"])
+
+    kind = dict(rows.dtypes)[by]
+    u = durable(group_moments(rows, by).withColumnRenamed(by, "k").mapInPandas(axes, f"k {kind}, n bigint, u array<double>, d int"))
+    x, y = u.alias("x"), u.alias("y")
+    both = x.join(y, F.col("x.k") < F.col("y.k")).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.u").alias("ua"), F.col("y.u").alias("ub"), F.least("x.n", "y.n").alias("n"), F.col("x.d").alias("d"))
+
+    @F.pandas_udf("double")
+    def align(ua: pd.Series, ub: pd.Series, size: pd.Series, d: pd.Series) -> pd.Series:
+        out = []
+        for p, q, m, dim in zip(ua, ub, size, d, strict=True):
+            k = min(n, m, dim)
+            p, q = (np.asarray(z, float).reshape(-1, dim)[:k] for z in (p, q))
+            out.append(round(float(np.clip(np.linalg.svd(p @ q.T, compute_uv=False), 0, 1).mean()), 4) if m > 1 else 0.0)
+        return pd.Series(out, dtype=float)
+
+    return both.select("a", "b", align("ua", "ub", "n", "d").alias("alignment"))
+
+
+def voids(rows: DataFrame, probes: int = 50, seed: int = 42, least: float = 0.3) -> DataFrame:
+    """(probe, nearest): seeded random directions that no row is near to, either way. Partitions send on one number a
+    probe."""
+    first = rows.select(F.size("v").alias("d")).where(F.col("d") > 0).first()
+    p = np.random.RandomState(seed).randn(probes, first.d if first else 1)
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+
+    def part(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = np.zeros(probes)
+        for x in parts:
+            if len(x):
+                best = np.maximum(best, np.abs(_matrix(x["v"]) @ p.T).max(axis=0))
+        yield pd.DataFrame({"probe": np.arange(probes), "nearest": best})
+
+    near = rows.where(F.col("v").isNotNull()).select("v").mapInPandas(part, "probe int, nearest double")
+    return near.groupBy("probe").agg(F.max("nearest").alias("nearest")).where(F.col("nearest") < least)
+
+
+def geodesics(rows: DataFrame, start: int, k: int = 5, key: str = "vec_id") -> DataFrame:
+    """(node, cost): length of the shortest walk from a row to each that is reached over each row's k nearest."""
+    steps = knn(rows, k, key).select(F.col("a").cast("string").alias("actor"), F.col("b").cast("string").alias("target"), F.acos(V.clip(F.col("similarity"))).alias("cost"))
+    return shortest(durable(steps), str(start))
+
+
+def chosen_diverse(rows: DataFrame, query: list[float], k: int = 10, diversity: float = 0.3, key: str = "vec_id") -> DataFrame:
+    """(rank, key): a search over all rows for three times k, of which k are chosen against those chosen before."""
+    return _chosen(topk(rows, query, 3 * k, tie=key), key, lambda m: kernels.diverse(_unit(query), m, k, diversity))
+
+
+def chosen_mmr(rows: DataFrame, query: list[float], k: int = 10, lam: float = 0.7, pool: int = 500, key: str = "vec_id") -> DataFrame:
+    """(rank, key): of the ``pool`` nearest of all rows, k chosen for relevance less their likeness to those chosen."""
+    return _chosen(topk(rows, query, pool, tie=key), key, lambda m: kernels.mmr(list(m @ _unit(query)), list(m), k, lam))
+
+
+def _unit(v: list[float]) -> np.ndarray:
+    x = np.asarray(v, float)
+    return x / max(float(np.linalg.norm(x)), 1e-12)
+
+
+def _chosen(best: DataFrame, key: str, pick) -> DataFrame:
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = pd.concat(list(parts), ignore_index=True)
+        if len(p):
+            p = p.sort_values(["similarity", key], ascending=[False, True], kind="stable", ignore_index=True)
+            at = pick(_matrix(p["v"]))
+            yield pd.DataFrame({"rank": np.arange(len(at)), key: p[key].to_numpy()[at]})
+
+    return best.select(key, "similarity", "v").repartition(1).mapInPandas(work, f"rank int, {key} {dict(best.dtypes)[key]}")  # a bounded pool
+
+
 def principal(rows: DataFrame, n: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """Principal components and the share of variance that each explains."""
     count, _, cov = moments(rows)
@@ -204,16 +311,21 @@ def linked(rows: DataFrame, threshold: float = 0.7, key: str = "vec_id", kind: s
         label = durable(new.join(jump, new.component == jump["_n"], "left").select("node", F.coalesce("_c", "component").alias("component")))
 
 
+def planes(dim: int, bits: int = 256, seed: int = 42) -> np.ndarray:
+    """Seeded Gaussian planes of unit length."""
+    out = np.random.RandomState(seed).randn(bits, dim)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
 def sign_bits(rows: DataFrame, bits: int = 256, seed: int = 42) -> DataFrame:
     """Sign fingerprints on seeded Gaussian planes, packed into bytes."""
     first = rows.select(F.size("v").alias("d")).where(F.col("d") > 0).first()
-    planes = np.random.RandomState(seed).randn(bits, first.d if first else 1)
-    planes /= np.linalg.norm(planes, axis=1, keepdims=True)
+    normals = planes(first.d if first else 1, bits, seed)
 
     @F.pandas_udf("binary")
     def sign(v: pd.Series) -> pd.Series:
-        m = np.stack([np.asarray(x, float) for x in v]) if len(v) else np.zeros((0, planes.shape[1]))
-        return pd.Series([x.tobytes() for x in np.packbits(m @ planes.T > 0, axis=1)], dtype=object)
+        m = np.stack([np.asarray(x, float) for x in v]) if len(v) else np.zeros((0, normals.shape[1]))
+        return pd.Series([x.tobytes() for x in np.packbits(m @ normals.T > 0, axis=1)], dtype=object)
 
     return rows.where(F.col("v").isNotNull()).withColumn("bits", sign("v"))
 

@@ -54,7 +54,7 @@ def fold(events: DataFrame) -> DataFrame:
     only a profile an agent, and the sort spills. ``actor``, ``target`` and ``domain`` must not be null.
     """
     cols = ["seq", "kind", "actor", "target", "domain", "conf_actor", "conf_target", "ts"]
-    return events.select(*cols).coalesce(1).sortWithinPartitions("seq").mapInPandas(_fold, FOLDED)
+    return events.select(*cols).repartition(1).sortWithinPartitions("seq").mapInPandas(_fold, FOLDED)
 
 
 def edges(events: DataFrame) -> DataFrame:

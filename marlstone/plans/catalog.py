@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import evaluation_queries, reasoning_queries, registry, space_queries, spec_queries, store_queries
+from marlstone.plans import context_queries, evaluation_queries, reasoning_queries, registry, space_queries, spec_queries, store_queries
 
-MODULES = (store_queries, reasoning_queries, space_queries, evaluation_queries, spec_queries)
+MODULES = (store_queries, context_queries, reasoning_queries, space_queries, evaluation_queries, spec_queries)
 
 
 def queries() -> dict[str, registry.Query]:

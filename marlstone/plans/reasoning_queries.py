@@ -12,21 +12,22 @@ from marlstone.sources import adapters as A
 NORM = "lower(trim({}))"
 
 
-@query(f"""WITH {A.WRITES}, v AS (SELECT *, lead(seq) OVER (PARTITION BY path ORDER BY seq) AS seq_end, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS pre FROM writes),
-old AS (SELECT * FROM v WHERE type = 'decision' AND owner = 'agent-1'), new AS (SELECT * FROM v WHERE type = 'decision' AND owner = 'agent-2')
-SELECT n.seq, o.seq AS old_seq, n.path, o.path AS old_path, 0.5::DOUBLE AS similarity FROM new n JOIN old o ON o.pre = n.pre AND o.seq < n.seq AND o.path <> n.path AND {NORM.format('n.value')} <> {NORM.format('o.value')}
- AND coalesce((SELECT min(x.seq) FROM v x WHERE x.path = o.path AND x.seq > o.seq AND x.type = 'decision' AND x.owner IN ('agent-1', 'agent-2')), n.seq + 1) > n.seq""")
-def j3_contradictions(spark, d):
-    w = A.writes(spark, d).where((F.col("type") == "decision") & F.col("owner").isin("agent-1", "agent-2"))
-    return reasoning.contradictions(w).where(F.col("owner") == "agent-2").select("seq", "old_seq", "path", "old_path", "similarity")
+CONTRADICTIONS = A.WRITES + f""", v AS (SELECT *, lead(seq) OVER (PARTITION BY path ORDER BY seq) AS seq_end, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS pre FROM writes),
+con AS (SELECT n.seq, o.seq AS old_seq, n.path, o.path AS old_path FROM v n JOIN v o ON o.pre = n.pre AND o.type = n.type AND o.seq < n.seq AND o.owner <> n.owner AND o.path <> n.path
+ AND {NORM.format('n.value')} <> {NORM.format('o.value')} AND (o.seq_end IS NULL OR o.seq_end > n.seq))"""
 
 
-@query()
-def j3_contradictions_whole(spark, d):
-    """Over all writes, owners and types; ``j3_contradictions`` is held to the SQL of a part of the log."""
+@query(f"WITH {CONTRADICTIONS} SELECT *, 0.5::DOUBLE AS similarity FROM con")
+def j3_contradictions(spark, d):
     return reasoning.contradictions(A.writes(spark, d)).select("seq", "old_seq", "path", "old_path", "similarity")
 
 
+@query(f"""WITH {A.VECTOR_WRITES}, v AS (SELECT *, 'vec/' || (seq // 20) AS pre FROM cur)
+SELECT n.seq, o.seq AS old_seq, round(list_dot_product(n.v, o.v), 5) AS similarity FROM v n JOIN v o ON o.pre = n.pre AND o.seq < n.seq AND o.owner <> n.owner WHERE list_dot_product(n.v, o.v) >= 0.05 AND {NORM.format('n.value')} <> {NORM.format('o.value')}""")
+def j3_vector(spark, d):
+    return reasoning.contradictions(A.vector_writes(spark, d), threshold=0.05).select("seq", "old_seq", F.round("similarity", 5).alias("similarity"))
+
+
 SPANS = A.WRITES + ", v AS (SELECT *, lead(seq) OVER (PARTITION BY path ORDER BY seq) AS seq_end FROM writes), wanted AS (SELECT seq, path AS plan_path, owner, unnest(refs) AS ref FROM {} WHERE type = 'plan')"
 
 
@@ -55,9 +56,10 @@ def f10_stale(spark, d):
 @query(f"""WITH {A.CURRENT}, p AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS prefix FROM cur)
 SELECT prefix, count(*) AS n, count(DISTINCT owner) AS owners, count(*) FILTER (WHERE type = 'fact') AS n_fact, count(*) FILTER (WHERE type = 'decision') AS n_decision,
  count(*) FILTER (WHERE type = 'plan') AS n_plan, count(*) FILTER (WHERE type = 'observation') AS n_observation,
- first(path ORDER BY updated_at DESC, path DESC) AS latest_path, first(path ORDER BY confidence DESC, path DESC) AS best_path, max(confidence) AS best_confidence FROM p GROUP BY prefix""")
+ first(path ORDER BY updated_at DESC, path DESC) AS latest_path, first(path ORDER BY confidence DESC, path DESC) AS best_path, max(confidence) AS best_confidence, substr(first(value ORDER BY updated_at DESC, path DESC), 1, 80) AS latest_value,
+ count(*) || ' entries from ' || count(DISTINCT owner) || ' agents. Latest: [' || first(path ORDER BY updated_at DESC, path DESC) || '] ' || substr(first(value ORDER BY updated_at DESC, path DESC), 1, 80) AS summary FROM p GROUP BY prefix""")
 def a1_summaries(spark, d):
-    return reasoning.summaries(store.latest(A.writes(spark, d))).drop("summary", "latest_value")
+    return reasoning.summaries(store.latest(A.writes(spark, d)))
 
 
 @query(f"WITH {A.WRITES} SELECT seq, prefix, nth FROM (SELECT seq, regexp_replace(path, '/[^/]*$', '') AS prefix, row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY seq) AS nth FROM writes) WHERE nth % 10 = 0")

@@ -1,18 +1,22 @@
-"""The ranked, budgeted read as one lazy plan: scan, cap, score by four signals, top k, pack."""
+"""The ranked, budgeted read: scan, cap, score by four signals, choose (top k, diverse, reranked, neighbours), pack."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import columns as C
-from marlstone.functions import vectors as V
+from marlstone.functions.checkpoint import durable
+from marlstone.operators import kernels
 from marlstone.operators.store import scan
 
 CANDIDATES, MIN_VARIANCE, HALF_LIFE = 500, 0.001, 3600.0
-SIGNALS = ("recency", "conf", "sim", "ref")
 
 
 @dataclass(frozen=True)
@@ -58,32 +62,6 @@ def candidates(rows: DataFrame, scope: str = "**", owner: str | None = None, kin
     return found if cap is None else found.orderBy(F.desc("updated_at"), "path").limit(cap)
 
 
-def scored(found: DataFrame, rows: DataFrame, now: Column | float | None = None, query: list[float] | None = None, weights: Weights = Weights(), signal: Column | None = None, adaptive: bool = True) -> DataFrame:
-    """Candidates with their four signals and the total of them.
-
-    A signal that hardly varies among the candidates tells nothing; its weight goes to the others. ``signal`` replaces
-    the stored confidence. ``now`` is the newest write where it is not given. Candidates carry column v if they have
-    vectors; a row without one, or a read without a query, has similarity 0.5.
-    """
-    w = weights.adapted(query is not None) if adaptive else weights
-    if now is None:
-        at = rows.agg(F.max("updated_at").alias("_now"))
-        found = found.crossJoin(F.broadcast(at))  # one row
-        now = F.col("_now")
-    now = F.lit(now) if isinstance(now, (int, float)) else now
-    near: Column = F.lit(0.5)
-    if query is not None and "v" in found.columns:
-        near = F.when(F.col("v").isNotNull(), F.greatest(F.lit(0.0), V.dot(F.col("v"), F.array(*[F.lit(float(x)) for x in query])))).otherwise(0.5)
-    full = found.join(in_degree(rows), "path", "left").withColumns({"recency": recency(F.col("updated_at"), now), "conf": F.col("confidence") if signal is None else signal, "sim": near, "ref": reference(F.col("n_refs"))})
-    spread = full.agg(*[F.coalesce(F.var_pop(s), F.lit(0.0)).alias(f"_{s}") for s in SIGNALS])
-    live = {s: F.when(F.col(f"_{s}") > MIN_VARIANCE, F.lit(getattr(w, s))).otherwise(0.0) for s in SIGNALS}
-    spread = spread.withColumn("_live", sum((live[s] for s in SIGNALS), F.lit(0.0)))
-    dead = 1.0 * sum(getattr(w, s) for s in SIGNALS)
-    final = {s: F.when(F.col("_live") > 0, live[s] * dead / F.col("_live")).otherwise(F.lit(getattr(w, s))).alias(f"w_{s}") for s in SIGNALS}
-    total = sum((F.col(s) * F.col(f"w_{s}") for s in SIGNALS), F.lit(0.0))
-    return full.crossJoin(F.broadcast(spread.select(*final.values()))).withColumn("score", F.round(total, 9)).drop("_now")  # one row
-
-
 def with_tokens(rows: DataFrame) -> DataFrame:
     p, v = F.col("path"), F.col("value")
     return rows.withColumns({"t_full": C.tokens_full(p, v, F.col("owner"), F.col("confidence")), "t_compact": C.tokens_compact(p, v), "t_path": C.tokens_path(p)})
@@ -101,16 +79,6 @@ def _order(*names: str):
     return compare
 
 
-def top(rows: DataFrame, budget: int) -> DataFrame:
-    """The best k, where k is twice what the budget holds on average, ten at least."""
-    size = rows.agg(F.greatest(F.lit(1), F.floor(F.sum("t_full") / F.count(F.lit(1)))).alias("_mean"))
-    k = F.greatest(F.lit(10), 2 * F.floor(F.lit(budget) / F.col("_mean")))
-    listed = rows.crossJoin(F.broadcast(size.select(k.alias("_k"))))  # one row
-    ranked = listed.orderBy(F.desc("score"), "path").limit(max(10, 2 * budget))
-    ranked = ranked.groupBy().agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_s"), *[c for c in ranked.columns if c != "_s"])), _order("_s", "path")), 1, F.coalesce(F.max("_k"), F.lit(0)).cast("int")).alias("_l"))
-    return ranked.select(F.posexplode("_l").alias("rank", "_e")).select("rank", "_e.*").drop("_s", "_k")
-
-
 def packed(rows: DataFrame, budget: int, stop: bool = True, path_only: bool = True) -> DataFrame:
     """Rows in order of ``rank`` as far as the budget goes: in full, else compact, else the path alone.
 
@@ -137,8 +105,112 @@ def packed(rows: DataFrame, budget: int, stop: bool = True, path_only: bool = Tr
     return rows.groupBy().agg(F.aggregate(key, zero, step).alias("_f")).select(F.explode("_f.out").alias("_e")).select("_e.*")
 
 
-def get(rows: DataFrame, scope: str = "**", budget: int = 2000, query: list[float] | None = None, owner: str | None = None, kind: str | None = None, now: float | None = None, cap: int | None = CANDIDATES, signal: Column | None = None) -> DataFrame:
-    """The flagship read over current rows (columns of the log; v where they have vectors)."""
+PLAN = (
+    "path string, rank int, score double, recency double, conf double, sim double, ref double, "
+    "form string, tokens bigint, used bigint, total_matched bigint"
+)
+
+
+@dataclass(frozen=True)
+class Read:
+    """What a read wants, as the kernel over its candidates needs it."""
+
+    budget: int
+    query: tuple[float, ...] | None = None
+    text: str | None = None
+    weights: Weights = Weights()
+    rerank: Callable[[str, list[str]], Sequence[float]] | None = None
+    diversity: float = 0.7
+    expand: bool = True
+
+    def signals(self, c: pd.DataFrame) -> np.ndarray:
+        """Recency, confidence, similarity and references of each candidate (rows x 4)."""
+        age = np.maximum(c["now"].to_numpy(float) - c["updated_at"].to_numpy(float), 0.0)
+        n = c["n_refs"].fillna(0).to_numpy(float)
+        sim = np.full(len(c), 0.5)
+        if self.query is not None and "v" in c:
+            q = np.asarray(self.query, float)
+            for i, v in enumerate(c["v"]):
+                if v is not None:
+                    sim[i] = max(0.0, float(np.dot(v, q)))
+        ref = np.where(n > 0, np.minimum(1.0, 0.3 + 0.3 * np.log1p(n)), 0.1)
+        return np.stack([2.0 ** (-age / HALF_LIFE), c["conf"].to_numpy(float), sim, ref], axis=1)
+
+    def scores(self, signals: np.ndarray) -> np.ndarray:
+        """Weighted sums. A signal that hardly varies tells nothing; its weight goes to the others in proportion."""
+        w = self.weights.adapted(self.query is not None)
+        base = np.array([w.recency, w.conf, w.sim, w.ref])
+        live = np.where(signals.var(axis=0) > MIN_VARIANCE, base, 0.0)
+        return np.round(signals @ (live * base.sum() / live.sum() if live.sum() > 0 else base), 9)
+
+    def chosen(self, c: pd.DataFrame, score: np.ndarray) -> list[int]:
+        """Rows to pack, in order: the best k; diverse ones where several owners answer a query; the reranker's where
+        there is one; and, where a single owner answers, with the numbered neighbours of each, in order of path."""
+        k = min(len(c), max(10, 2 * (self.budget // max(1, int(c["t_full"].sum()) // len(c)))))
+        owners = c["owner"].nunique()
+        by_score = sorted(range(len(c)), key=lambda i: (-score[i], c["path"].iat[i]))
+        best = by_score[:k]
+        if self.query is not None and owners > 1 and len(c) > k:
+            v = c["v"].tolist() if "v" in c else [None] * len(c)
+            best = kernels.mmr(list(score), v, k, self.diversity) if any(x is not None for x in v) else best
+        if self.rerank is not None and self.text:
+            told = self.rerank(self.text, [x[:1500] for x in c["value"]])
+            best = sorted(range(len(c)), key=lambda i: (-float(told[i]), i))[:k]
+        if self.expand and self.query is not None and owners <= 1:
+            at = {p: i for i, p in enumerate(c["path"])}
+            found = set(best)
+            for i in best:
+                if m := re.fullmatch(r"(.*/)(\d+)", c["path"].iat[i]):
+                    found |= {at[p] for n in (int(m[2]) - 1, int(m[2]) + 1) if (p := f"{m[1]}{n}") in at}
+            best = sorted(found, key=lambda i: c["path"].iat[i])
+        return best
+
+    def plan(self, c: pd.DataFrame) -> pd.DataFrame:
+        """Forms and tokens of what is packed: in full, else compact, else the path; the first that fits in no form ends it."""
+        signals = self.signals(c)
+        score = self.scores(signals)
+        used, out = 0, []
+        for rank, i in enumerate(self.chosen(c, score)):
+            for form in ("full", "compact", "path"):
+                t = int(c[f"t_{form}"].iat[i])
+                if used + t <= self.budget:
+                    used += t
+                    out.append((c["path"].iat[i], rank, score[i], *signals[i], form, t, used, len(c)))
+                    break
+            else:
+                break
+        return pd.DataFrame(out, columns=[x.split()[0] for x in PLAN.split(", ")])
+
+
+def get(
+    rows: DataFrame, scope: str = "**", budget: int = 2000, query: list[float] | None = None, owner: str | None = None, kind: str | None = None,
+    now: float | None = None, cap: int = CANDIDATES, signal: Column | None = None, text: str | None = None,
+    rerank: Callable[[str, list[str]], Sequence[float]] | None = None, weights: Weights = Weights(), diversity: float = 0.7,
+) -> DataFrame:
+    """The flagship read over current rows (columns of the log; v where they have vectors): rows to show within a token
+    budget, with rank, signals, score, form, tokens and the number of candidates.
+
+    The rows are written once (they are an aggregate of the log); from that, one pass finds the ``cap`` newest of the
+    scope and one counts the references to them. What is ranked and packed is these candidates, ``cap`` at most, in one
+    task, whatever the size of the log. ``signal`` replaces the stored confidence. ``now`` is the newest write where it
+    is not given. A row without a vector, or a read without a query, has similarity 0.5.
+    """
+    rows = durable(rows)
     found = candidates(rows, scope, owner, kind, cap)
-    best = top(with_tokens(scored(found, rows, now, query, signal=signal)), budget)
-    return packed(best, budget)
+    vector = ["v"] if query is not None and "v" in rows.columns else []
+    told = (F.col("confidence") if signal is None else signal).alias("conf")
+    slim = durable(with_tokens(found).select("path", "value", "owner", "updated_at", told, *vector, "t_full", "t_compact", "t_path"))
+    refs = rows.select(F.explode("refs").alias("path")).join(F.broadcast(slim.select("path")), "path", "left_semi").groupBy("path").agg(F.count(F.lit(1)).alias("n_refs"))  # at most ``cap`` rows
+    at = rows.agg(F.max("updated_at").alias("now")) if now is None else None
+    full = slim.join(F.broadcast(refs), "path", "left")  # a row a candidate
+    full = full.crossJoin(F.broadcast(at)) if at is not None else full.withColumn("now", F.lit(float(now)))  # one row
+    wanted = Read(budget, None if query is None else tuple(float(x) for x in query), text, weights, rerank, diversity)
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(parts), ignore_index=True)
+        if len(own):
+            yield wanted.plan(own.sort_values(["updated_at", "path"], ascending=[False, True], kind="stable", ignore_index=True))
+
+    plan = full.repartition(1).mapInPandas(work, PLAN)
+    rest = [c for c in rows.columns if c not in ("recency", "conf", "sim", "ref", "score", "rank", "form", "tokens", "used", "total_matched")]
+    return rows.select(*rest).join(F.broadcast(plan), "path").select("rank", *rest, "recency", "conf", "sim", "ref", "score", "form", "tokens", "used", "total_matched")

@@ -11,7 +11,8 @@ from marlstone.operators import compression, kernels, similarity
 from marlstone.plans.registry import query
 from marlstone.sources import adapters as A
 
-PAIR = A.VECTORS + ", p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label, list_dot_product(a.v, b.v) AS c, a.v AS va, b.v AS vb FROM vec a JOIN vec b ON a.label = b.label AND b.vec_id > a.vec_id)"
+PAIR = A.VECTORS + ", p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS c, a.v AS va, b.v AS vb FROM vec a JOIN vec b ON b.vec_id = a.vec_id + 1)"
+LABELLED = A.VECTORS + ", p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label, list_dot_product(a.v, b.v) AS c, a.v AS va, b.v AS vb FROM vec a JOIN vec b ON a.label = b.label AND b.vec_id > a.vec_id)"
 
 
 def _query_vector(spark, d, vec_id: int = 0) -> list[float]:
@@ -19,9 +20,10 @@ def _query_vector(spark, d, vec_id: int = 0) -> list[float]:
 
 
 def _pairs(spark, d):
+    """Each row and the next: what two vectors are to each other is asked of pairs, and these are as many as the rows."""
     v = A.vectors(spark, d)
     x, y = v.alias("x"), v.alias("y")
-    return x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("y.vec_id") > F.col("x.vec_id"))).select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), F.col("x.v").alias("va"), F.col("y.v").alias("vb"))
+    return x.join(y, F.col("y.vec_id") == F.col("x.vec_id") + 1).select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), F.col("x.v").alias("va"), F.col("y.v").alias("vb"))
 
 
 @query(f"WITH {A.VECTORS} SELECT path, round(list_dot_product(v, (SELECT v FROM vec WHERE vec_id = 0)) / sqrt(list_dot_product(v, v) * (SELECT list_dot_product(v, v) FROM vec WHERE vec_id = 0)), 6) AS similarity FROM vec ORDER BY list_dot_product(v, (SELECT v FROM vec WHERE vec_id = 0)) / sqrt(list_dot_product(v, v) * (SELECT list_dot_product(v, v) FROM vec WHERE vec_id = 0)) DESC, path LIMIT 10")
@@ -57,10 +59,10 @@ def v11_kinship(spark, d):
     return p.select("a", "b", *[v.alias(k) for k, v in V.kinship(F.col("c")).items()])
 
 
-@query(f"WITH {A.VECTORS}, unit AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vec), s AS (SELECT a.vec_id AS a, b.vec_id AS b, acos(greatest(-1, least(1, list_dot_product(a.v, b.v)))) AS w, a.v AS va, b.v AS vb FROM unit a JOIN unit b ON a.label = b.label AND b.vec_id > a.vec_id) SELECT a, b, round((sin(w / 2) / sin(w)) * (va[1] + vb[1]), 5) AS first, round((sin(w / 2) / sin(w)) * (va[64] + vb[64]), 5) AS last FROM s")
+@query(f"WITH {A.VECTORS}, unit AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vec), s AS (SELECT a.vec_id AS a, b.vec_id AS b, acos(greatest(-1, least(1, list_dot_product(a.v, b.v)))) AS w, a.v AS va, b.v AS vb FROM unit a JOIN unit b ON b.vec_id = a.vec_id + 1) SELECT a, b, i - 1 AS dim, round((sin(w / 2) / sin(w)) * (va[i] + vb[i]), 5) AS x FROM s, LATERAL (SELECT unnest(range(1, 65)) AS i)")
 def v4_slerp(spark, d):
     p = _pairs(spark, d).withColumn("m", V.interpolate(V.normalise(F.col("va")), V.normalise(F.col("vb")), 0.5))
-    return p.select("a", "b", F.round(F.col("m")[0], 5).alias("first"), F.round(F.col("m")[63], 5).alias("last"))
+    return p.select("a", "b", F.posexplode("m").alias("dim", "x")).select("a", "b", F.col("dim").cast("long").alias("dim"), F.round("x", 5).alias("x"))
 
 
 @query(f"WITH {A.VECTORS}, q AS (SELECT list_transform(range(1, 65), lambda i: c.v[i] + b.v[i] - a.v[i]) AS t FROM vec a, vec b, vec c WHERE a.vec_id = 0 AND b.vec_id = 1 AND c.vec_id = 2) SELECT vec_id, round(list_dot_product(v, t) / sqrt(list_dot_product(t, t)), 6) AS similarity FROM vec, q")
@@ -80,7 +82,7 @@ def v6_centroids(spark, d):
     return similarity.centroids(A.vectors(spark, d)).select("label", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
-@query(f"WITH {PAIR} SELECT label, round(avg(c / sqrt(list_dot_product(va, va) * list_dot_product(vb, vb))), 6) AS mean_similarity FROM p GROUP BY label")
+@query(f"WITH {LABELLED} SELECT label, round(avg(c / sqrt(list_dot_product(va, va) * list_dot_product(vb, vb))), 6) AS mean_similarity FROM p GROUP BY label")
 def a12_mean_pairwise(spark, d):
     return similarity.mean_pairwise(A.vectors(spark, d)).select("label", F.round("mean_similarity", 6).alias("mean_similarity"))
 
@@ -103,9 +105,9 @@ def j12_knn_graph(spark, d):
     return similarity.knn(A.vectors(spark, d), 5).select("a", "b", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {CROSS}, g AS (SELECT a, max(s) AS m, count(*) FILTER (WHERE s > 0.7) / count(*) AS den FROM c WHERE b < a GROUP BY a) SELECT a AS vec_id, round(1 - greatest(0, m), 4) AS novelty, round(den, 4) AS density FROM g UNION ALL SELECT min(vec_id), 1.0, 0.0 FROM vec")
+@query(f"WITH {CROSS}, g AS (SELECT a, max(s) AS m, count(*) FILTER (WHERE s > 0.7) / count(*) AS den FROM c WHERE b < a GROUP BY a) SELECT a AS vec_id, round(1 - greatest(0, m), 4) AS novelty, round(den, 4) AS density, round(acos(greatest(-1, least(1, m))), 4) AS nearest_distance, round((1 - greatest(0, m)) * (1 - den), 4) AS information_gain FROM g UNION ALL SELECT min(vec_id), 1.0, 0.0, 'Infinity'::DOUBLE, 1.0 FROM vec")
 def v13_novelty(spark, d):
-    return similarity.novelty(A.vectors(spark, d)).select("vec_id", "novelty", "density")
+    return similarity.novelty(A.vectors(spark, d))
 
 
 @query(f"WITH {CROSS}, n AS (SELECT * FROM (SELECT a, acos(greatest(-1, least(1, s))) AS d, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM c) WHERE r <= 6 AND d > 1e-10), g AS (SELECT a, count(*) AS n, sum(ln(t / d)) AS s FROM (SELECT *, max(d) OVER (PARTITION BY a) AS t FROM n) GROUP BY a) SELECT round(median((n - 1) / s), 3) AS dimension FROM g WHERE n >= 2 AND s > 0")
@@ -113,15 +115,20 @@ def v18_intrinsic_dimension(spark, d):
     return similarity.intrinsic_dimension(A.vectors(spark, d)).select(F.round("dimension", 3).alias("dimension"))
 
 
-@query(f"WITH {A.VECTORS}, m AS (SELECT vec_id, list_transform(v[1:16], lambda x: x / sqrt(list_dot_product(v[1:16], v[1:16]))) AS t FROM vec) SELECT vec_id, round(t[1], 6) AS first, round(t[16], 6) AS last FROM m")
+@query(f"WITH {A.VECTORS}, m AS (SELECT vec_id, list_transform(v[1:16], lambda x: x / sqrt(list_dot_product(v[1:16], v[1:16]))) AS t FROM vec) SELECT vec_id, i - 1 AS dim, round(t[i], 6) AS x FROM m, LATERAL (SELECT unnest(range(1, 17)) AS i)")
 def v23_truncated(spark, d):
     t = A.vectors(spark, d).select("vec_id", V.truncate(F.col("v"), 16).alias("t"))
-    return t.select("vec_id", F.round(F.col("t")[0], 6).alias("first"), F.round(F.col("t")[15], 6).alias("last"))
+    return t.select("vec_id", F.posexplode("t").alias("dim", "x")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
-@query(f"WITH {PAIR} SELECT a, b, round(c / sqrt(list_dot_product(va, va) * list_dot_product(vb, vb)), 5) AS similarity FROM p WHERE c / sqrt(list_dot_product(va, va) * list_dot_product(vb, vb)) >= 0.85")
+SHORT = A.VECTORS + ", sh AS (SELECT vec_id, list_transform(v[1:4], lambda x: x / sqrt(list_dot_product(v[1:4], v[1:4]))) AS v FROM vec)"
+
+
+@query(f"WITH {SHORT} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 4) AS similarity FROM sh a JOIN sh b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.85")
 def j17_conflict_pairs(spark, d):
-    return _pairs(spark, d).select("a", "b", F.round(V.cosine(F.col("va"), F.col("vb")), 5).alias("similarity")).where("similarity >= 0.85")
+    """Pairs alike enough to be in conflict, of all rows, by the first four dimensions (whole vectors are never as alike here)."""
+    v = A.vectors(spark, d)
+    return similarity.pairs_over(v.withColumn("v", V.truncate(F.col("v"), 4)), 0.85).withColumn("similarity", F.round("similarity", 4))
 
 
 @query()
@@ -162,15 +169,7 @@ def v7_complement(spark, d):
 
 @query()
 def v9_alignment(spark, d):
-    groups = A.vectors(spark, d).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("m"))
-    x, y = groups.alias("x"), groups.alias("y")
-    both = x.join(y, F.col("x.label") < F.col("y.label")).select(F.col("x.label").alias("a"), F.col("y.label").alias("b"), F.col("x.m.v").alias("ma"), F.col("y.m.v").alias("mb"))
-
-    @F.pandas_udf("double")
-    def align(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([kernels.alignment(np.stack(p), np.stack(q)) for p, q in zip(a, b, strict=True)], dtype=float)
-
-    return both.select("a", "b", align("ma", "mb").alias("alignment"))
+    return similarity.alignments(A.vectors(spark, d))
 
 
 @query()
@@ -201,19 +200,12 @@ def v19_linked_components(spark, d):
 
 @query()
 def v20_voids(spark, d):
-    def kernel(label, part, m):
-        return [(label, len(kernels.voids(m)))]
-
-    return kernels.by_group(A.vectors(spark, d), "label", kernel, "label int, n int")
+    return similarity.voids(A.vectors(spark, d), least=0.36).withColumn("nearest", F.round("nearest", 6))
 
 
 @query()
 def v21_geodesic(spark, d):
-    def kernel(label, part, m):
-        got = [(int(i), kernels.geodesic(m, 0, k)) for k, i in enumerate(part["vec_id"])]
-        return [(label, i, None if x is None else round(x, 6)) for i, x in got]
-
-    return kernels.by_group(A.vectors(spark, d), "label", kernel, "label int, vec_id bigint, distance double")
+    return similarity.geodesics(A.vectors(spark, d), 0).select(F.col("node").cast("long").alias("vec_id"), F.round("cost", 6).alias("distance"))
 
 
 @query()
@@ -242,24 +234,14 @@ def j10_near_duplicates(spark, d):
 
 @query()
 def c4_same_vectors(spark, d):
-    return compression.without_same_vectors(A.vectors(spark, d), threshold=0.5).select("vec_id", "label")
+    return compression.without_same_vectors(A.vectors(spark, d), threshold=0.4).select("vec_id", "label")
 
 
 @query()
 def k4_mmr(spark, d):
-    q = np.asarray(_query_vector(spark, d))
-
-    def kernel(label, part, m):
-        return [(label, r, int(part["vec_id"].iloc[i])) for r, i in enumerate(kernels.mmr(list(m @ q), list(m), 10))]
-
-    return kernels.by_group(A.vectors(spark, d), "label", kernel, "label int, rank int, vec_id bigint")
+    return similarity.chosen_mmr(A.vectors(spark, d), _query_vector(spark, d), 10)
 
 
 @query()
 def k5_diverse_search(spark, d):
-    q = np.asarray(_query_vector(spark, d))
-
-    def kernel(label, part, m):
-        return [(label, r, int(part["vec_id"].iloc[i])) for r, i in enumerate(kernels.diverse(q, m, 10, 0.3))]
-
-    return kernels.by_group(A.vectors(spark, d), "label", kernel, "label int, rank int, vec_id bigint")
+    return similarity.chosen_diverse(A.vectors(spark, d), _query_vector(spark, d), 10, 0.3)

@@ -113,10 +113,10 @@ def s7_vector_lookup(spark, d):
     return A.vectors(spark, d).where((F.col("vec_id") < 1) & (F.size("v") == 64)).select("path", "label", F.size("v").cast("long").alias("dim"))
 
 
-@query(f"WITH {A.VECTORS} SELECT path, round(v[1], 6) AS first, round(v[64], 6) AS last FROM vec WHERE len(v) = 64")
+@query(f"WITH {A.VECTORS} SELECT path, i - 1 AS dim, round(v[i], 6) AS x FROM vec, LATERAL (SELECT unnest(range(1, 65)) AS i) WHERE len(v) = 64")
 def s8_vectors_by_path(spark, d):
     v = F.col("v")
-    return A.vectors(spark, d).where(F.size(v) == 64).select("path", F.round(v[0], 6).alias("first"), F.round(v[63], 6).alias("last")).orderBy("path")
+    return A.vectors(spark, d).where(F.size(v) == 64).select("path", F.posexplode(v).alias("dim", "x")).select("path", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x")).orderBy("path", "dim")
 
 
 @query(f"WITH {A.VECTORS} SELECT label, len(v) AS dim, count(*) AS n FROM vec GROUP BY ALL")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.vectors import normalise
+
 WRITES = """writes AS (SELECT event_id AS seq, 'task/' || event_type || '/u' || user_id AS path,
   event_type || ' value=' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS value, 'agent-' || (event_id % 7) AS owner,
   CASE event_id % 4 WHEN 0 THEN 'fact' WHEN 1 THEN 'decision' WHEN 2 THEN 'plan' ELSE 'observation' END AS type,
@@ -20,6 +22,10 @@ CURRENT = (
   row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS rn FROM writes) WHERE rn = 1)"""
 )
 VECTORS = "vec AS (SELECT vec_id, 'vec/' || label || '/' || vec_id AS path, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+VECTOR_WRITES = """cur AS (SELECT vec_id AS seq, 'vec/' || (vec_id // 20) || '/' || vec_id AS path, 'reading ' || (vec_id % 13) || ' from group ' || label || ' by sensor ' || (vec_id % 5) AS value,
+  'agent-' || (vec_id // 7 % 3) AS owner, CASE vec_id % 2 WHEN 0 THEN 'fact' ELSE 'observation' END AS type, CAST(vec_id % 100 AS DOUBLE) / 100 AS confidence,
+  CASE WHEN vec_id % 3 = 0 THEN ['vec/' || ((vec_id + 1) // 20) || '/' || (vec_id + 1)] ELSE CAST([] AS VARCHAR[]) END AS refs, 1704067200.0 + 60.0 * vec_id AS updated_at,
+  list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings)"""
 TURNS = "turns AS (SELECT conv_id, turn, 'conv/' || conv_id || '/turn/' || turn AS path, text AS value, role AS owner FROM conversations)"
 EDGES = """edges AS (SELECT 'order/' || o_orderkey AS child, 'customer/' || o_custkey AS parent FROM orders
   UNION ALL SELECT 'customer/' || c_custkey, 'nation/' || c_nationkey FROM customer
@@ -52,6 +58,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("vec/"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string")).alias("path"), "label", F.col("embedding").cast("array<double>").alias("v"))
 
 
+def vector_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A write log with vectors: one reading an embedding."""
+    i = F.col("vec_id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    place = lambda n: text("vec/", F.floor(n / 20).cast("long"), "/", n)
+    return table(spark, sf_dir, "embeddings").select(
+        i.alias("seq"), place(i).alias("path"), text("reading ", i % 13, " from group ", F.col("label"), " by sensor ", i % 5).alias("value"),
+        text("agent-", F.floor(i / 7).cast("long") % 3).alias("owner"), F.when(i % 2 == 0, "fact").otherwise("observation").alias("type"), ((i % 100).cast("double") / 100).alias("confidence"),
+        F.when(i % 3 == 0, F.array(place(i + 1))).otherwise(F.array().cast("array<string>")).alias("refs"), F.lit("persistent").alias("ttl"), (F.lit(1704067200.0) + 60.0 * i).alias("updated_at"),
+        normalise(F.col("embedding").cast("array<double>")).alias("v"),
+    )
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/turn/"), F.col("turn").cast("string")).alias("path"), F.col("text").alias("value"), F.col("role").alias("owner"))
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,42 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("id", F.array_join(parts, "\n\n").alias("context"), "question", "answer")
 
 
+def long_questions(spark: SparkSession, path: str) -> DataFrame:
+    """Question sets whose context is one long text; fields that are missing are empty."""
+    raw = spark.read.schema("id string, context string, question string, answer string, length string, difficulty string").json(path)
+    return raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in raw.columns])
+
+
+def save_state(spark: SparkSession, folder: str, key: str, state: dict) -> None:
+    """State of the store under a key, as JSON with sorted keys; a later one takes its place when it is read."""
+    row = [(key, json.dumps(state, sort_keys=True), time.time_ns())]
+    spark.createDataFrame(row, "key string, payload string, at bigint").write.mode("append").parquet(folder)
+
+
+def load_state(spark: SparkSession, folder: str, key: str) -> dict | None:
+    """The last state that was saved under a key; None where there is none or it is no JSON object."""
+    try:
+        row = spark.read.parquet(folder).where(F.col("key") == key).agg(F.max_by("payload", "at").alias("p")).first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+    try:
+        out = json.loads(row["p"]) if row["p"] is not None else None
+    except ValueError:
+        return None
+    return out if isinstance(out, dict) else None
+
+
+def save_table(rows: DataFrame, folder: str) -> None:
+    """A graph's or a ledger's table (provenance nodes, confidence states, trust profiles), as it is."""
+    rows.write.mode("overwrite").parquet(folder)
+
+
+def load_table(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder)
+
+
 def capabilities(spark: SparkSession, vectors: bool) -> DataFrame:
     """What the store can do, and which of it is the best."""
     return spark.createDataFrame([("text", True, not vectors), ("embedding", vectors, vectors), ("tensor", False, False)], "channel string, available boolean, best boolean")

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marlstone.functions import columns as C
 from marlstone.operators import reasoning
+from marlstone.operators.store import newest
 
 EVENT = "type string, path string, data map<string,string>, source_owner string, ts double"
 
@@ -44,15 +45,26 @@ def subscribe(events: DataFrame, pattern: str, deliver: Callable[[DataFrame, int
 
 
 def reason_by_batch(writes: DataFrame, history: Callable[[], DataFrame], deliver: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Contradiction events of each batch of writes against the table of all writes, which holds the batch too."""
+    """Contradiction events of each batch of writes against the table of all writes, which holds the batch too; only the
+    batch's writes are joined with what was current."""
 
     def work(batch: DataFrame, n: int) -> None:
-        new = batch.select("seq").distinct()
-        deliver(reasoning.contradictions(history()).join(new, "seq", "left_semi"), n)
+        deliver(reasoning.contradictions(history(), new=batch), n)
 
     return writes.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).start()
 
 
+def of_types(events: DataFrame, *types: str) -> DataFrame:
+    """Events of some types, for subscriptions by type."""
+    return events.where(F.col("type").isin(*types))
+
+
+def history(events: DataFrame, most: int = 1000) -> DataFrame:
+    """The newest ``most`` events, as a bounded history keeps them, and how many were dropped."""
+    total = events.agg((F.greatest(F.count(F.lit(1)) - most, F.lit(0))).alias("dropped"))
+    return newest(events, most, time="ts", tie="path").crossJoin(F.broadcast(total))  # one row
+
+
 def counts_by_window(writes: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Extension: writes a prefix and hour, with late rows taken up to the watermark."""
     timed = writes.withColumn("at", F.timestamp_micros((F.col("updated_at") * 1_000_000).cast("long"))).withWatermark("at", late)

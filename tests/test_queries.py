@@ -30,11 +30,10 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
+    if name not in SQL:
+        pytest.skip("held to brute force in test_brute.py")
     out = catalog.queries()[name](spark, SF)
     rows = [tuple(r) for r in out.collect()]
-    if name not in SQL:
-        assert len(out.columns) == len(set(out.columns))
-        return
     want = duck.execute(SQL[name]).df()
     want = want.astype(object).where(want.notna(), None)
     assert sorted(out.columns) == sorted(want.columns)
