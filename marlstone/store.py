@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import columns as C
+from marlstone.functions.checkpoint import durable
 from marlstone.operators import confidence, provenance, reasoning, store, trust
 from marlstone.plans import retrieval
 
@@ -62,20 +63,26 @@ class KnowledgeStore:
         at = time.time() if now is None else now
         self.spark.createDataFrame([(first + i, p, "", "", "fact", 0.0, [], "session", float(at), {}, None, True) for i, p in enumerate(paths)], LOG).write.mode("append").parquet(self.folder)
 
-    def _purge(self, *ttls: str) -> list[str]:
-        gone = sorted(r.path for r in self.current().where(F.col("ttl").isin(*ttls)).select("path").collect())
-        if gone:
-            self.delete(*gone)
-        return gone
-
-    def clear_turn(self) -> list[str]:
+    def _purge(self, *ttls: str) -> DataFrame:
+        """Writes a tombstone for each path of some lifetimes, in the executors; the paths are a query over the log."""
+        gone = durable(self.current().where(F.col("ttl").isin(*ttls)).select("path"))
+        n = gone.count()
+        if n:
+            first, at = self._seq(n), time.time()
+            rows = gone.select(F.lit(first).cast("bigint").alias("seq"), "path")  # one number serves all: they are of different paths
+            blank = {"value": F.lit(""), "owner": F.lit(""), "type": F.lit("fact"), "confidence": F.lit(0.0), "refs": F.array().cast("array<string>"), "ttl": F.lit("session"), "updated_at": F.lit(at), "metadata": F.expr("cast(map() as map<string,string>)"), "v": F.lit(None).cast("array<double>"), "gone": F.lit(True)}
+            rows.withColumns(blank).write.mode("append").parquet(self.folder)
+        return gone.orderBy("path")
+
+    def clear_turn(self) -> DataFrame:
         return self._purge("turn")
 
-    def clear_session(self) -> list[str]:
+    def clear_session(self) -> DataFrame:
         return self._purge("turn", "session")
 
-    def get(self, scope: str = "**", budget: int = 2000, query: list[float] | None = None, owner: str | None = None, kind: str | None = None, now: float | None = None) -> DataFrame:
-        return retrieval.get(self.current(), scope, budget, query, owner, kind, now)
+    def get(self, scope: str = "**", budget: int = 2000, query: list[float] | None = None, owner: str | None = None, kind: str | None = None, now: float | None = None, **choice) -> DataFrame:
+        """The ranked, budgeted read; ``choice`` is what ``retrieval.get`` takes besides (text, rerank, weights, diversity)."""
+        return retrieval.get(self.current(), scope, budget, query, owner, kind, now, **choice)
 
     def retrieve(self, path: str) -> DataFrame:
         return store.latest(self.writes().where(F.col("path") == path))

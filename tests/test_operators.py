@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import compression, confidence, evaluation, kernels, protocol, provenance, reasoning, similarity, store, trust
+from marlstone.operators import compression, confidence, evaluation, kernels, protocol, provenance, providers, reasoning, similarity, store, trust
 from marlstone.plans import catalog
 from marlstone.sources import exchange
 from marlstone.store import KnowledgeStore
@@ -33,7 +33,7 @@ def test_contradictions_of_the_whole_log(spark, tmp_path):
     for n, path, value, owner, kind in log:
         now = {p: (s, v, o, k) for s, p, v, o, k in log if s < n}  # the last write of each path
         want |= {(n, s, path, p) for p, (s, v, o, k) in now.items() if p != path and p.split("/")[1] == path.split("/")[1] and o != owner and k == kind and v != value}
-    got = [tuple(r)[:4] for r in catalog.queries()["j3_contradictions_whole"](spark, str(tmp_path)).collect()]
+    got = [tuple(r)[:4] for r in catalog.queries()["j3_contradictions"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len({s % 7 for s, *_ in want}) == 7
 
 
@@ -168,7 +168,7 @@ def test_store_round_trip(spark, tmp_path):
     row = kb.retrieve("a/b").first()
     assert (row.value, row.version, row.created_at) == ("two", 2, 1.0) and kb.get("a/**", 1000).count() == 2
     assert kb.gaps().first().ref == "a/zz" and kb.status().first().entries == 2 and kb.lineage("a/b").count() == 2
-    assert kb.clear_turn() == ["a/b"] and not kb.exists("a/b")
+    assert [r.path for r in kb.clear_turn().collect()] == ["a/b"] and not kb.exists("a/b")
     kb.put("a/b", "again", "x", now=9.0)
     assert kb.retrieve("a/b").first().version == 1
     with pytest.raises(ValueError):
@@ -207,3 +207,49 @@ def test_empty_log(spark):
     for f in (store.latest, store.versions, reasoning.contradictions, reasoning.gaps, reasoning.cross_agent, reasoning.summaries, provenance.nodes):
         assert f(none).count() == 0
     assert trust.fold(reasoning.cross_agent(none)).count() == 0
+
+
+def test_contradictions_by_vectors_and_by_text(spark):
+    schema = "seq bigint, path string, value string, owner string, type string, confidence double, refs array<string>, ttl string, updated_at double, v array<double>"
+    rows = [(1, "t/a", "x", "p", "fact", 1.0, [], "session", 1.0, [1.0, 0.0]), (2, "t/b", "y", "q", "plan", 1.0, [], "session", 2.0, [0.9, 0.1]), (3, "t/c", "z", "r", "fact", 1.0, [], "session", 3.0, None), (4, "t/d", "w", "q", "fact", 1.0, [], "session", 4.0, [0.0, 1.0])]
+    log = spark.createDataFrame(rows, schema)
+    got = {(r.seq, r.old_seq, round(r.similarity, 2)) for r in reasoning.contradictions(log).collect()}
+    assert got == {(2, 1, 0.99), (3, 1, 0.5), (4, 3, 0.5)}
+    assert {r.seq for r in reasoning.contradictions(log, new=log.where("seq = 3")).collect()} == {3}
+
+
+def test_state_round_trip(spark, tmp_path):
+    folder = str(tmp_path / "state")
+    assert exchange.load_state(spark, folder, "trust") is None
+    exchange.save_state(spark, folder, "trust", {"b": [1, 2], "a": {"x": 0.5}})
+    exchange.save_state(spark, folder, "trust", {"b": 3})
+    assert exchange.load_state(spark, folder, "trust") == {"b": 3} and exchange.load_state(spark, folder, "none") is None
+    spark.createDataFrame([("bad", "{no json", 9)], "key string, payload string, at bigint").write.mode("append").parquet(folder)
+    assert exchange.load_state(spark, folder, "bad") is None
+    n = provenance.nodes(log(spark, [("t/a", "1", "x", "fact", 1.0, ()), ("t/a", "2", "x", "fact", 1.0, ())]))
+    exchange.save_table(n, str(tmp_path / "graph"))
+    assert sorted(map(str, exchange.load_table(spark, str(tmp_path / "graph")).collect())) == sorted(map(str, n.collect()))
+
+
+def test_question_sets_settings_and_capabilities(spark, tmp_path, monkeypatch):
+    (tmp_path / "q.json").write_text('{"id": "1", "context": "long", "question": "q?"}\n')
+    assert exchange.long_questions(spark, str(tmp_path / "q.json")).first().asDict() == {"id": "1", "context": "long", "question": "q?", "answer": "", "length": "", "difficulty": ""}
+    (tmp_path / "h.json").write_text('{"id": "1", "question": "q", "answer": "a", "context": {"title": ["T", "U"], "sentences": [["x.", "y."], ["z."]]}}\n')
+    assert exchange.questions(spark, str(tmp_path / "h.json")).first().context == "T: x. y.\n\nU: z."
+    (tmp_path / "s.json").write_text('{"a": 1, "b": 2}')
+    monkeypatch.setenv("MARLSTONE_B", "3")
+    assert exchange.settings(str(tmp_path / "s.json"), a=None, c=4) == {"a": 1, "b": "3", "c": 4}
+    assert [r.channel for r in exchange.capabilities(spark, True).where("best").collect()] == ["embedding"]
+
+
+def test_merges_draws_and_dimensions(spark):
+    n = provenance.nodes(log(spark, [("t/a", "1", "x", "fact", 1.0, ()), ("t/b", "2", "x", "fact", 1.0, ())]))
+    ev = spark.createDataFrame([(10, "merge", "t/c", "z", "h", ["t/a", "t/b", "t/none"]), (11, "confirm", "t/none", "z", "h", [])], "seq bigint, kind string, path string, owner string, value_hash string, sources array<string>")
+    first = n.agg(F.min("seq")).first()[0]
+    made = [r for r in provenance.recorded(n, ev).collect() if r.derivation == "merged"]
+    assert len(made) == 1 and made[0].parents == [first, first + 1] and provenance.recorded(n, ev).count() == 3
+    m = spark.createDataFrame([(1, "a", "b", False), (2, "b", "a", True)], "seq bigint, winner string, loser string, draw boolean")
+    r = {x.agent: x.rating for x in protocol.elo(m).collect()}
+    assert abs(sum(r.values()) - 3000) < 1e-9 and 1500 < r["a"] < 1516
+    assert spark.range(1).select(providers.likeness({"confidence": (F.lit(0.9), F.lit(0.4), 1.0), "relational": (F.lit(1.0), F.lit(0), 3.0)}).alias("x")).first().x == pytest.approx(0.5)
+    assert protocol.normalised_weights({"a": 2, "b": 6}) == {"a": 0.25, "b": 0.75}
