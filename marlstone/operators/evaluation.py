@@ -8,9 +8,9 @@ from pyspark.sql import Window as W
 
 
 def answer_text(text: Column) -> Column:
-    """Lower case without articles and punctuation, white space as single blanks."""
-    bare = F.regexp_replace(F.lower(text), r"[^\w\s]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    """Lower case without articles and punctuation, white space as single blanks; letters of any script stay."""
+    bare = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", "")
+    return F.array_join(F.filter(F.split(bare, r"\s+"), lambda w: ~w.isin("", "a", "an", "the")), " ")
 
 
 def exact_match(prediction: Column, truth: Column) -> Column:

@@ -53,15 +53,15 @@ def a19_percentiles(spark, d):
     return A.table(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"))
 
 
-NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[^a-z0-9_\\s]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
-F1 = f"n AS (SELECT conv_id, turn, {NORMAL.format('text')} AS t, {NORMAL.format('prev')} AS p FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') AS text FROM conversations)) WHERE prev IS NOT NULL), s AS (SELECT *, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(p, ' '), lambda x: x <> '')) AS b FROM n)"
+NORMAL = "array_to_string(list_filter(string_split_regex(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')"
+F1 = f"n AS (SELECT conv_id, turn, {NORMAL.format('text')} AS t, {NORMAL.format('prev')} AS p FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) WHERE prev IS NOT NULL), s AS (SELECT *, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(p, ' '), lambda x: x <> '')) AS b FROM n)"
 
 
 @query(f"WITH {F1} SELECT conv_id, turn, CASE WHEN t = p THEN 1.0::DOUBLE ELSE 0.0 END AS exact, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(list_intersect(a, b)) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS f1 FROM s")
 def a18_answer_scores(spark, d):
     from pyspark.sql import Window as W
 
-    t = A.table(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text"))
+    t = A.table(spark, d, "conversations").select("conv_id", "turn", "text")
     t = t.withColumn("prev", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).where(F.col("prev").isNotNull())
     return t.select("conv_id", "turn", E.exact_match(F.col("text"), F.col("prev")).alias("exact"), F.round(E.token_f1(F.col("text"), F.col("prev")), 6).alias("f1"))
 
