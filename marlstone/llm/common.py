@@ -7,8 +7,10 @@ bytes of other scripts count as letters). All hashes are 64-bit and the same on
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import functools
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -218,6 +220,7 @@ def durable(df: DataFrame) -> DataFrame:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="marlstone-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint()
 

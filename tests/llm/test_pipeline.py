@@ -30,3 +30,26 @@ def test_run(spark, tmp_path):
     assert not brute_repeats(left, 50) and not brute_contaminated(left, [(1, item)], 0.6)
     assert {r[0] for r in left} == set(ids)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "suffix_array_dedup", "benchmark_decontamination", "best_fit_packing"]
+
+
+def test_stages_handle_awkward_tables(spark, docs, rows, labels, benchmark, clashing, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and columns of clashing names through all stages, and empty
+    tables."""
+    d = str(tmp_path)
+    labels.write.parquet(f"{d}/labels.parquet")
+    benchmark.write.parquet(f"{d}/benchmark.parquet")
+    at, among = docs, clashing
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at, among = stage(spark, at, d), stage(spark, among, d)
+        assert among.columns == clashing.columns, name
+        assert Counter(str(tuple(r)) for r in at.collect()) == Counter(str(tuple(r)[: len(docs.columns)]) for r in among.collect()), name
+        assert stage(spark, docs.limit(0), d).collect() == [] and stage(spark, docs.limit(0), d).columns == docs.columns, name
+        at, among = (x.write.mode("overwrite").parquet(f"{d}/{k}") or spark.read.parquet(f"{d}/{k}") for k, x in ((f"{name}-a", at), (f"{name}-b", among)))
+    ids = Counter(r.doc_id for r in at.collect())
+    assert ids[None] == ids[60] == ids[61] == ids[62] == ids[63] == ids[1] == ids[4] == 1 and not ids[2] and not ids[3] and not ids[25]
+    last = corpus_pipeline.STAGES[-1][1]
+    assert {r.doc_id for r in last(spark, among, d).collect()} == set(ids) and last(spark, docs.limit(0), d).collect() == []
+    none = f"{d}/none"
+    for name, table in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        table.limit(0).write.parquet(f"{none}/{name}.parquet")
+    assert corpus_pipeline.run(spark, none).collect() == []
