@@ -59,10 +59,10 @@ def v11_kinship(spark, d):
     return p.select("a", "b", *[v.alias(k) for k, v in V.kinship(F.col("c")).items()])
 
 
-@query(f"WITH {A.VECTORS}, unit AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vec), s AS (SELECT a.vec_id AS a, b.vec_id AS b, acos(greatest(-1, least(1, list_dot_product(a.v, b.v)))) AS w, a.v AS va, b.v AS vb FROM unit a JOIN unit b ON b.vec_id = a.vec_id + 1) SELECT a, b, i - 1 AS dim, round((sin(w / 2) / sin(w)) * (va[i] + vb[i]), 5) AS x FROM s, LATERAL (SELECT unnest(range(1, 65)) AS i)")
+@query(f"WITH {A.VECTORS}, unit AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vec), s AS (SELECT a.vec_id AS a, b.vec_id AS b, acos(greatest(-1, least(1, list_dot_product(a.v, b.v)))) AS w, a.v AS va, b.v AS vb FROM unit a JOIN unit b ON b.vec_id = a.vec_id + 1) SELECT a, b, i - 1 AS dim, round((sin(w / 2) / sin(w)) * (va[i] + vb[i]), 5) + 0.0 AS x FROM s, LATERAL (SELECT unnest(range(1, 65)) AS i)")
 def v4_slerp(spark, d):
     p = _pairs(spark, d).withColumn("m", V.interpolate(V.normalise(F.col("va")), V.normalise(F.col("vb")), 0.5))
-    return p.select("a", "b", F.posexplode("m").alias("dim", "x")).select("a", "b", F.col("dim").cast("long").alias("dim"), F.round("x", 5).alias("x"))
+    return p.select("a", "b", F.posexplode("m").alias("dim", "x")).select("a", "b", F.col("dim").cast("long").alias("dim"), (F.round("x", 5) + 0.0).alias("x"))  # no negative zero
 
 
 @query(f"WITH {A.VECTORS}, q AS (SELECT list_transform(range(1, 65), lambda i: c.v[i] + b.v[i] - a.v[i]) AS t FROM vec a, vec b, vec c WHERE a.vec_id = 0 AND b.vec_id = 1 AND c.vec_id = 2) SELECT vec_id, round(list_dot_product(v, t) / sqrt(list_dot_product(t, t)), 6) AS similarity FROM vec, q")
