@@ -31,7 +31,7 @@ from marlstone.llm.common import NONWORD, U64, Grams, buffers, durable, fresh, l
 RADIUS, SIMILARITY = 22, 0.5
 SHARDS, SHARD_POINTS = 8, 500_000
 LINKS, ROOM, TREE, BEAM, ENTRIES = 8, 12, 6, 12, 512
-ORDERS, SIDE, GATES = 16, 4, 128  # sorted orders of the codes, neighbours that each gives a query to start at, entries it tries besides
+ORDERS, SIDE, GATES = 16, 24, 128  # sorted orders of the codes, neighbours that each gives a query to start at, entries it tries besides
 AUDIT, AUDIT_PAIRS, RECALL = 16_384, 500, 0.96  # queries scanned at most and pairs wanted, of own and of foreign queries each
 SLOTS, EMPTY = 128, 0xFFFF
 LAST, NODE = np.uint32(0xFFFFFFFF), np.uint32(0x7FFFFF)
@@ -122,11 +122,11 @@ class SmallWorld:
 
     @staticmethod
     def _windows(codes: np.ndarray) -> Iterator[np.ndarray]:
-        """64 bits of each code from every eighth bit on, around the end. Codes that differ little often share the
+        """64 bits of each code from ``ORDERS`` places on, around the end. Codes that differ little often share the
         leading bits of some window, and then stand close to each other when sorted by it."""
         for k in range(ORDERS):
             a, b = (codes[:, 0], codes[:, 1]) if k < ORDERS // 2 else (codes[:, 1], codes[:, 0])
-            shift = U64(8 * (k % (ORDERS // 2)))
+            shift = U64(128 // ORDERS * (k % (ORDERS // 2)))
             yield (a << shift) | (b >> (U64(64) - shift)) if shift else a
 
     def _starts(self, queries: np.ndarray) -> np.ndarray:
@@ -321,15 +321,52 @@ class Union:
             up[x], x = root, up[x]
         return int(root)
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> list[int]:
-        """Unions a[i] and b[i] one after the other; the i at which two parts became one."""
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        """What stands for the part of each number; paths are shortened on the way."""
+        out = self.up[x]
+        while True:
+            above = self.up[out]
+            if (above == out).all():
+                self.up[x] = out
+                return out
+            out = above
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Unions a[i] and b[i]; the i at which two parts became one, each of which stands for all its equals."""
+        ra, rb = self.roots(a), self.roots(b)
+        apart = np.flatnonzero(ra != rb)
+        _, first = np.unique(ra[apart] * len(self.up) + rb[apart], return_index=True)
         out = []
-        for i in np.flatnonzero(self.up[a] != self.up[b]).tolist():
-            x, y = self.find(int(a[i])), self.find(int(b[i]))
+        for i in apart[first].tolist():
+            x, y = self.find(int(ra[i])), self.find(int(rb[i]))
             if x != y:
                 self.up[max(x, y)] = min(x, y)
                 out.append(i)
-        return out
+        return np.array(out, np.int64)
+
+
+def verified(q: np.ndarray, p: np.ndarray, part: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each query and each part that has points it met, a pair whose sketches (of ``a`` and ``b``) are similar enough,
+    if there is one: more pairs of the same part would connect nothing else. In order of q.
+
+    Pairs of a query and part are looked at one by one, then two, then four at a time, until one is found.
+    """
+    order = np.lexsort((part, q))
+    q, p, part = q[order], p[order], part[order]
+    start = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (part[1:] != part[:-1])])) if len(q) else q
+    size = np.diff(np.concatenate([start, [len(q)]]))
+    found = np.full(len(start), -1)
+    done, width, left = 0, 1, np.arange(len(start))
+    while len(left):
+        n = np.minimum(size[left] - done, width)
+        group = np.repeat(left, n)
+        at = start[group] + done + np.arange(len(group)) - np.repeat(np.cumsum(n) - n, n)
+        good = np.concatenate([jaccard(a[q[x]], b[p[x]]) >= similarity for x in np.split(at, range(1 << 16, len(at), 1 << 16))])
+        found[group[good][::-1]] = at[good][::-1]
+        done, width = done + width, 2 * width
+        left = left[(found[left] < 0) & (size[left] > done)]
+    found = found[found >= 0]
+    return q[found], p[found]
 
 
 def _sign(batches):
@@ -377,12 +414,9 @@ def _shard(radius: int, similarity: float):
                 p = by_code[np.repeat(first[code], size) + np.arange(len(q)) - np.repeat(np.cumsum(size) - size, size)]
                 other = node[q] != ids[p]
                 q, p = q[other], p[other]
-                good = np.concatenate([jaccard(sketch[q[j : j + (1 << 16)]], sketches[p[j : j + (1 << 16)]]) >= similarity for j in range(0, len(q), 1 << 16)] or [np.zeros(0, bool)])
-                q, p = q[good], p[good]
+                q, p = verified(q, p, parts.roots(p), sketch, sketches, similarity)
                 if not len(q):
                     continue
-                order = np.argsort(q, kind="stable")
-                q, p = q[order], p[order]
                 head = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
                 anchor = np.repeat(p[head], np.diff(np.concatenate([head, [len(q)]])))
                 joined = parts.join(anchor, p)

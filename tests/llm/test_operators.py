@@ -547,6 +547,19 @@ def test_simhash_groups_by_brute_force(spark, docs, rows, none, clashing):
     assert got(simhashgraph.groups(none)) == []
 
 
+def test_one_verified_pair_a_query_and_part():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 3, (40, simhashgraph.SLOTS)).astype(np.uint16), rng.integers(0, 3, (60, simhashgraph.SLOTS)).astype(np.uint16)
+    q, p = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(60), indexing="ij"))
+    part = (p * 7) % 11
+    good = simhashgraph.jaccard(a[q], b[p]) >= 0.4
+    x, y = simhashgraph.verified(q, p, part, a, b, 0.4)
+    assert set(zip(q[good].tolist(), part[good].tolist())) == set(zip(x.tolist(), ((y * 7) % 11).tolist())) and len(x) == len(set(zip(x.tolist(), ((y * 7) % 11).tolist())))
+    assert (np.diff(x) >= 0).all() and (simhashgraph.jaccard(a[x], b[y]) >= 0.4).all()
+    u = simhashgraph.Union(6)
+    assert u.join(np.array([0, 1, 2, 3, 0]), np.array([1, 2, 0, 4, 1])).tolist() == [0, 1, 3] and u.roots(np.arange(6)).tolist() == [0, 0, 0, 3, 3, 5]
+
+
 def test_simhash_texts_that_share_a_doc_id_are_apart(spark):
     rows = [row(1, prose(1, 90)), row(2, prose(1, 90)), row(2, prose(2, 90)), row(3, prose(3, 90)), row(3, prose(3, 90)), row(4, "...")]
     out = Counter((x["doc_id"], x["group_id"], x["kept"]) for x in got(simhashgraph.groups(spark.createDataFrame(rows, SCHEMA))))
