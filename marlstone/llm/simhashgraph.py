@@ -1,18 +1,18 @@
-"""Near-duplicate groups: SimHash, navigable small-world graphs over Hamming distance, verified edges, union.
+"""Near-duplicate groups: SimHash, an exact join of sketches by their rarest slots, verified edges, union.
 
 1. Each text gets a 128-bit SimHash of its words (a word weighs the root of its count) and a 128-slot one-permutation
    MinHash sketch of its word bigrams.
 2. Texts with equal words are one node: exact copies join their first document without any search.
-3. Every node goes to every shard as a query, and to one shard (by hash) also as a point. A shard builds a navigable
-   small-world graph over its points' SimHashes; each query walks it with a beam, starting where it would stand in
-   several sorted orders of the points. A query with as many matches as the first beam holds stands in a crowd; it is
-   compared with all points, so no number of partners is a limit.
-4. Each shard compares the beam's results for a sample of its own points and one of the queries from other shards with
-   an exact scan, and doubles the beam for all of its queries until the recall, in which every query counts alike,
-   reaches the target in both, for small groups and for crowds.
-5. Pairs within the radius are verified by the sketches' Jaccard similarity. A shard unions its own points through the
-   queries that match them and sends on one edge a query and one for each union: enough to connect all that is
-   connected, in memory that its points bound. The last step unions the edges of all shards into groups.
+3. Two nodes are linked if their codes are within the radius and their sketches are similar enough. Of similar sketches
+   each has more than a share of its filled slots in common with the other, so both have an equal slot among their
+   rarest ones (prefix filter). Each node goes with its code to the shards of these slots, where it meets only nodes of
+   an equal slot: no link is lost, and a node is not sent to every shard.
+4. Nodes of an equal slot that are within the radius of each other are candidates. If they are many, they are a crowd:
+   there each node is a candidate of one that stands for it, and the crowd is kept. Candidates are verified by the
+   sketches' Jaccard similarity and united; then the pairs of each crowd that are not united yet are verified too.
+5. ``candidate_edges`` is the approximate way by navigable small-world graphs over Hamming distance (``SmallWorld``): every
+   node is a query in every shard, beams are audited against an exact scan, and crowds are scanned whole, which is
+   quadratic. The operator does not use it.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ AUDIT, AUDIT_PAIRS, RECALL = 16_384, 500, 0.96  # queries scanned at most and pa
 SLOTS, EMPTY = 128, 0xFFFF
 LAST, NODE = np.uint32(0xFFFFFFFF), np.uint32(0x7FFFFF)
 MOST_POINTS = (1 << 23) - 1  # of one graph; its keys have no more bits for a node
+RANKED = 60_000  # nodes whose slots are counted to tell rare from common ones; any order gives the same links
+SHARD_SLOTS = 500_000  # slots of nodes that a shard of the join holds on average
+CROWD = 4  # pairs within the radius for each node, from which nodes of an equal slot are a crowd
+ENTRY = np.dtype([("slot", np.uint32), ("node", np.int64), ("code", np.uint64, 2)])
 SIGNATURES = "node bigint, doc_id bigint, hi bigint, lo bigint, th bigint, sketch binary"
 
 
@@ -452,7 +456,7 @@ def _shard(radius: int, similarity: float):
 
 
 def candidate_edges(nodes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, shards: int = SHARDS, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """Verified edges (a > b) between nodes (node, hi, lo, sketch): enough to connect all that are connected."""
+    """By small-world graphs, with their recall: verified edges (a > b) between nodes (node, hi, lo, sketch): enough to connect all that are connected."""
     if not 0 < shard_points <= MOST_POINTS // 2:  # twice the mean is far beyond what a hash puts in one shard
         raise ValueError(f"0 < shard_points <= {MOST_POINTS // 2}")
     shards = max(shards, -(-nodes.count() // shard_points))
@@ -491,6 +495,178 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
+def rarities(nodes: DataFrame) -> np.ndarray:
+    """How often each slot value (slot << 16 | value) occurs in about ``RANKED`` of the nodes, chosen by hash."""
+    n = nodes.count()
+    some = nodes if n <= RANKED else nodes.where(F.xxhash64("node") <= F.lit(int(-(2**63) + 2**64 * RANKED / n)))
+    sketch = np.frombuffer(b"".join(some.select("sketch").toArrow().column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
+    times = np.bincount((sketch + (np.arange(SLOTS) << 16))[sketch != EMPTY], minlength=SLOTS << 16)
+    return np.minimum(times, 0xFFFF).astype(np.uint16)
+
+
+def rarest(sketch: np.ndarray, times: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, slot values): of each sketch so many of its rarest slot values that any two sketches of at least this
+    similarity share one of them."""
+    values = (sketch + (np.arange(SLOTS, dtype=np.uint64) << U64(16))).astype(np.uint64)
+    filled = sketch != EMPTY
+    keys = np.where(filled, times[values].astype(np.uint64) << U64(46) | (mix(values) >> U64(41)) << U64(23) | values, U64(1) << U64(63))
+    keys.sort(axis=1)
+    n = filled.sum(axis=1)
+    taken = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    rows, k = np.nonzero(np.arange(SLOTS) < np.minimum(taken, n)[:, None])
+    return rows, (keys[rows, k] & U64((1 << 23) - 1)).astype(np.uint32)
+
+
+def _send(times, similarity: float, shards: int):
+    """Entries of the rarest slot values by shard, many to a row."""
+
+    def packed(parts):
+        table = pa.Table.from_batches(parts)
+        entries = []
+        for part in table.to_batches(max_chunksize=4096):
+            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
+            rows, slot = rarest(sketch, times.value, similarity)
+            entry = np.empty(len(rows), ENTRY)
+            entry["slot"], entry["node"] = slot, part.column("node").to_numpy()[rows]
+            for k, c in enumerate(("hi", "lo")):
+                entry["code"][:, k] = part.column(c).to_numpy().view(np.uint64)[rows]
+            entries.append(entry)
+        entry = np.concatenate(entries)
+        shard = (mix(entry["slot"].astype(np.uint64)) % U64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        there, start = np.unique(shard[order], return_index=True)
+        data = [x.tobytes() for x in np.split(entry[order], start[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(there), pa.array(data, pa.binary())], names=["shard", "data"])
+
+    def work(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= 16_384:
+                yield packed(held)
+                held, rows = [], 0
+        if held:
+            yield packed(held)
+
+    return work
+
+
+def meetings(entries: np.ndarray, radius: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Candidates (pairs of nodes, each pair once) among the entries of equal slots, and the entries of each crowd, of
+    which only pairs with a node that stands for others are among the candidates."""
+    entries = entries[np.lexsort((mix(entries["node"].view(np.uint64)), entries["slot"]))]
+    slot, node, code = (np.ascontiguousarray(entries[c]) for c in ("slot", "node", "code"))
+    start = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([start, [len(slot)]]))
+    group = np.repeat(np.arange(len(start)), size)
+    after = np.repeat(start + size, size) - np.arange(len(slot)) - 1  # entries of the same slot that follow
+    met, crowd = np.zeros(len(start), np.int64), np.zeros(len(start), bool)
+    pairs, i, apart = [np.zeros((0, 2), np.int64)], np.flatnonzero(after), 1
+    while len(i):
+        near = np.concatenate([x[hamming(code[x], code[x + apart]) <= radius] for x in np.split(i, range(1 << 18, len(i), 1 << 18))])
+        pairs.append(np.stack([near, near + apart], axis=1))
+        np.add.at(met, group[near], 1)
+        crowd |= met > CROWD * size
+        apart += 1
+        i = i[(after[i] >= apart) & ~crowd[group[i]]]
+    pairs = np.concatenate(pairs)
+    pairs = [pairs[~crowd[group[pairs[:, 0]]]]]
+    for g in np.flatnonzero(crowd):
+        left = np.arange(start[g], start[g] + size[g])
+        while len(left) > 1:
+            near = hamming(code[left[1:]], code[left[0]]) <= radius
+            found = left[1:][near]
+            pairs.append(np.stack([np.full(len(found), left[0]), found], axis=1))
+            left = left[1:][~near]
+    named = np.sort(node[np.concatenate(pairs)], axis=1)
+    named = named[named[:, 0] != named[:, 1]]
+    return np.unique(named, axis=0), [entries[start[g] : start[g] + size[g]] for g in np.flatnonzero(crowd)]
+
+
+def _meet(radius: int):
+    def work(batches):
+        data = [x for batch in batches for x in batch.column("data").to_pylist()]
+        if not data:
+            return
+        pairs, crowds = meetings(np.frombuffer(b"".join(data), ENTRY), radius)
+        data.clear()
+        for i in range(0, len(pairs), 1 << 16):
+            a, b = pairs[i : i + (1 << 16), 1], pairs[i : i + (1 << 16), 0]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], names=["a", "b", "crowd"])
+        for c in crowds:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([c.tobytes()], pa.binary())], names=["a", "b", "crowd"])
+
+    return work
+
+
+def _unpack(batches):
+    for batch in batches:
+        for data in batch.column("crowd").to_pylist():
+            e = np.frombuffer(data, ENTRY)
+            for i in range(0, len(e), 1 << 16):
+                x = e[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x["slot"].astype(np.int64)), pa.array(x["node"]), *(pa.array(x["code"][:, k].copy().view(np.int64)) for k in (0, 1))], names=["slot", "node", "hi", "lo"]
+                )
+
+
+def _rest(radius: int):
+    """Pairs of a crowd that are within the radius and not united yet."""
+
+    def work(table: pa.Table) -> pa.Table:
+        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
+        code = np.stack([table.column(c).to_numpy() for c in ("hi", "lo")], axis=1).view(np.uint64)
+        _, part, size = np.unique(root, return_inverse=True, return_counts=True)
+        order = np.argsort(size[part] * len(size) + part, kind="stable")  # the largest part meets the others from their side
+        node, root, code = node[order], root[order], code[order]
+        a, b = [node[:0]], [node[:0]]
+        for i in range(len(node) - int(size.max())):
+            near = np.flatnonzero((hamming(code[i + 1 :], code[i]) <= radius) & (root[i + 1 :] != root[i])) + i + 1
+            a.append(np.maximum(node[near], node[i]))
+            b.append(np.minimum(node[near], node[i]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return work
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sketches are similar enough."""
+
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SLOTS) for c in ("x", "y"))
+                yield batch.select(["a", "b"]).filter(pa.array(jaccard(x, y) >= similarity))
+
+    both = pairs.distinct().join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
+    both = both.join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(lean(work), "a bigint, b bigint")
+
+
+def linked(nodes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, shards: int = SHARDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(node, root) of the nodes (node, hi, lo, sketch) that are linked to others: all pairs within the radius and of at
+    least this similarity, and what they connect. A node without a link is not among them."""
+    if not 0 < similarity <= 1 or shard_slots < 1:
+        raise ValueError("0 < similarity <= 1 and shard_slots >= 1")
+    shards = max(shards, -(-nodes.count() * SLOTS // (2 * shard_slots)))
+    times = nodes.sparkSession.sparkContext.broadcast(rarities(nodes))
+    sent = nodes.select("node", "hi", "lo", "sketch").mapInArrow(lean(_send(times, similarity, shards)), "shard int, data binary")
+    met = durable(sent.repartitionById(shards, F.col("shard")).mapInArrow(lean(_meet(radius)), "a bigint, b bigint, crowd binary"))
+    root = components(similar(met.where("crowd IS NULL").select("a", "b"), nodes, similarity))
+    crowds = met.where("crowd IS NOT NULL").select("crowd")
+    if crowds.isEmpty():
+        return root
+    root = durable(root)
+    members = crowds.mapInArrow(lean(_unpack), "slot bigint, node bigint, hi bigint, lo bigint").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = durable(members)
+    split = members.groupBy("slot").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("slot")
+    rest = members.join(split, "slot", "left_semi").groupBy("slot").applyInArrow(_rest(radius), "a bigint, b bigint")
+    more = durable(similar(rest, nodes, similarity))
+    return root if more.isEmpty() else components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
+
 def _node() -> Column:
     """A number for each different (doc_id, text)."""
     return F.xxhash64("doc_id", "text")
@@ -504,7 +680,7 @@ def memberships(docs: DataFrame, **settings) -> DataFrame:
     # texts of equal words are one point; how many there are is combined before the shuffle
     nodes = signed.groupBy("key").agg(F.min(F.struct("doc_id", "node", "hi", "lo", "sketch")).alias("n")).select("key", "n.*")
     nodes = durable(nodes)
-    root = components(candidate_edges(nodes, **settings))
+    root = linked(nodes, **settings)
     parts = nodes.select("key", "doc_id", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = parts.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("f"))
     classes = parts.join(firsts, "root").select("key", F.col("f.doc_id").alias("group_id"), F.col("f.node").alias("first_node"))

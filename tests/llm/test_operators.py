@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -547,6 +548,69 @@ def test_simhash_groups_by_brute_force(spark, docs, rows, none, clashing):
     assert got(simhashgraph.groups(none)) == []
 
 
+def nodes_of_few_values():
+    """Nodes whose codes are close to each other and whose slots have three values each, so every slot value is a crowd
+    and hardly any node is similar to the one that stands for it; single nodes; chains of pairs just similar enough."""
+    rng = np.random.default_rng(12)
+    some = rng.choice(3, (150, simhashgraph.SLOTS), p=(0.5, 0.3, 0.2)).astype(np.uint16)
+    other = rng.integers(10, 60_000, (200, simhashgraph.SLOTS)).astype(np.uint16)
+    other[:, 100:][rng.random((200, 28)) < 0.5] = simhashgraph.EMPTY
+    for i in range(1, 100):
+        filled = np.flatnonzero(other[i - 1] != simhashgraph.EMPTY)
+        other[i] = np.where(other[i - 1] == simhashgraph.EMPTY, simhashgraph.EMPTY, other[i])
+        kept = rng.choice(filled, -(-len(filled) // 2) - i % 2, replace=False)
+        other[i][kept] = other[i - 1][kept]
+    sketch = np.concatenate([some, other])
+    base = rng.integers(0, 2, (1 + 20, 128)).astype(np.uint8)
+    bits = base[np.concatenate([np.zeros(150, int), 1 + np.arange(200) // 10])].copy()
+    for b in bits:
+        b[rng.choice(128, 11, replace=False)] ^= 1
+    return np.packbits(bits, axis=1).view(np.uint64), sketch
+
+
+def test_simhash_join_loses_no_link(spark):
+    codes, sketch = nodes_of_few_values()
+    n = len(codes)
+    a, b = np.triu_indices(n, 1)
+    links = (simhashgraph.hamming(codes[a], codes[b]) <= 22) & (simhashgraph.jaccard(sketch[a], sketch[b]) >= 0.5)
+    part = simhashgraph.Union(n)
+    part.join(a[links], b[links])
+    want = {i: int(r) for i, r in enumerate(part.roots(np.arange(n)))}
+    rows = [(i, *codes[i].view(np.int64).tolist(), sketch[i].tobytes()) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "node bigint, hi bigint, lo bigint, sketch binary").repartition(5)
+    for shards, slots in ((3, 500_000), (1, 700)):
+        root = {x["node"]: x["root"] for x in got(simhashgraph.linked(nodes, shards=shards, shard_slots=slots))}
+        assert {i: root.get(i, i) for i in range(n)} == want
+    assert 20 < len(set(want.values())) < n - 20 and links[a < 150].sum() > 10
+    assert got(simhashgraph.linked(nodes.limit(0))) == []
+    with pytest.raises(ValueError):
+        simhashgraph.linked(nodes, similarity=0)
+
+
+def test_simhash_work_in_proportion():
+    """A node goes out once for each of its rarest slots, however many shards there are; a crowd gives one candidate a
+    node and not all of its pairs."""
+    codes, sketch = nodes_of_few_values()
+    times = np.zeros(simhashgraph.SLOTS << 16, np.uint16)
+    for similarity, most in ((0.5, 65), (0.9, 13)):
+        rows, _ = simhashgraph.rarest(sketch, times, similarity)
+        assert np.bincount(rows).max() <= most and np.bincount(rows).min() >= 1
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(codes))), *(pa.array(codes[:, k].view(np.int64)) for k in (0, 1)), pa.array([x.tobytes() for x in sketch])], names=["node", "hi", "lo", "sketch"]
+    )
+    sent = lambda shards: sum(len(x) for out in simhashgraph._send(SimpleNamespace(value=times), 0.5, shards)([batch]) for x in out.column("data").to_pylist())
+    assert sent(1) == sent(8) == sent(64)
+    for m in (500, 4000):
+        entries = np.zeros(m, simhashgraph.ENTRY)
+        entries["node"] = np.arange(m)
+        pairs, crowds = simhashgraph.meetings(entries, 22)
+        assert len(pairs) == m - 1 and [len(c) for c in crowds] == [m]
+    few = np.zeros(6, simhashgraph.ENTRY)
+    few["node"], few["slot"], few["code"][3] = np.arange(6), [1, 1, 1, 1, 2, 2], 2**64 - 1
+    pairs, crowds = simhashgraph.meetings(few, 22)
+    assert pairs.tolist() == [[0, 1], [0, 2], [1, 2], [4, 5]] and not crowds
+
+
 def test_one_verified_pair_a_query_and_part():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 3, (40, simhashgraph.SLOTS)).astype(np.uint16), rng.integers(0, 3, (60, simhashgraph.SLOTS)).astype(np.uint16)
