@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+from marlstone.llm import simhashgraph
 
 from .conftest import SCHEMA, prose, row
 from .test_operators import brute_contaminated, brute_repeats, toxic_corpus
@@ -53,3 +54,18 @@ def test_stages_handle_awkward_tables(spark, docs, rows, labels, benchmark, clas
     for name, table in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
         table.limit(0).write.parquet(f"{none}/{name}.parquet")
     assert corpus_pipeline.run(spark, none).collect() == []
+
+
+def test_near_duplicates_stage_sends_no_node_to_every_shard(spark, monkeypatch):
+    """A crowd, of which the least stays, and single texts, without the graphs in which every node meets every shard."""
+
+    def everywhere(*_, **__):
+        raise AssertionError("every node as a query in every shard")
+
+    monkeypatch.setattr(simhashgraph, "candidate_edges", everywhere)
+    words = prose(70_000, 180).split()
+    crowd = [row(100 + i, " ".join([*words[:i], f"w{i}", *words[i + 1 :]])) for i in range(60)]
+    single = [row(i, prose(80_000 + i, 120)) for i in range(20)]
+    docs = spark.createDataFrame([*crowd, *single], SCHEMA).repartition(4)
+    left = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates_out(spark, docs, "").collect())
+    assert left == [*range(20), 100]
