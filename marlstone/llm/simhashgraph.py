@@ -9,7 +9,8 @@
    an equal slot: no link is lost, and a node is not sent to every shard.
 4. Nodes of an equal slot that are within the radius of each other are candidates. If they are many, they are a crowd:
    there each node is a candidate of one that stands for it, and the crowd is kept. Candidates are verified by the
-   sketches' Jaccard similarity and united; then the pairs of each crowd that are not united yet are verified too.
+   sketches' Jaccard similarity and united; then the pairs of each crowd that are not united yet are verified too, block
+   by block, where the sketches are sent to, and only links come back.
 5. ``candidate_edges`` is the approximate way by navigable small-world graphs over Hamming distance (``SmallWorld``): every
    node is a query in every shard, beams are audited against an exact scan, and crowds are scanned whole, which is
    quadratic. The operator does not use it.
@@ -39,6 +40,7 @@ MOST_POINTS = (1 << 23) - 1  # of one graph; its keys have no more bits for a no
 RANKED = 60_000  # nodes whose slots are counted to tell rare from common ones; any order gives the same links
 SHARD_SLOTS = 500_000  # slots of nodes that a shard of the join holds on average
 CROWD = 4  # pairs within the radius for each node, from which nodes of an equal slot are a crowd
+BLOCK = 2048  # nodes of a crowd that meet those of another block in one task
 ENTRY = np.dtype([("slot", np.uint32), ("node", np.int64), ("code", np.uint64, 2)])
 SIGNATURES = "node bigint, doc_id bigint, hi bigint, lo bigint, th bigint, sketch binary"
 
@@ -612,25 +614,70 @@ def _unpack(batches):
                 )
 
 
-def _rest(radius: int):
-    """Pairs of a crowd that are within the radius and not united yet."""
+def united(node: np.ndarray, root: np.ndarray, block: np.ndarray, code: np.ndarray, sketch: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Links (pairs of nodes) that connect all parts of a tile that any pair of nodes connects which is within the radius
+    and similar enough: at most one for each node. If the tile holds two blocks, only pairs across them are looked at."""
+    _, first, part, size = np.unique(root, return_index=True, return_inverse=True, return_counts=True)
+    parts, two, out = Union(len(node)), block.min() < block.max(), [np.zeros((0, 2), np.int64)]
+    parts.up = first[part]
+    rows = np.flatnonzero(part != size.argmax())  # the largest part meets the others from their side
+    for x in np.split(rows, range(64, len(rows), 64)):
+        at = parts.roots(np.arange(len(node)))
+        near = (hamming(code[x, None], code[None]) <= radius) & (at[x, None] != at)
+        q, p = np.nonzero(near & (block[x, None] != block) if two else near)
+        q, p = verified(x[q], p, at[p], sketch, sketch, similarity)
+        joined = parts.join(q, p)
+        out.append(np.stack([node[q[joined]], node[p[joined]]], axis=1))
+    return np.concatenate(out)
+
+
+def _rest(radius: int, similarity: float):
+    """Links of the tiles of crowds, which come sorted by slot and tile."""
+
+    def links(batch: pa.RecordBatch | pa.Table) -> pa.RecordBatch:
+        slot, low, high, node, root, block, hi, lo = (batch.column(c).to_numpy() for c in ("slot", "low", "high", "node", "root", "block", "hi", "lo"))
+        code = np.stack([hi, lo], axis=1).view(np.uint64)
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        start = np.flatnonzero(np.concatenate([[True], (slot[1:] != slot[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        found = [united(*(c[i:j] for c in (node, root, block, code, sketch)), radius, similarity) for i, j in zip(start, [*start[1:], len(slot)])]
+        found = np.concatenate(found)
+        return pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], names=["a", "b"])
 
-    def work(table: pa.Table) -> pa.Table:
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
-        code = np.stack([table.column(c).to_numpy() for c in ("hi", "lo")], axis=1).view(np.uint64)
-        _, part, size = np.unique(root, return_inverse=True, return_counts=True)
-        order = np.argsort(size[part] * len(size) + part, kind="stable")  # the largest part meets the others from their side
-        node, root, code = node[order], root[order], code[order]
-        a, b = [node[:0]], [node[:0]]
-        for i in range(len(node) - int(size.max())):
-            near = np.flatnonzero((hamming(code[i + 1 :], code[i]) <= radius) & (root[i + 1 :] != root[i])) + i + 1
-            a.append(np.maximum(node[near], node[i]))
-            b.append(np.minimum(node[near], node[i]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+    def work(batches):
+        held: list[pa.RecordBatch] = []  # the tile that the last batch ends with may go on in the next
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tile = np.stack([batch.column(c).to_numpy() for c in ("slot", "low", "high")], axis=1)
+            if held and any(held[-1].column(c)[-1].as_py() != v for c, v in zip(("slot", "low", "high"), tile[0].tolist())):
+                yield links(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            last = np.flatnonzero((tile != tile[-1]).any(axis=1))
+            if len(last):
+                yield links(pa.Table.from_batches([*held, batch.slice(0, last[-1] + 1)]).combine_chunks())
+                held, batch = [], batch.slice(last[-1] + 1)
+            held.append(batch)
+        if held:
+            yield links(pa.Table.from_batches(held).combine_chunks())
 
     return work
 
 
+def rest_of_crowds(members: DataFrame, nodes: DataFrame, radius: int, similarity: float, most: int) -> DataFrame:
+    """Links (a, b) that connect all parts (roots) of crowds which a pair of their members (slot, node, hi, lo, root) links.
+
+    A crowd of one part is done with. Any other is cut into blocks of about ``most`` nodes, and each two blocks meet in a
+    tile of their own, so that a large crowd is spread over tasks. Tiles have the sketches at hand and send on links only,
+    not the pairs to be verified.
+    """
+    split = members.groupBy("slot").agg(F.min("root").alias("least"), F.max("root").alias("greatest"), F.ceil(F.count("*") / most).cast("int").alias("blocks"))
+    apart = members.join(split.where("least <> greatest").select("slot", "blocks"), "slot").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    apart = apart.join(nodes.select("node", "sketch"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = apart.select("slot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "root", "block", "hi", "lo", "sketch")
+    placed = tiles.repartition("slot", "low", "high").sortWithinPartitions("slot", "low", "high")
+    return placed.mapInArrow(lean(_rest(radius, similarity)), "a bigint, b bigint")
+
+
 def similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose sketches are similar enough."""
 
@@ -645,11 +692,11 @@ def similar(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(lean(work), "a bigint, b bigint")
 
 
-def linked(nodes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, shards: int = SHARDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def linked(nodes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, shards: int = SHARDS, shard_slots: int = SHARD_SLOTS, block: int = BLOCK) -> DataFrame:
     """(node, root) of the nodes (node, hi, lo, sketch) that are linked to others: all pairs within the radius and of at
     least this similarity, and what they connect. A node without a link is not among them."""
-    if not 0 < similarity <= 1 or shard_slots < 1:
-        raise ValueError("0 < similarity <= 1 and shard_slots >= 1")
+    if not 0 < similarity <= 1 or shard_slots < 1 or block < 1:
+        raise ValueError("0 < similarity <= 1, shard_slots >= 1 and block >= 1")
     shards = max(shards, -(-nodes.count() * SLOTS // (2 * shard_slots)))
     times = nodes.sparkSession.sparkContext.broadcast(rarities(nodes))
     sent = nodes.select("node", "hi", "lo", "sketch").mapInArrow(lean(_send(times, similarity, shards)), "shard int, data binary")
@@ -661,9 +708,7 @@ def linked(nodes: DataFrame, radius: int = RADIUS, similarity: float = SIMILARIT
     root = durable(root)
     members = crowds.mapInArrow(lean(_unpack), "slot bigint, node bigint, hi bigint, lo bigint").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     members = durable(members)
-    split = members.groupBy("slot").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("slot")
-    rest = members.join(split, "slot", "left_semi").groupBy("slot").applyInArrow(_rest(radius), "a bigint, b bigint")
-    more = durable(similar(rest, nodes, similarity))
+    more = durable(rest_of_crowds(members, nodes, radius, similarity, block))
     return root if more.isEmpty() else components(root.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 

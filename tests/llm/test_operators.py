@@ -587,6 +587,44 @@ def test_simhash_join_loses_no_link(spark):
         simhashgraph.linked(nodes, similarity=0)
 
 
+def test_simhash_crowds_apart_send_links_only(spark, monkeypatch):
+    """What is left of crowds that their leaders do not unite is verified block by block: the links are those of all
+    pairs, and no more of them than nodes and tiles, where the pairs within the radius are as many as all pairs."""
+    codes, sketch = nodes_of_few_values()
+    codes, sketch = codes[:150], sketch[:150]
+    sketch[:, 64:] = np.arange(150 * 64).reshape(150, 64) + 10  # half of the slots are each node's own: hardly any links
+    sketch[100:, 64:] = sketch[99, 64:]
+    n = len(codes)
+    a, b = np.triu_indices(n, 1)
+    within = simhashgraph.hamming(codes[a], codes[b]) <= 22
+    links = within & (simhashgraph.jaccard(sketch[a], sketch[b]) >= 0.5)
+    part = simhashgraph.Union(n)
+    part.join(a[links], b[links])
+    want = part.roots(np.arange(n)).tolist()
+    assert within.all() and 20 < len(set(want)) < n - 20
+    asked, similar = [], simhashgraph.similar
+
+    def counted(pairs, *rest):
+        asked.append(pairs.distinct().count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(simhashgraph, "similar", counted)
+    rows = [(i, *codes[i].view(np.int64).tolist(), sketch[i].tobytes()) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "node bigint, hi bigint, lo bigint, sketch binary").repartition(5)
+    root = {x["node"]: x["root"] for x in got(simhashgraph.linked(nodes))}
+    assert [root.get(i, i) for i in range(n)] == want
+    assert sum(asked) < n * (n - 1) // 4
+    for block in (1000, 40, 7):
+        members = spark.createDataFrame([(slot, *r[:3], r[0]) for r in rows for slot in (3, 5)], "slot bigint, node bigint, hi bigint, lo bigint, root bigint")
+        found = got(simhashgraph.rest_of_crowds(members, nodes, 22, 0.5, block))
+        part = simhashgraph.Union(n)
+        part.join(np.array([x["a"] for x in found]), np.array([x["b"] for x in found]))
+        assert part.roots(np.arange(n)).tolist() == want
+        assert block < 1000 or len(found) == 2 * (n - len(set(want)))
+        assert len({tuple(x) for x in map(tuple, ((x["a"], x["b"]) for x in found))} - set(zip(b[links].tolist(), a[links].tolist()))) == 0
+    assert got(simhashgraph.rest_of_crowds(members.withColumn("root", members.slot), nodes, 22, 0.5, 40)) == []
+
+
 def test_simhash_work_in_proportion():
     """A node goes out once for each of its rarest slots, however many shards there are; a crowd gives one candidate a
     node and not all of its pairs."""
