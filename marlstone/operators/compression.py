@@ -15,7 +15,7 @@ from marlstone.functions import vectors as V
 from marlstone.functions.checkpoint import durable
 from marlstone.operators import similarity
 
-SAME, BLOCK_ROWS = 0.92, 4096
+SAME = 0.92
 
 
 def delta(rows: DataFrame, seen: DataFrame) -> DataFrame:
@@ -145,33 +145,13 @@ def density(rows: DataFrame, context: DataFrame | None = None) -> DataFrame:
 
 
 def near_pairs(rows: DataFrame, planes: np.ndarray, least: float) -> DataFrame:
-    """All pairs of rows (path, v) whose sign fingerprints are similar enough; blocks of rows meet each other.
-
-    Fingerprints are packed in words; every block meets every other once, as one numpy product a pair of blocks.
-    """
-    bits = len(planes)
+    """All pairs of rows (path, v) whose sign fingerprints are similar enough; sides of rows meet each other."""
 
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             if len(p):
                 out = (np.stack([np.asarray(v, float) for v in p["v"]]) @ planes.T > 0).astype(np.uint8)
-                yield pd.DataFrame({"path": p["path"], "bits": [x.tobytes() for x in np.packbits(out, axis=1)]})
+                yield pd.DataFrame({"path": p["path"], "x": [x.tobytes() for x in np.packbits(out, axis=1)]})
 
-    n = max(1, -(-rows.count() // BLOCK_ROWS))
-    b = rows.select("path", "v").where(F.col("v").isNotNull()).mapInPandas(sign, "path string, bits binary").withColumn("_b", F.pmod(F.xxhash64("path"), F.lit(n)))
-    blocks = b.groupBy("_b").agg(F.collect_list(F.struct("path", "bits")).alias("r"))
-    both = blocks.alias("x").join(blocks.alias("y"), F.col("x._b") <= F.col("y._b")).select(F.col("x.r").alias("a"), F.col("y.r").alias("c"), (F.col("x._b") == F.col("y._b")).alias("own"))
-
-    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for a, c in zip(p["a"], p["c"], strict=True):
-                pa_, pc_ = [x["path"] for x in a], [x["path"] for x in c]
-                ba, bc = (np.unpackbits(np.frombuffer(b"".join(x["bits"] for x in z), np.uint8).reshape(len(z), -1), axis=1)[:, :bits].astype(np.float32) for z in (a, c))
-                agree = (ba @ bc.T + (1 - ba) @ (1 - bc).T) / bits
-                i, j = np.nonzero(np.cos(np.pi * (1 - agree)) >= least)
-                out = pd.DataFrame({"a": np.array(pa_, object)[i], "b": np.array(pc_, object)[j], "similarity": np.cos(np.pi * (1 - agree[i, j].astype(float)))})
-                flip = out["a"] > out["b"]
-                out.loc[flip, ["a", "b"]] = out.loc[flip, ["b", "a"]].to_numpy()
-                yield out[out["a"] < out["b"]].drop_duplicates(["a", "b"])
-
-    return both.mapInPandas(meet, "a string, b string, similarity double")
+    coded = rows.select("path", "v").where(F.col("v").isNotNull()).mapInPandas(sign, "path string, x binary")
+    return similarity.code_pairs(coded, least, len(planes), "path", "string")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from marlstone.functions import vectors as V
+from marlstone.functions.checkpoint import durable
 from marlstone.operators import compression, kernels, similarity
 from marlstone.plans.registry import query
 from marlstone.sources import adapters as A
@@ -213,7 +214,8 @@ def v22_metrics(spark, d):
     v = A.vectors(spark, d)
     ratios = similarity.principal(v, 64)[1]
     whole = similarity.mean_pairwise(v.withColumn("all", F.lit(0)), "all").select("n", "mean_similarity")
-    return whole.crossJoin(similarity.isolation(v)).crossJoin(similarity.intrinsic_dimension(v)).select("n", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("isolation", 6).alias("isolation"), F.round("dimension", 3).alias("dimension"), F.lit(round(similarity.coverage(ratios), 6)).alias("coverage"))
+    near = durable(similarity.knn(v, 6))
+    return whole.crossJoin(similarity.isolation(v, near=near)).crossJoin(similarity.intrinsic_dimension(v, near=near)).select("n", F.round("mean_similarity", 6).alias("mean_similarity"), F.round("isolation", 6).alias("isolation"), F.round("dimension", 3).alias("dimension"), F.lit(round(similarity.coverage(ratios), 6)).alias("coverage"))
 
 
 @query()
