@@ -84,7 +84,7 @@ def test_similarity_is_not_rounded_to_32_bits(spark):
 
 
 #: Queries whose pairs of rows were made of joined blocks, many of which an Arrow batch held.
-CELLS: list[str] = ["v13_novelty", "v22_metrics", "c4_same_vectors", "j12_knn_graph", "v18_intrinsic_dimension", "a13_isolation", "j10_near_duplicates"]
+CELLS: list[str] = ["v13_novelty", "v22_metrics", "c4_same_vectors", "j12_knn_graph", "v18_intrinsic_dimension", "a13_isolation", "j10_near_duplicates", "v21_geodesic"]
 
 
 @pytest.mark.parametrize("name", CELLS)
