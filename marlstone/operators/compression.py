@@ -124,19 +124,38 @@ def compression_stats(packed: DataFrame) -> DataFrame:
     return one.select("original", "compressed", "duplicates", "unchanged", (F.col("_all") - F.col("_used")).alias("saved"), F.round(F.col("_used") / F.greatest(F.lit(1), "_all"), 4).alias("ratio"))
 
 
+def _nearest_of(spark, known: np.ndarray):
+    """The cosine of a vector and the nearest of some unit vectors; no number where there is no vector."""
+    sent = spark.sparkContext.broadcast(known)
+
+    @F.pandas_udf("double")
+    def near(v: pd.Series) -> pd.Series:
+        ok, out = v.notna().to_numpy(), np.full(len(v), np.nan)
+        if ok.any():
+            m, best = similarity._matrix(v[ok]), np.full(int(ok.sum()), -np.inf)
+            for i, j in similarity._tiles(len(m), similarity.TILE[0]):
+                for at, to in similarity._tiles(len(sent.value), similarity.TILE[1]):
+                    best[i:j] = np.maximum(best[i:j], (m[i:j] @ sent.value[at:to].T).max(axis=1))
+            out[ok] = best
+        return pd.Series(out)
+
+    return near
+
+
 def density(rows: DataFrame, context: DataFrame | None = None) -> DataFrame:
     """Information per token: half for text not in the context, 0.3 for semantic novelty, 0.2 for confidence, times 100.
 
-    Semantic novelty is one less the likeness of the nearest vector of the context, which is what a reader already has
-    and fits one task; without vectors on both sides it is 1.
+    Semantic novelty is one less the likeness of the nearest vector of the context; without vectors on both sides it is 1.
+    The context is what a reader already has and fits one task: its vectors (not its rows) go through the driver to all
+    tasks as one matrix, and batches of rows are multiplied with it tile by tile.
     """
     novel = F.lit(1.0)
     apart = F.lit(1.0)
     if context is not None and "v" in rows.columns and "v" in context.columns:
-        known = context.where(F.col("v").isNotNull()).agg(F.collect_list("v").alias("_k"))
-        near = F.array_max(F.transform("_k", lambda k: V.cosine(F.col("v"), k)))
-        rows = rows.crossJoin(F.broadcast(known)).withColumn("_near", F.when(F.col("v").isNotNull(), near)).drop("_k")  # one row
-        apart = F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("_near")), F.lit(1.0))
+        known = similarity.packed(context.select("v", F.lit(0).alias("_k")), "_k").select("x").toArrow()["x"]
+        if len(known):
+            rows = rows.withColumn("_near", F.when(F.col("v").isNotNull(), _nearest_of(rows.sparkSession, similarity.unpacked(known))("v")))
+            apart = F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("_near")), F.lit(1.0))
     if context is not None:
         rows = rows.withColumn("_h", C.value_hash(F.col("value"))).join(context.select(C.value_hash(F.col("value")).alias("_c")).distinct(), F.col("_h") == F.col("_c"), "left")
         novel = F.when(F.col("_c").isNull(), 1.0).otherwise(0.0)
