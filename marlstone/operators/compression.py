@@ -155,7 +155,7 @@ def density(rows: DataFrame, context: DataFrame | None = None) -> DataFrame:
         known = similarity.packed(context.select("v", F.lit(0).alias("_k")), "_k").select("x").toArrow()["x"]
         if len(known):
             rows = rows.withColumn("_near", F.when(F.col("v").isNotNull(), _nearest_of(rows.sparkSession, similarity.unpacked(known))("v")))
-            apart = F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("_near")), F.lit(1.0))
+            apart = F.when(F.col("_near").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("_near")))
     if context is not None:
         rows = rows.withColumn("_h", C.value_hash(F.col("value"))).join(context.select(C.value_hash(F.col("value")).alias("_c")).distinct(), F.col("_h") == F.col("_c"), "left")
         novel = F.when(F.col("_c").isNull(), 1.0).otherwise(0.0)
