@@ -10,6 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+TILE = (1024, 4096)  # rows by rows of a matrix product
+GROUPS = 64  # tasks for groups; not left to their bytes, as a group's work may grow faster
+
 
 def _unit(v: np.ndarray) -> np.ndarray:
     n = float(np.linalg.norm(v))
@@ -32,7 +35,8 @@ def compose(vectors: np.ndarray, weights: Sequence[float] | None = None, mode: s
     if mode == "weighted_mean":
         out = mean
     elif mode == "principal":
-        side = np.linalg.svd((m - (m * w[:, None]).mean(0)) * np.sqrt(w)[:, None], full_matrices=False)[2][0]
+        apart = m - mean / len(m)
+        side = np.linalg.eigh((apart * w[:, None]).T @ apart)[1][:, -1]
         out = side if side @ mean >= 0 else -side
     elif mode == "grassmann":
         out = m[0]
@@ -47,9 +51,7 @@ def compose(vectors: np.ndarray, weights: Sequence[float] | None = None, mode: s
                 break
             out = out * math.cos(far) + pull * (math.sin(far) / far)
     elif mode == "attentive":
-        agree = m @ m.T
-        np.fill_diagonal(agree, 0)
-        heat = agree.sum(1)
+        heat = m @ m.sum(0) - np.einsum("ij,ij->i", m, m)  # likeness to all others, without the matrix of all pairs
         a = w * np.exp(heat - heat.max())
         out = (a / (a.sum() + 1e-12)) @ m
     else:
@@ -121,22 +123,48 @@ def diverse(query: np.ndarray, vectors: np.ndarray, k: int = 10, diversity: floa
 
 
 def average_linkage(vectors: np.ndarray, threshold: float = 0.7) -> np.ndarray:
-    """Agglomerative clusters by mean similarity; of equal pairs the first. Sums of similarities are merged, not rescanned."""
+    """Agglomerative clusters by mean similarity.
+
+    The mean similarity of two clusters is the product of their mean vectors, so no matrix of all rows is held. A merge
+    never brings clusters nearer to others than both parts were, so all pairs that are each other's nearest merge in one
+    round, as they would one by one; and what is near to none is done. Only clusters whose nearest merged look again,
+    tile by tile.
+    """
     n = len(vectors)
-    sums, size, alive, label = vectors @ vectors.T, np.ones(n), np.ones(n, bool), np.arange(n)
-    while alive.sum() > 1:
-        ids = np.flatnonzero(alive)
-        mean = sums[np.ix_(ids, ids)] / np.outer(size[ids], size[ids])
-        mean[np.tril_indices(len(ids))] = -np.inf
-        i, j = np.unravel_index(int(np.argmax(mean)), mean.shape)
-        if mean[i, j] < threshold:
+    means, size, label = np.array(vectors, float), np.ones(n), np.arange(n)
+    near, best = np.full(n, -1), np.full(n, -np.inf)
+    alive = todo = np.arange(n)
+    while len(alive) > 1:
+        for at in range(0, len(todo), TILE[0]):
+            ids = todo[at : at + TILE[0]]
+            near[ids], best[ids] = -1, -np.inf
+            for to in range(0, len(alive), TILE[1]):
+                others = alive[to : to + TILE[1]]
+                sims = means[ids] @ means[others].T
+                sims[ids[:, None] == others[None]] = -np.inf
+                j = sims.argmax(axis=1)
+                top = sims[np.arange(len(ids)), j]
+                better = top > best[ids]
+                near[ids[better]], best[ids[better]] = others[j[better]], top[better]
+        alive = alive[best[alive] >= threshold]
+        if not len(alive):
             break
-        a, b = ids[i], ids[j]
-        sums[a] += sums[b]
-        sums[:, a] += sums[:, b]
+        a = alive[(near[near[alive]] == alive) & (alive < near[alive])]
+        if not len(a):  # a ring of equal similarities
+            a = alive[[int(np.argmax(best[alive]))]]
+            b = near[a]
+        else:
+            b = near[a]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        means[a] = (means[a] * size[a, None] + means[b] * size[b, None]) / (size[a] + size[b])[:, None]
         size[a] += size[b]
-        alive[b] = False
-        label[label == b] = a
+        label[b] = a
+        gone, changed = np.zeros(n, bool), np.zeros(n, bool)
+        gone[b], changed[a], changed[b] = True, True, True
+        alive = alive[~gone[alive]]
+        todo = alive[changed[alive] | changed[near[alive]]]
+    while (label[label] != label).any():
+        label = label[label]
     return label
 
 
@@ -192,4 +220,4 @@ def by_group(rows: DataFrame, by: str, kernel, schema: str, order: str = "vec_id
         m = np.stack([_unit(np.asarray(v, float)) for v in part["v"]])
         return pd.DataFrame(kernel(key[0], part, m), columns=names)
 
-    return rows.groupBy(by).applyInPandas(run, schema)
+    return rows.repartition(GROUPS, by).groupBy(by).applyInPandas(run, schema)
