@@ -133,8 +133,8 @@ def _nearest_of(spark, known: np.ndarray):
         ok, out = v.notna().to_numpy(), np.full(len(v), np.nan)
         if ok.any():
             m, best = similarity._matrix(v[ok]), np.full(int(ok.sum()), -np.inf)
-            for i, j in similarity._tiles(len(m), similarity.TILE[0]):
-                for at, to in similarity._tiles(len(sent.value), similarity.TILE[1]):
+            for i, j in similarity.tiles(len(m), similarity.TILE[0]):
+                for at, to in similarity.tiles(len(sent.value), similarity.TILE[1]):
                     best[i:j] = np.maximum(best[i:j], (m[i:j] @ sent.value[at:to].T).max(axis=1))
             out[ok] = best
         return pd.Series(out)
