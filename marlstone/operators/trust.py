@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,44 @@ from marlstone.functions.checkpoint import durable
 
 K, START, DECAY, RELIABLE = 32.0, 0.5, 86400.0, 5
 DAMPING, ROUNDS, EPSILON = 0.85, 20, 1e-6
+SPAN = 65_536  # numbers of a span of the log that is packed as one
 FOLDED = "agent string, trust double, confirmations bigint, contradictions bigint, interactions bigint, last_active double, domains map<string,double>, domain_events map<string,bigint>"
 
 
+def folded(rows: DataFrame, fold: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``fold`` over all rows in order of ``seq``, in one task.
+
+    Spans of ``SPAN`` numbers are sorted and packed where they are, with each name written once a span, and only these
+    spans are sorted by the one task, which unpacks them one by one. So it holds a few bytes a row, not rows.
+    """
+    names = [c for c in rows.columns if c != "seq"]
+
+    def pack(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq").select(names).combine_chunks()
+        t = pa.table({c: t.column(c).dictionary_encode() if pa.types.is_string(t.column(c).type) else t.column(c) for c in names})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(t)
+        return pa.table({"span": pa.array([key[0].as_py()], pa.int64()), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    def plain(x: pa.Array) -> np.ndarray | pd.Series:
+        if x.null_count:
+            return pd.Series(x.to_pylist(), dtype=object)
+        return np.array(x.dictionary.to_pylist(), object)[x.indices.to_numpy()] if pa.types.is_dictionary(x.type) else x.to_numpy(zero_copy_only=False)
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def unpacked() -> Iterator[pd.DataFrame]:
+            for p in parts:
+                for x in p["rows"]:
+                    t = pa.ipc.open_stream(x).read_all()
+                    yield pd.DataFrame({c: plain(t.column(c).combine_chunks()) for c in names})
+
+        return fold(unpacked())
+
+    spans = rows.groupBy(F.floor(F.col("seq") / SPAN).cast("long").alias("span")).applyInArrow(pack, "span bigint, rows binary")
+    return spans.repartition(1).sortWithinPartitions("span").mapInPandas(work, schema)
+
+
 def _fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     state: dict[str, dict] = {}
 
@@ -50,11 +87,11 @@ def _fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fold(events: DataFrame) -> DataFrame:
     """Profiles after all events in order of ``seq``.
 
-    Each step depends on all before it and across agents, so one task walks the sorted events; it streams them, holding
-    only a profile an agent, and the sort spills. ``actor``, ``target`` and ``domain`` must not be null.
+    Each step depends on all before it and across agents, so one task walks the events, packed and sorted in spans
+    before; it holds these and a profile an agent. ``actor``, ``target`` and ``domain`` must not be null.
     """
     cols = ["seq", "kind", "actor", "target", "domain", "conf_actor", "conf_target", "ts"]
-    return events.select(*cols).repartition(1).sortWithinPartitions("seq").mapInPandas(_fold, FOLDED)
+    return folded(events.select(*cols), _fold, FOLDED)
 
 
 def edges(events: DataFrame) -> DataFrame:
